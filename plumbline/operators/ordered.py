@@ -101,26 +101,31 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key without holding a key in one task.
 
     A mergeable sketch brackets every requested rank; only the distinct values inside the
     brackets (about n/1000 of a group) are sorted. A bracket that missed its rank, which the
-    sketch's error bound rules out, raises instead of returning an inexact value.
+    sketch's error bound rules out, raises instead of returning an inexact value. ``extra``
+    aggregates over ``value`` ride along in the first pass.
     """
     names, levels = list(probs), list(probs.values())
     margin = 5.0 / APPROX_ACCURACY
     cuts = [max(0.0, p - margin) for p in levels] + [min(1.0, p + margin) for p in levels]
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    side = {n: c for n, c in (extra or {}).items()} or {"_none": F.lit(None).cast("int")}
     brackets = rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", [float(c) for c in cuts], APPROX_ACCURACY).alias("_q"),
+        F.struct(*[(F.first(c) if n == "_none" else c).alias(n) for n, c in side.items()]).alias("_x"),
     )
     k = len(levels)
     small = F.col("_n") <= WHOLE_GROUP_ROWS
     tagged = rows.join(brackets, list(keys)).select(
         *keys,
         "_n",
+        "_x",
         F.explode(
             F.filter(
                 F.array(
@@ -140,7 +145,7 @@ def exact_quantiles(
         ).alias("_c"),
     )
     tally = tagged.groupBy(*keys, "_n", F.col("_c.p").alias("_p"), F.col("_c.v").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_cnt")
+        F.count(F.lit(1)).alias("_cnt"), F.first("_x").alias("_x")
     )
     upto = (
         Window.partitionBy(*keys, "_p")
@@ -155,6 +160,7 @@ def exact_quantiles(
         .withColumn("_hi", F.ceil("_h"))
     )
     picked = ranked.groupBy(*keys, "_p").agg(
+        F.first("_x").alias("_x"),
         F.max("_h").alias("_h"),
         F.max("_lo").alias("_lo"),
         F.min(F.when(F.col("_cum") > F.col("_lo"), F.col("_v"))).alias("_a"),
@@ -165,8 +171,9 @@ def exact_quantiles(
         (F.col("_bad") == 1) | F.col("_b").isNull(),
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
     ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo")))
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_p") == i, exact)).alias(name) for i, name in enumerate(names)]
+    ranks = [F.max(F.when(F.col("_p") == i, exact)).alias(name) for i, name in enumerate(names)]
+    return picked.groupBy(*keys).agg(F.first("_x").alias("_x"), *ranks).select(
+        *keys, *[F.col(f"_x.{n}").alias(n) for n in (extra or {})], *names
     )
 
 

@@ -27,15 +27,9 @@ ALL = "ALL"
 
 def summary8(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Count, mean, population std, median, quartiles, minimum and maximum per key."""
-    plain = df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    ranks = exact_quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return plain.join(ranks, list(keys))
+    v = F.col("_v")
+    plain = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
+    return exact_quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, plain)
 
 
 def with_all_level(df: DataFrame, column: str = "condition") -> DataFrame:
