@@ -10,7 +10,6 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,32 +23,50 @@ WORD_PATTERN = r"\b\w\w+\b"
 GRAM_WORD_PATTERN = r"[0-9a-z가-힣_]+"
 GRAM_SIZES = (2, 3, 4)
 
-MEMO = 1 << 18
+MEMO = 1 << 20  # remembered tokens per Python worker; the memory starts over when it is full
+PAIR_FACTOR = 1_000_003
 WORDS = re.compile(WORD_PATTERN)
 GRAM_WORDS = re.compile(GRAM_WORD_PATTERN)
 VECTOR = T.ArrayType(T.IntegerType())
 
 
-@lru_cache(maxsize=MEMO)
-def word_bucket(token: str) -> int:
-    return int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % WORD_DIMENSIONS
+class Memo(dict):
+    """Token to hash, filled on first use and bounded."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, token: str):
+        if len(self) >= MEMO:
+            self.clear()
+        value = self[token] = self.compute(token)
+        return value
+
+
+def word_hash(token: str) -> int:
+    return int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big")
 
 
-@lru_cache(maxsize=MEMO)
 def gram_bucket(token: str) -> tuple[int, int]:
     digest = hashlib.sha256(token.encode()).digest()
     return int.from_bytes(digest[:4], "big") % GRAM_DIMENSIONS, 1 if digest[4] & 1 else -1
 
 
+WORD_HASHES = Memo(word_hash)
+GRAM_BUCKETS = Memo(gram_bucket)
+
+
 @F.pandas_udf(VECTOR)
 def word_vector(texts: pd.Series) -> pd.Series:
-    """Unnormalised counts of hashed words and word pairs."""
+    """Unnormalised counts of hashed words and word pairs; a pair mixes the hashes of its words."""
     rows = []
     for text in texts:
         words = WORDS.findall((text or "").lower())
-        buckets = [word_bucket(w) for w in words]
-        buckets += [word_bucket(f"{a} {b}") for a, b in zip(words, words[1:])]
-        rows.append(np.bincount(np.asarray(buckets, dtype=np.int64), minlength=WORD_DIMENSIONS).astype(np.int32))
+        hashes = np.fromiter((WORD_HASHES[w] for w in words), dtype=np.int64, count=len(words))
+        pairs = (hashes[:-1] * PAIR_FACTOR + hashes[1:]) % (1 << 32)
+        buckets = np.concatenate([hashes, pairs]) % WORD_DIMENSIONS
+        rows.append(np.bincount(buckets, minlength=WORD_DIMENSIONS).astype(np.int32))
     return pd.Series(rows)
 
 
@@ -65,7 +82,7 @@ def gram_vector(texts: pd.Series) -> pd.Series:
             grams.update(f"c{n}:{dense[i:i + n]}" for i in range(len(dense) - n + 1))
         vector = np.zeros(GRAM_DIMENSIONS, dtype=np.int32)
         for gram, count in grams.items():
-            bucket, sign = gram_bucket(gram)
+            bucket, sign = GRAM_BUCKETS[gram]
             vector[bucket] += sign * count
         rows.append(vector)
     return pd.Series(rows)

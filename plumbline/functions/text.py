@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 PARAGRAPH = "\u0001"
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAKS)
+    return F.split(text, r"\r\n|\r|\n")
 
 
 def squeeze(text: Column) -> Column:
@@ -18,33 +17,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def clean_text(text: Column) -> Column:
-    """Drop soft hyphens, rejoin words split over lines, collapse blanks, keep paragraphs."""
-    out = F.translate(text, "\u00a0\u00ad", " ")
-    out = F.regexp_replace(out, r"(?U)(?<=\w)-\n(?=\w)", "")
-    out = F.regexp_replace(out, LINE_BREAKS, "\n")
-    out = F.regexp_replace(out, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
-    out = F.regexp_replace(out, "\n{2,}", PARAGRAPH)
-    out = F.regexp_replace(out, "\n", " ")
-    return F.regexp_replace(out, PARAGRAPH, "\n\n")
-
-
 def tokens(text: Column) -> Column:
     """Runs of non-space characters."""
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
 
 
-def heading_of(raw_page: Column) -> Column:
-    """First line of 3 to 120 characters that does not end like a sentence."""
-    candidates = F.filter(
-        F.transform(lines(raw_page), squeeze),
-        lambda s: (F.length(s) >= 3) & (F.length(s) <= 120) & ~F.right(s, F.lit(1)).isin(".", ",", ";"),
-    )
-    return F.get(candidates, F.lit(0))
-
-
 def short_hash(prefix: str, *parts: Column, length: int = 20, separator: str = ":") -> Column:
     """``prefix`` plus the first hex digits of the SHA-256 of the joined parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws(separator, *parts), 256), 1, length))

@@ -1,4 +1,8 @@
-"""Documents to blocks to chunks, inside the row: one narrow stage and no shuffle."""
+"""Documents to blocks to chunks, inside the row: one narrow stage and no shuffle.
+
+Arrays built by costly expressions are exploded with the outer variants: a plain explode lets the
+optimizer add a ``size(array) > 0`` filter below it, which would compute the array again.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.functions.blocks import chunk_blocks
 
-# Chunk size and overlap in tokens.
-MAX_TOKENS = 800
-OVERLAP_TOKENS = 100
-
-
-def page_blocks(pages: Column) -> Column:
-    """Array of page texts to blocks (page, section, text); blank pages give none."""
-    blocks = F.transform(
-        pages,
-        lambda raw, i: F.struct(
-            (i + 1).cast("int").alias("page"), tx.heading_of(raw).alias("section"), tx.clean_text(raw).alias("text")
-        ),
-    )
-    return F.filter(blocks, lambda b: b["text"] != "")
-
+def with_merged_blocks(df: DataFrame, column: str) -> DataFrame:
+    """Join consecutive blocks of the same page and section in an array column.
 
-def merge_blocks(blocks: Column) -> Column:
-    """Join consecutive blocks of the same page and section."""
+    The island starts are a column of their own, so they are computed once per row.
+    """
+    blocks, starts = F.col(column), F.col("_starts")
     last = F.size(blocks) - 1
 
     def starts_new(i: Column) -> Column:
@@ -32,7 +25,7 @@ def merge_blocks(blocks: Column) -> Column:
         same = here["page"].eqNullSafe(before["page"]) & here["section"].eqNullSafe(before["section"])
         return (i == 0) | ~same
 
-    starts = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), starts_new)
+    positions = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
     def island(start: Column, k: Column) -> Column:
         stop = F.coalesce(F.get(starts, k + 1), last + 1)
@@ -40,39 +33,14 @@ def merge_blocks(blocks: Column) -> Column:
         body = F.array_join(F.transform(F.slice(blocks, start + 1, stop - start), lambda b: b["text"]), "\n\n")
         return F.struct(head["page"].alias("page"), head["section"].alias("section"), body.alias("text"))
 
-    return F.transform(starts, island)
-
-
-def chunk_array(blocks: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
-    """Token windows of every block; a window starts ``overlap`` tokens before the previous end."""
-    if max_tokens < 1 or not 0 <= overlap < max_tokens:
-        raise ValueError("invalid chunk size or overlap")
-    tokenised = F.transform(
-        blocks, lambda b: F.struct(b["page"].alias("page"), b["section"].alias("section"), tx.tokens(b["text"]).alias("words"))
-    )
-
-    def windows(b: Column) -> Column:
-        n = F.size(b["words"])
-        starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(max_tokens - overlap))
-        return F.transform(
-            starts,
-            lambda s: F.struct(
-                b["page"].alias("page"),
-                b["section"].alias("section"),
-                F.array_join(F.slice(b["words"], s + 1, max_tokens), " ").alias("content"),
-                F.least(F.lit(max_tokens), n - s).alias("tokens"),
-            ),
-        )
-
-    return F.filter(F.flatten(F.transform(tokenised, windows)), lambda c: c["tokens"] > 0)
+    return df.withColumn("_starts", F.filter(positions, starts_new)).withColumn(column, F.transform("_starts", island)).drop("_starts")
 
 
 def chunk_documents(documents: DataFrame, blocks: Column, **limits) -> DataFrame:
     """One row per chunk, numbered over the whole document, with its stable id."""
-    rows = documents.withColumn("_blocks", blocks).select(
-        "*", F.posexplode(chunk_array(merge_blocks(F.col("_blocks")), **limits)).alias("chunk_index", "_c")
-    )
-    out = rows.select(
+    found = documents.withColumn("_chunks", chunk_blocks(**limits)(blocks))
+    rows = found.select(*documents.columns, F.posexplode_outer("_chunks").alias("chunk_index", "_c"))
+    out = rows.filter(F.col("_c").isNotNull()).select(
         *documents.columns,
         F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.col("_c.page").alias("page"),
@@ -110,7 +78,7 @@ def ingestion_facets(chunks: DataFrame, statuses: DataFrame) -> DataFrame:
 
     slim = chunks.select("document_type", "source_tier", "rag_roles")
     pairs = slim.select(
-        F.explode(
+        F.explode_outer(
             F.concat(
                 F.array(
                     F.struct(F.lit("document_type").alias("facet"), F.col("document_type").alias("value")),

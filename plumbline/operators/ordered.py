@@ -126,7 +126,7 @@ def exact_quantiles(
         *keys,
         "_n",
         "_x",
-        F.explode(
+        F.explode_outer(
             F.filter(
                 F.array(
                     *[
@@ -143,7 +143,7 @@ def exact_quantiles(
                 lambda s: s.isNotNull(),
             )
         ).alias("_c"),
-    )
+    ).filter(F.col("_c").isNotNull())
     tally = tagged.groupBy(*keys, "_n", F.col("_c.p").alias("_p"), F.col("_c.v").alias("_v")).agg(
         F.count(F.lit(1)).alias("_cnt"), F.first("_x").alias("_x")
     )

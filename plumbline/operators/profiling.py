@@ -139,7 +139,8 @@ def compare_windowings(signals: DataFrame, rate_hz: float, candidates=WINDOW_CAN
     sizes = F.array(*[F.lit(shapes[c][0]).cast("bigint") for c in candidates])
     recording = ["measurement_id", "state"]
     windows = (
-        signals.select(*recording, "x", F.explode(F.flatten(F.array(*memberships))).alias("_m"))
+        signals.select(*recording, "x", F.explode_outer(F.flatten(F.array(*memberships))).alias("_m"))
+        .filter(F.col("_m").isNotNull())
         .groupBy(*recording, F.col("_m.c").alias("c"), F.col("_m.w").alias("w"))
         .agg(F.count("x").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
         .filter(F.col("n") == F.element_at(sizes, F.col("c") + 1))

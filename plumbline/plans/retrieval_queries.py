@@ -33,12 +33,15 @@ CASES_SQL = f"""cases AS (
          ['en', 'fr'] AS expected_types
   FROM benchmark)"""
 
-TOPK_SQL = r"""qw AS (SELECT query_id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]{2,}') AS t FROM cases),
-qg AS (SELECT query_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM qw),
-qv AS (SELECT query_id, ('0x' || substr(sha256(g), 1, 8))::BIGINT % 384 AS b, count(*) AS w FROM qg GROUP BY 1, 2),
-cw AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}_]{2,}') AS t FROM chunks),
-cg AS (SELECT chunk_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM cw),
-cv AS (SELECT chunk_id, ('0x' || substr(sha256(g), 1, 8))::BIGINT % 384 AS b, count(*) AS w FROM cg GROUP BY 1, 2),
+def vector_sql(name: str, key: str, text: str, table: str) -> str:
+    return rf"""{name} AS (
+  SELECT {key}, g % 384 AS b, count(*) AS w FROM (
+    SELECT {key}, unnest(h || list_transform(range(1, len(h)), lambda i: (h[i] * 1000003 + h[i + 1]) % 4294967296)) AS g
+    FROM (SELECT {key}, list_transform(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}'),
+                                       lambda x: ('0x' || substr(sha256(x), 1, 8))::BIGINT) AS h FROM {table})) GROUP BY 1, 2)"""
+
+
+TOPK_SQL = vector_sql("qv", "query_id", "question", "cases") + ",\n" + vector_sql("cv", "chunk_id", "content", "chunks") + """,
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qv GROUP BY 1), cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS n FROM cv GROUP BY 1),
 dots AS (SELECT query_id, chunk_id, sum(qv.w * cv.w) AS d FROM qv JOIN cv USING (b) GROUP BY 1, 2),
 pairs AS (SELECT q.query_id, c.chunk_id, coalesce(d, 0) AS d, c.source_id, c.document_type, c.source_tier, c.document_id
@@ -83,8 +86,9 @@ def vector_topk(spark, sf_dir):
 
 def selected(spark, sf_dir):
     ranked, stored = searched(spark, sf_dir, TOP_K * rt.OVERFETCH)
-    slim = stored.select("chunk_id", "document_id", "chunk_index", tx.word_set(F.col("content")).alias("words"))
-    kept = rt.suppress_duplicates(ranked.join(slim, "chunk_id"), TOP_K)
+    slim = stored.select("chunk_id", "document_id", "chunk_index", "content")
+    listed = ranked.join(slim, "chunk_id").withColumn("words", tx.word_set(F.col("content"))).drop("content")
+    kept = rt.suppress_duplicates(listed, TOP_K)
     return kept.join(ranked.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"]), stored
 
 

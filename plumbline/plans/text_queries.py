@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.functions.blocks import clean_text, page_blocks as page_blocks_of
 from plumbline.functions.hashing import gram_vector, word_vector
 from plumbline.operators import chunks as ch, queries as qb
 from plumbline.plans import views
@@ -58,7 +59,7 @@ C = with_views(DOCS_SQL, PAGES_SQL, CHUNKS_SQL)
 
 def documents(spark, sf_dir):
     doc = F.col("doc_id")
-    return views.table(spark, sf_dir, "documents").select(
+    return views.spread(views.table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("doc_"), doc.cast("string")).alias("document_id"),
         F.col("source").alias("source_id"),
         F.col("lang").alias("document_type"),
@@ -67,18 +68,18 @@ def documents(spark, sf_dir):
     )
 
 
-def pages_of(text):
-    """Page texts of a document: twenty lines each."""
-    rows = tx.lines(text)
-    last = F.floor((F.size(rows) - 1) / LINES_PER_PAGE).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice(rows, p * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n")
+def with_pages(docs):
+    """Page texts of every document, twenty lines each, in an array column."""
+    last = F.floor((F.size("_lines") - 1) / LINES_PER_PAGE).cast("int")
+    pages = F.transform(
+        F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice("_lines", p * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n")
     )
+    return docs.withColumn("_lines", tx.lines(F.col("raw_text"))).withColumn("_pages", pages).drop("raw_text", "_lines")
 
 
 def document_chunks(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("_pages", pages_of(F.col("raw_text"))).drop("raw_text")
-    return ch.chunk_documents(docs, ch.page_blocks(F.col("_pages"))).drop("_pages")
+    docs = with_pages(documents(spark, sf_dir))
+    return ch.chunk_documents(docs, page_blocks_of(F.col("_pages"))).drop("_pages")
 
 
 @query(
@@ -86,8 +87,8 @@ def document_chunks(spark, sf_dir):
     P + "SELECT document_id, CAST(page AS BIGINT) AS page, section, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n FROM blocks",
 )
 def page_blocks(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    rows = docs.select("document_id", F.inline(ch.page_blocks(pages_of(F.col("raw_text")))))
+    docs = with_pages(documents(spark, sf_dir))
+    rows = docs.select("document_id", F.inline_outer(page_blocks_of(F.col("_pages")))).filter("page IS NOT NULL")
     return rows.select(
         "document_id",
         F.col("page").cast("bigint").alias("page"),
@@ -102,7 +103,7 @@ def page_blocks(spark, sf_dir):
     D + f"SELECT document_id, md5({clean_sql('raw_text')}) AS clean_md5, CAST(length({clean_sql('raw_text')}) AS BIGINT) AS n FROM docs",
 )
 def cleaned_documents(spark, sf_dir):
-    clean = tx.clean_text(F.col("raw_text"))
+    clean = clean_text(F.col("raw_text"))
     return documents(spark, sf_dir).select("document_id", F.md5(clean).alias("clean_md5"), F.length(clean).cast("bigint").alias("n"))
 
 
@@ -125,8 +126,8 @@ def merged_line_blocks(spark, sf_dir):
             s.alias("text"),
         ),
     )
-    rows = documents(spark, sf_dir).withColumn("_b", blocks)
-    merged = rows.select("document_id", F.posexplode(ch.merge_blocks(F.col("_b"))).alias("i", "m"))
+    rows = ch.with_merged_blocks(documents(spark, sf_dir).withColumn("_b", blocks), "_b")
+    merged = rows.select("document_id", F.posexplode_outer("_b").alias("i", "m"))
     return merged.select(
         "document_id",
         (F.col("i") + 1).cast("bigint").alias("block"),
@@ -246,11 +247,12 @@ def catalog_first_page(spark, sf_dir):
     "word_vectors",
     C
     + r""", w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}_]{2,}') AS t FROM chunks),
-grams AS (SELECT chunk_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM w)
-SELECT chunk_id, ('0x' || substr(sha256(g), 1, 8))::BIGINT % 384 AS bucket, CAST(count(*) AS BIGINT) AS weight FROM grams GROUP BY 1, 2""",
+hs AS (SELECT chunk_id, list_transform(t, lambda x: ('0x' || substr(sha256(x), 1, 8))::BIGINT) AS h FROM w),
+grams AS (SELECT chunk_id, unnest(h || list_transform(range(1, len(h)), lambda i: (h[i] * 1000003 + h[i + 1]) % 4294967296)) AS g FROM hs)
+SELECT chunk_id, g % 384 AS bucket, CAST(count(*) AS BIGINT) AS weight FROM grams GROUP BY 1, 2""",
 )
 def word_vectors(spark, sf_dir):
-    rows = document_chunks(spark, sf_dir).select("chunk_id", F.posexplode(word_vector("content")).alias("bucket", "weight"))
+    rows = document_chunks(spark, sf_dir).select("chunk_id", F.posexplode_outer(word_vector("content")).alias("bucket", "weight"))
     return rows.filter(F.col("weight") != 0).select(
         "chunk_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("weight").cast("bigint").alias("weight")
     )
@@ -276,7 +278,7 @@ def turns(spark, sf_dir):
 
 @query("gram_vectors", with_views(GRAMS_SQL) + "SELECT chunk_id, bucket, CAST(weight AS BIGINT) AS weight FROM gram_buckets WHERE weight <> 0")
 def gram_vectors(spark, sf_dir):
-    rows = turns(spark, sf_dir).select("chunk_id", F.posexplode(gram_vector("text")).alias("bucket", "weight"))
+    rows = turns(spark, sf_dir).select("chunk_id", F.posexplode_outer(gram_vector("text")).alias("bucket", "weight"))
     return rows.filter(F.col("weight") != 0).select(
         "chunk_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("weight").cast("bigint").alias("weight")
     )
@@ -292,8 +294,8 @@ SELECT document_id, CAST(i AS BIGINT) AS piece, md5(string_split(p, chr(2))[i])
 FROM packed, LATERAL (SELECT unnest(range(1, len(string_split(p, chr(2))) + 1)) AS i)""",
 )
 def packed_sentences(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("document_id", F.posexplode(tx.pack_sentences(F.col("raw_text"))).alias("i", "p"))
-    return rows.select("document_id", (F.col("i") + 1).cast("bigint").alias("piece"), F.md5("p").alias("piece_md5"))
+    rows = documents(spark, sf_dir).select("document_id", F.posexplode_outer(tx.pack_sentences(F.col("raw_text"))).alias("i", "p"))
+    return rows.filter("i IS NOT NULL").select("document_id", (F.col("i") + 1).cast("bigint").alias("piece"), F.md5("p").alias("piece_md5"))
 
 
 @query(
@@ -318,7 +320,7 @@ FROM chunks c JOIN blocks b ON b.document_id = c.document_id AND b.page = c.page
 )
 def verified_excerpts(spark, sf_dir):
     """Each excerpt must occur in the page it cites."""
-    pages = documents(spark, sf_dir).select("document_id", F.inline(ch.page_blocks(pages_of(F.col("raw_text")))))
+    pages = with_pages(documents(spark, sf_dir)).select("document_id", F.inline_outer(page_blocks_of(F.col("_pages"))))
     shown = F.regexp_replace(tx.excerpt(F.col("content")), r"\.\.\.$", "")
     cited = document_chunks(spark, sf_dir).select("chunk_id", "document_id", "page", shown.alias("shown"))
     return cited.join(pages.drop("section"), ["document_id", "page"]).select(

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input with few splits one task per core before heavy per-row work.
+
+    An input that already has a split per core, as any large table has, is left in place.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def epoch_seconds(ts: str | Column) -> Column:
     """Seconds since 1970 of a zone-less timestamp, whatever the session time zone is."""
     column = F.col(ts) if isinstance(ts, str) else ts
