@@ -30,6 +30,10 @@ def balanced(train: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = ev.SEED) -> PipelineModel:
+    """Fit the forest; its passes over the training rows read a persisted copy, spilled to disk as needed.
+
+    Node ids are cached per row, so the growing forest is not shipped to every task on every level.
+    """
     names = feature_columns(train)
     forest = RandomForestClassifier(
         featuresCol="features",
@@ -39,9 +43,15 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = ev
         maxDepth=depth,
         minInstancesPerNode=MIN_ROWS_PER_CHILD,
         seed=seed,
+        cacheNodeIds=True,
+        maxMemoryInMB=1024,
     )
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, forest]).fit(balanced(train))
+    rows = balanced(train).select(*names, "label", "weight").persist()
+    try:
+        return Pipeline(stages=[assembler, forest]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, table: DataFrame) -> DataFrame:
