@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARAGRAPH = "\u0001"
 
@@ -96,23 +98,11 @@ def page_section(page: Column, bounds: dict[tuple[int, int], str], default: str)
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-def six_digits(value: Column) -> Column:
-    """Six significant digits without trailing zeros, in the style of C's ``%.6g``."""
-    size = F.floor(F.log10(F.abs(value)))
-    # rounding may carry into the next power of ten
-    carried = F.floor(F.log10(F.abs(F.bround(value / F.pow(F.lit(10.0), size), 5)))) + size
-    fixed = F.element_at(F.array(*[F.bround(value, d) for d in range(0, 11)]), (6 - carried).cast("int"))
-    mantissa = F.bround(value / F.pow(F.lit(10.0), carried), 5)
-    power = F.concat(
-        F.when(carried < 0, "-").otherwise("+"), F.lpad(F.abs(carried).cast("string"), 2, "0")
-    )
+@F.pandas_udf(T.StringType())
+def feature_text(features: pd.Series) -> pd.Series:
+    """``signal feature <name> <value>`` for every entry of a map, by name, with six significant digits."""
 
-    def bare(number: Column) -> Column:
-        digits = number.cast("decimal(30,12)").cast("string")
-        return F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    def line(entries) -> str:
+        return " ".join(f"signal feature {name} {value:.6g}" for name, value in sorted(dict(entries).items()))
 
-    return (
-        F.when(value == 0, "0")
-        .when((carried < -4) | (carried >= 6), F.concat(bare(mantissa), F.lit("e"), power))
-        .otherwise(bare(fixed))
-    )
+    return features.map(line, na_action="ignore")

@@ -46,13 +46,7 @@ QUESTION_MARKS = r"[?？!！.。]+$"
 
 def purpose_text(purpose: Column, status: Column, predicted: Column, condition: Column, features: Column) -> Column:
     """Query text of a run; ``features`` is a map of feature name to value."""
-    listed = F.array_join(
-        F.transform(
-            F.array_sort(F.map_entries(features)),
-            lambda e: F.concat(F.lit("signal feature "), e["key"], F.lit(" "), tx.six_digits(e["value"])),
-        ),
-        " ",
-    )
+    listed = tx.feature_text(features)
     state = F.concat(F.lit("analysis status "), status)
     label = F.concat(F.lit("predicted class "), predicted)
     where = F.concat(F.lit("operating condition "), condition)

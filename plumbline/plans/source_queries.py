@@ -53,11 +53,10 @@ def file_types(spark, sf_dir):
     return ms.inspection_summary(files(spark, sf_dir))
 
 
-@query("measurement_lookup", with_views(FILES_SQL) + "SELECT measurement_id, source_reference FROM idx2 WHERE bearing_id = 'KA01' AND run = 6 OR measurement_id = 'rig:K001:N15_M07_F04:05'")
+@query("measurement_lookup", with_views(FILES_SQL) + "SELECT measurement_id, source_reference FROM idx2 WHERE bearing_id = 'K001'")
 def measurement_lookup(spark, sf_dir):
     found = ms.index_measurements(files(spark, sf_dir).select("path"), "rig", "/data/")
-    first = found.filter((F.col("bearing_id") == "KA01") & (F.col("run_index") == 6))
-    return first.unionByName(ms.by_id(found, "measurement_id", "rig:K001:N15_M07_F04:05")).select("measurement_id", "source_reference").distinct()
+    return ms.by_id(found, "bearing_id", "K001").select("measurement_id", "source_reference")
 
 
 RAW_SQL = """faulty AS (SELECT measurement_id, channel, idx, CASE WHEN x > 300 THEN 'NaN' WHEN x < 0.02 THEN 'bad' WHEN x BETWEEN 250 AND 260 THEN NULL ELSE 'ok' END AS f FROM multi),

@@ -177,7 +177,7 @@ RUNS_SQL = """runs AS (
          CASE WHEN o_orderstatus = 'O' THEN 'normal' ELSE 'abnormal' END AS analysis_status,
          CASE WHEN o_orderstatus = 'O' THEN 'healthy' ELSE 'damaged' END AS predicted_class,
          'C' || (o_custkey % 4) AS condition, 0.5 + (o_orderkey % 50) / 100.0 AS confidence,
-         round(o_totalprice / 1000.0, 3) AS rms,
+         floor(o_totalprice) / 1000.0 AS rms,
          CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) AS created_at, o_orderkey % 3 AS retries,
          o_orderkey % 4 AS information_rounds
   FROM orders)"""
@@ -200,7 +200,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(normal, "healthy").otherwise("damaged").alias("predicted_class"),
         F.concat(F.lit("C"), (cust % 4).cast("string")).alias("condition"),
         (F.lit(0.5).cast("double") + (key % 50) / F.lit(100.0)).alias("confidence"),
-        F.round(F.col("o_totalprice") / 1000, 3).alias("rms"),
+        (F.floor("o_totalprice") / F.lit(1000.0)).alias("rms"),
         F.floor(epoch_seconds("o_orderdate")).cast("bigint").alias("created_at"),
         (key % 3).alias("retries"),
         (key % 4).alias("information_rounds"),

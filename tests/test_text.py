@@ -69,9 +69,9 @@ def test_page_section(spark):
     assert [r[0] for r in got] == ["a", "b", "rest"]
 
 
-@pytest.mark.parametrize("value", [0.0, 1.0, 123.456, 1234567.0, 0.00012345678, 0.000012345678, -9.9999996, 1e10, 999999.5])
-def test_six_digits(spark, value):
-    assert spark.range(1).select(tx.six_digits(F.lit(value))).first()[0] == f"{value:.6g}"
+def test_feature_text(spark):
+    df = spark.createDataFrame([({"rms": 130.2335, "peak": 1234567.0, "kurtosis": 0.0},)], "m map<string,double>")
+    assert df.select(tx.feature_text("m")).first()[0] == "signal feature kurtosis 0 signal feature peak 1.23457e+06 signal feature rms 130.233"
 
 
 def test_vectors(spark):
