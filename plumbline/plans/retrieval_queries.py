@@ -161,14 +161,14 @@ def case_metrics(spark, sf_dir):
     "retrieval_metrics",
     M
     + """SELECT CAST(count(*) AS BIGINT) AS case_count, CAST(count(*) FILTER (answerable) AS BIGINT) AS answerable_case_count,
-  CAST(count(*) FILTER (NOT answerable) AS BIGINT) AS unanswerable_case_count, round(avg((returned = 0)::INT), 6) AS empty_result_rate,
-  round(avg(coalesce(1.0 / first_relevant_rank, 0)) FILTER (answerable), 6) AS mrr,
-  round(avg(hit_at_3) FILTER (answerable), 6) AS hit_at_3, round(avg(recall_at_3) FILTER (answerable), 6) AS recall_at_3,
-  round(avg(hit_at_5) FILTER (answerable), 6) AS hit_at_5, round(avg(recall_at_5) FILTER (answerable), 6) AS recall_at_5 FROM per_case""",
+  CAST(count(*) FILTER (NOT answerable) AS BIGINT) AS unanswerable_case_count, round(avg((returned = 0)::INT), 9) AS empty_result_rate,
+  round(avg(coalesce(1.0 / first_relevant_rank, 0)) FILTER (answerable), 9) AS mrr,
+  round(avg(hit_at_3) FILTER (answerable), 9) AS hit_at_3, round(avg(recall_at_3) FILTER (answerable), 9) AS recall_at_3,
+  round(avg(hit_at_5) FILTER (answerable), 9) AS hit_at_5, round(avg(recall_at_5) FILTER (answerable), 9) AS recall_at_5 FROM per_case""",
 )
 def retrieval_metrics(spark, sf_dir):
     out = rt.retrieval_metrics(per_case(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 6) for c in out.columns if not c.endswith("count")})
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if not c.endswith("count")})
 
 
 @query(
