@@ -6,16 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import line_dedup, packing
 from plumbline.llm.common import table
 from plumbline.llm.simhash import near_copies
 
 
+def vocabulary_paths() -> dict[str, str]:
+    """Places of the byte-level vocabulary and its word pattern; the files stay where they are installed."""
+    import public_tokenizers
+
+    return {
+        "rank_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        "json_path": public_tokenizers.path("byte_bpe_50k.json"),
+        "pattern": public_tokenizers.PATTERN,
+    }
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), **vocabulary_paths())
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_line_dedup": op8_line_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": line_dedup.SQL.format(ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES),
+}
