@@ -9,7 +9,8 @@ Repeated rows stay; extra columns pass through; an empty table gives an empty re
 
 Method: (host, line, page) is aggregated on 128-bit keys, so no text enters that shuffle and copies
 collapse before it. Boilerplate keys return to the pages by a plain join that adaptive execution may
-broadcast or split, and only lists of a page's own boilerplate keys join the documents.
+broadcast or split, and only lists of a page's own boilerplate keys join the documents, by a merge join
+at every size.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def without_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int =
     hits = found.alias("f").join(drops.alias("d"), F.expr("f.host <=> d.host AND f.line = d.line"), "left_semi")
     gone = stored(hits.groupBy("host", "page").agg(F.collect_set("line").alias("gone")))
     keyed = docs.withColumn("__page", text_key(F.col("text")))
-    with_gone = keyed.alias("a").join(gone.alias("g"), F.expr("a.source <=> g.host AND a.__page = g.page"), "left")
+    with_gone = keyed.alias("a").join(gone.hint("merge").alias("g"), F.expr("a.source <=> g.host AND a.__page = g.page"), "left")
     lines = F.split(F.col("a.text"), "\n")
     keep = F.filter(lines, lambda line: ~F.array_contains(F.col("g.gone"), text_key(bare(line))))
     kept = F.when(F.col("g.gone").isNull(), lines).otherwise(keep)
