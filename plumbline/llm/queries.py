@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import line_dedup, packing, toxicity
+from plumbline.llm import line_dedup, packing, quality, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.simhash import near_copies
 
@@ -27,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "p_text", "p_meta", "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
@@ -42,6 +47,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
