@@ -41,9 +41,9 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat an id and a text become one row. Only ids are aggregated to find them, so the
     texts of all other documents are not shuffled a second time.
     """
-    copies = stored(simhash.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct())
+    copies = stored(simhash.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"), "text_key").distinct())
     repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("other_id")))
-    firsts = stored(docs.join(copies.hint("merge"), F.col("doc_id") == F.col("other_id"), "left_anti"))
+    firsts = stored(docs.join(copies.hint("merge"), (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("text_key")), "left_anti"))
     once = firsts.join(repeated, F.col("doc_id") == F.col("other_id"), "left_anti")
     more = firsts.join(repeated, F.col("doc_id") == F.col("other_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(more)

@@ -54,14 +54,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Columns (doc_id, fp): the fingerprint's bits as a long."""
+    """Columns (doc_id, text_key, fp): a hash that tells a row's text, and the fingerprint's bits as a long."""
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.fromiter((fingerprint(t or b"") for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        values = np.fromiter((fingerprint(t or b"") for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    return map_batches(texts, hashed, "doc_id long, fp long")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_key"), F.col(text_column).cast("binary").alias("text"))
+    return map_batches(texts, hashed, "doc_id long, text_key long, fp long")
 
 
 def filed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Columns (doc_id, fingerprint, component_id), one row per input row."""
+    """Columns (doc_id, fingerprint, component_id, text_key), one row per input row."""
     marked = stored(fingerprints(docs, id_column, text_column))
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = stored(components(links(distinct)))
@@ -148,4 +148,4 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stored(named.join(firsts, "root").select(F.col("fp").alias("class_fp"), "component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", digits, "component_id")
+    return marked.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", digits, "component_id", "text_key")
