@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import line_dedup, packing, quality, toxicity
+from plumbline.llm import line_dedup, packing, quality, topk, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.simhash import near_copies
 
@@ -22,6 +22,10 @@ def vocabulary_paths() -> dict[str, str]:
     }
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", "held_out", "score", "predicted")
@@ -46,6 +50,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
@@ -54,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_top_k": topk.SQL,
     "op8_line_dedup": line_dedup.SQL.format(ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES),
 }
