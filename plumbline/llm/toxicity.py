@@ -42,6 +42,7 @@ RATE = 1000.0
 MOMENTUM = 0.9
 DECAY = 1e-7
 CHARS_AT_ONCE = 1 << 19
+SUBWORDS_AT_ONCE = 1 << 20
 STEP = np.uint64(0x100000001B3)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
@@ -125,6 +126,8 @@ def train(rows: list, seed: int = 7) -> tuple[np.ndarray, float]:
     size = np.concatenate(sizes).astype(np.int64)
     bag = np.concatenate([np.frombuffer(row["buckets"], np.int32) for row in rows])
     start, first = np.cumsum(size) - size, np.cumsum(windows) - windows
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(bag) + SUBWORDS_AT_ONCE, SUBWORDS_AT_ONCE)))
+    parts = [(a, b, int(start[a]), int(start[b]) if b < len(start) else len(bag)) for a, b in zip(cuts[:-1], cuts[1:])]
     filled = np.maximum(size, LEAST)
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(seed)
@@ -134,14 +137,15 @@ def train(rows: list, seed: int = 7) -> tuple[np.ndarray, float]:
     for epoch in range(EPOCHS):
         reads = softmax[:, 1] - softmax[:, 0]
         per_bucket = (embedding @ reads).astype(np.float32)
-        logit = np.add.reduceat(per_bucket[bag], start) / filled
+        logit = np.concatenate([np.add.reduceat(per_bucket[bag[x:y]], start[a:b] - x) for a, b, x, y in parts]) / filled
         best = np.maximum.reduceat(logit, first)
         on_top = np.flatnonzero(logit == np.repeat(best, windows))
         top = on_top[np.searchsorted(on_top, first)]
         if epoch < MEAN_EPOCHS:
             z = np.add.reduceat(logit, first) / windows + bias[1] - bias[0]
             rest = (1 / (1 + np.exp(-z)) - y) * weight
-            back = np.bincount(bag, np.repeat(np.repeat(rest / windows, windows) / filled, size), 1 << BUCKET_BITS)
+            each = np.repeat(rest / windows, windows) / filled
+            back = sum(np.bincount(bag[x:y], np.repeat(each[a:b], size[a:b]), 1 << BUCKET_BITS) for a, b, x, y in parts)
         else:
             rest = (1 / (1 + np.exp(-(best + bias[1] - bias[0]))) - y) * weight
             used = np.concatenate([bag[start[t] : start[t] + size[t]] for t in top])
@@ -169,7 +173,9 @@ def window_logit(text: str, bucket_logits: np.ndarray) -> float:
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Columns doc_id, held_out, score, predicted and the remaining columns of ``docs``."""
     rows = sample_rows(learning_sample(docs, labels, "toxic", (2 * sample, sample), ["text"]))
-    model = docs.sparkSession.sparkContext.broadcast(train(rows))
+    trained = train(rows)
+    del rows
+    model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_logits, bias = model.value
