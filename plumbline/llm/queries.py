@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, html_wrappers, line_dedup, packing, quality, token_counts, topk, toxicity
+from plumbline.llm import embedding_dedup, html_wrappers, line_dedup, packing, quality, sentencepiece_lattice, token_counts, topk, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.simhash import near_copies
 
@@ -41,6 +42,17 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of units and ids, crc32 of the ids as text, and crc32 of the text they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path)
+    decoded = sentencepiece_lattice.decode_rows(encoded, path)
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_ids"), F.crc32(ids_text).alias("ids_crc32"), F.crc32("text").alias("decoded_crc32"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.page_texts(table(spark, sf_dir, "pages"))
 
@@ -68,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
