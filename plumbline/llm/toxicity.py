@@ -13,7 +13,7 @@ not water down a few insults. Embeddings and softmax are trained jointly in nump
 seen shares the vectors of its n-grams: first on all windows, then on each document's top window.
 
 Training takes at most SAMPLE toxic and 2 * SAMPLE clean labelled rows, and of a row at most
-SAMPLE_WINDOWS evenly spaced windows; both bound the driver's memory. Scoring reads every window of
+SAMPLE_WINDOWS evenly spaced windows; both bound the one task that trains. Scoring reads every window of
 every text in one pass: with both layers linear, a bucket's share of the logits is one number.
 """
 
@@ -102,21 +102,27 @@ def sample_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bag, size
 
 
-def sample_rows(sample: DataFrame) -> list:
-    """Rows (y, buckets, sizes) of the bounded learning sample."""
+def learned(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """The model of a bounded sample, trained in one task; only the bucket logits reach the driver."""
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [sample_windows(t.as_py() or "") for t in batch.column(0)]
             columns = [batch.column(1), *(pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["y", "buckets", "sizes"])
 
-    return sample.select("text", "y").mapInArrow(apply, "y int, buckets binary, sizes binary").collect()
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, bias = train([row for batch in batches for row in batch.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([scores.tobytes()], pa.binary()), pa.array([bias])], names=["scores", "bias"])
+
+    bags = sample.select("text", "y").mapInArrow(windows, "y int, buckets binary, sizes binary")
+    rows = bags.repartition(1).mapInArrow(model, "scores binary, bias double").collect()
+    return (np.frombuffer(rows[0]["scores"], np.float32), rows[0]["bias"]) if rows else train([])
 
 
 def train(rows: list, seed: int = 7) -> tuple[np.ndarray, float]:
     """Bucket logits (toxic minus clean) and bias, from gradient descent on embeddings and softmax."""
-    rows = [row for row in rows if row["sizes"]]
+    rows = sorted((row for row in rows if row["sizes"]), key=lambda row: (row["y"], row["buckets"]))
     y = np.array([row["y"] for row in rows], np.int64)
     if len(np.unique(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
@@ -172,10 +178,8 @@ def window_logit(text: str, bucket_logits: np.ndarray) -> float:
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Columns doc_id, held_out, score, predicted and the remaining columns of ``docs``."""
-    rows = sample_rows(learning_sample(docs, labels, "toxic", (2 * sample, sample), ["text"]))
-    trained = train(rows)
-    del rows
-    model = docs.sparkSession.sparkContext.broadcast(trained)
+    found = learned(learning_sample(docs, labels, "toxic", (2 * sample, sample), ["text"]))
+    model = docs.sparkSession.sparkContext.broadcast(found)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_logits, bias = model.value
