@@ -26,6 +26,7 @@ MAX_REVISION_ROUNDS = 1
 SUPPORTING_LIMIT = 8
 OBSERVATION_LIMIT = 8
 VISIBLE_LIMIT = 4
+RESPONSE_SALTS = 16
 MAX_RESPONSE_CHARS = 10_000
 ALLOWED_ACTIONS = ("MONITOR", "INSPECT", "SCHEDULE_MAINTENANCE", "EXPERT_REVIEW", "SHUTDOWN_CHECK")
 IMPORTANT_ACTIONS = ("SHUTDOWN_CHECK", "SCHEDULE_MAINTENANCE")
@@ -339,27 +340,33 @@ def human_requests(runs: DataFrame) -> DataFrame:
 
 
 def validate_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Check responses (run_id, request_id, response map) against waiting requests.
+    """Check responses (run_id, request_id, response map, received_order) against waiting requests.
 
-    Adds ``rejection``: the first broken rule, or null. A second response to one request is late.
+    Adds ``rejection``: the first broken rule, or null. A refused response leaves its request open, so
+    the earliest response that breaks no other rule is accepted and later ones are late. That earliest
+    order is a mergeable minimum per request; it joins back by salted keys, so a request with very many
+    responses is neither sorted nor gathered.
     """
     waiting = requests.select("run_id", F.col("request_id").alias("_pending"), "request_type", "requested_fields", "workflow_status")
-    first = Window.partitionBy("request_id").orderBy("received_order")
-    numbered = responses.withColumn("_n", F.row_number().over(first))
     body = F.col("response")
     decision = F.element_at(body, F.lit("decision"))
     lacking = F.filter("requested_fields", lambda f: F.coalesce(F.element_at(body, f), F.lit("")) == "")
-    rejection = (
+    broken = (
         F.when(F.col("workflow_status").isNull(), "RUN_NOT_FOUND")
         .when(F.col("workflow_status") != "WAITING", "NOT_WAITING")
         .when(F.col("_pending").isNull(), "NO_PENDING_REQUEST")
-        .when(F.col("request_id") != F.col("_pending"), "REQUEST_MISMATCH")
+        .when(~F.col("request_id").eqNullSafe(F.col("_pending")), "REQUEST_MISMATCH")
         .when(F.length(F.to_json(body)) > MAX_RESPONSE_CHARS, "TOO_LARGE")
         .when((F.col("request_type") == "APPROVAL") & ~F.coalesce(decision.isin(*DECISIONS), F.lit(False)), "INVALID_DECISION")
         .when((F.col("request_type") != "APPROVAL") & (F.size(lacking) > 0), "MISSING_FIELDS")
-        .when(F.col("_n") > 1, "ALREADY_RESOLVED")
     )
-    return numbered.join(waiting, "run_id", "left").withColumn("rejection", rejection).drop("_n", "_pending")
+    judged = responses.join(waiting, "run_id", "left").withColumn("rejection", broken).drop("_pending")
+    judged = judged.withColumn("_salt", F.pmod(F.xxhash64("received_order", F.to_json("response")), F.lit(RESPONSE_SALTS)))
+    firsts = judged.filter(F.col("rejection").isNull()).groupBy("run_id").agg(F.min("received_order").alias("_first"))
+    firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RESPONSE_SALTS - 1)).cast("array<bigint>")))
+    late = F.col("rejection").isNull() & (F.col("received_order") > F.col("_first"))
+    known = judged.join(firsts, ["run_id", "_salt"], "left")
+    return known.withColumn("rejection", F.when(late, "ALREADY_RESOLVED").otherwise(F.col("rejection"))).drop("_first", "_salt")
 
 
 def apply_responses(runs: DataFrame, accepted: DataFrame) -> DataFrame:

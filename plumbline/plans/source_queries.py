@@ -350,8 +350,8 @@ def event_stream(spark, sf_dir):
 def stream_append(spark, sf_dir):
     """Every event arrives twice and is kept once."""
     stream = event_stream(spark, sf_dir)
-    once = jobs.append_events(stream.union(stream), "at")
-    return jobs.drain(once, jobs.work_folder(spark), "events").select("event_id", "run_id", "sequence", "node")
+    once = jobs.append_events(stream.union(stream), jobs.work_folder(spark))
+    return once.select("event_id", "run_id", "sequence", "node")
 
 
 @query(
@@ -404,4 +404,4 @@ def stream_wait_resume(spark, sf_dir):
         F.concat(F.lit("run_"), key).alias("run_id"),
         F.inline(F.array(message("request", right, 1), message("response", answer, 2), message("response", answer, 3))),
     )
-    return jobs.drain(jobs.wait_resume(messages), jobs.work_folder(spark), "outcomes").select("run_id", "outcome")
+    return jobs.outcomes(messages, jobs.work_folder(spark)).select("run_id", "outcome")

@@ -260,26 +260,32 @@ def human_requests(spark, sf_dir):
 
 
 RESPONSES_SQL = """answered AS (
-  SELECT run_id, request_type, request_id, CASE WHEN d < 3 THEN ['APPROVED', 'REJECTED', 'NEEDS_REVISION'][d + 1] ELSE 'MAYBE' END AS decision, d, e
-  FROM (SELECT *, CAST(substr(run_id, 5) AS BIGINT) % 4 AS d, CAST(substr(run_id, 5) AS BIGINT) % 3 AS e FROM requests)),
-verdicts AS (SELECT *, CASE WHEN d = 3 AND e = 2 THEN 'REQUEST_MISMATCH' WHEN request_type = 'APPROVAL' AND d = 3 THEN 'INVALID_DECISION'
-  WHEN request_type <> 'APPROVAL' AND e = 0 THEN 'MISSING_FIELDS' END AS rejection FROM answered)"""
+  SELECT run_id, request_type, CAST(substr(run_id, 5) AS BIGINT) % 4 AS d, CAST(substr(run_id, 5) AS BIGINT) % 3 AS e FROM requests),
+answer1 AS (SELECT *, CASE WHEN d < 3 THEN ['APPROVED', 'REJECTED', 'NEEDS_REVISION'][d + 1] ELSE 'MAYBE' END AS decision,
+  CASE WHEN d = 3 AND e = 2 THEN 'REQUEST_MISMATCH' WHEN request_type = 'APPROVAL' AND d = 3 THEN 'INVALID_DECISION'
+  WHEN request_type <> 'APPROVAL' AND e = 0 THEN 'MISSING_FIELDS' END AS rejection FROM answered),
+verdicts AS (SELECT run_id, request_type, decision, rejection FROM answer1
+  UNION ALL SELECT run_id, request_type, CASE WHEN d = 3 THEN 'APPROVED' ELSE decision END,
+    CASE WHEN d = 3 AND rejection IS NOT NULL THEN NULL ELSE coalesce(rejection, 'ALREADY_RESOLVED') END FROM answer1)"""
 
 
 def validated(spark, sf_dir):
+    """Two answers to each request; where the first is a MAYBE, the second is in order."""
     requests = waiting_requests(spark, sf_dir).withColumn("workflow_status", F.lit("WAITING"))
     number = F.substr("run_id", F.lit(5)).cast("bigint")
     d, e = number % 4, number % 3
-    decision = F.when(d == 0, "APPROVED").when(d == 1, "REJECTED").when(d == 2, "NEEDS_REVISION").otherwise("MAYBE")
-    observed = F.when(e == 0, "").otherwise("seen")
+    twice = requests.select("run_id", "request_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("received_order"))
+    better = (d == 3) & (F.col("received_order") == 2)
+    decision = F.when(d == 0, "APPROVED").when(d == 1, "REJECTED").when(d == 2, "NEEDS_REVISION").when(better, "APPROVED").otherwise("MAYBE")
+    observed = F.when((e == 0) & ~better, "").otherwise("seen")
     body = F.create_map(F.lit("decision"), decision, F.lit("inspection_observation"), observed, F.lit("operating_condition_confirmation"), F.lit("yes"))
-    once = requests.select(
+    responses = twice.select(
         "run_id",
-        F.when((d == 3) & (e == 2), F.lit("request_wrong")).otherwise(F.col("request_id")).alias("request_id"),
+        F.when((d == 3) & (e == 2) & ~better, F.lit("request_wrong")).otherwise(F.col("request_id")).alias("request_id"),
         body.alias("response"),
+        "received_order",
     )
-    twice = once.withColumn("received_order", F.explode(F.array(F.lit(1), F.lit(2))))
-    return wf.validate_responses(requests, twice.withColumn("request_id", F.when(F.col("request_id") == "request_wrong", F.concat("request_id", "run_id")).otherwise(F.col("request_id"))))
+    return wf.validate_responses(requests, responses)
 
 
 V = with_views(RUNS_SQL, EVIDENCE_SQL, UNION_SQL, STATE_SQL, ACTIONS_SQL, REQUESTS_SQL, RESPONSES_SQL)
@@ -288,9 +294,7 @@ V = with_views(RUNS_SQL, EVIDENCE_SQL, UNION_SQL, STATE_SQL, ACTIONS_SQL, REQUES
 @query(
     "response_checks",
     V
-    + """SELECT rejection, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT coalesce(rejection, 'ACCEPTED') AS rejection, count(*) AS n FROM verdicts GROUP BY 1
-  UNION ALL SELECT coalesce(rejection, 'ALREADY_RESOLVED'), count(*) FROM verdicts GROUP BY 1) GROUP BY 1""",
+    + "SELECT coalesce(rejection, 'ACCEPTED') AS rejection, count(*) AS n FROM verdicts GROUP BY 1",
 )
 def response_checks(spark, sf_dir):
     return validated(spark, sf_dir).groupBy(F.coalesce("rejection", F.lit("ACCEPTED")).alias("rejection")).agg(F.count(F.lit(1)).alias("n"))

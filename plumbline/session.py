@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,19 +30,40 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        ship_package(spark)
+    return spark
 
 
-def cut_lineage(df, eager: bool = True):
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
+def ship_package(spark: SparkSession) -> None:
+    """Give every Python worker this package, as an archive of its source files."""
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="plumbline-package-")) / "plumbline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(file.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(str(archive))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor must see.
 
-    The folder is read from the session. Without one the plan is returned as it is, which is
-    correct and only longer.
+    Only in local mode, as in tests, an unset folder is replaced by an own one; on a cluster executors
+    would each write to their own disk, so that is an error.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df, eager: bool = True):
+    """Checkpoint to the shared folder, always: a plan's length never depends on a setting."""
     context = df.sparkSession.sparkContext
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
     if context.getCheckpointDir() is None:
-        return df
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)

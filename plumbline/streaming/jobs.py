@@ -1,12 +1,15 @@
 """Structured Streaming jobs over run events.
 
 Results and checkpoints go below one shared folder. The jobs use ``availableNow``, so the same
-code drains a backlog and, with another trigger, runs continuously.
+code drains a backlog and, with another trigger, runs continuously. Results are logs of keyed batches:
+every micro-batch writes its own folder, a repeated batch replaces itself, and a read merges the
+batches by key. After COMPACT batches the log is merged into one folder, so neither the number of
+folders that a read opens nor any operator state grows with the age of the stream.
 """
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,88 +21,208 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from plumbline.operators import events as ev
 from plumbline.operators import memory as mem
-from plumbline.session import STATE_STORE
+from plumbline.session import STATE_STORE, shared_folder
 
-DELAY = "1 hour"  # how late a repeated delivery may come
+COMPACT = 16  # batches between two merges of a log
+EVENT_BUCKETS = 64  # folders of a log by key, so that a batch looks up only the buckets it touches
+HOLD_MS = 600_000  # how long an answer waits for a request that has not come yet
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+KEEP_MS = 86_400_000  # how long a resolved request is remembered
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared folder the cluster names; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/jobs/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="plumbline-")
+    """A new folder below the shared folder the cluster names."""
+    return f"{shared_folder(spark)}/jobs/{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table folder as a file stream with the schema of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a file stream with the schema of its files: one file, or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    if not _status(spark, path).isDirectory():
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def drain(stream: DataFrame, folder: str, name: str, mode: str = "append", write: Callable | None = None) -> DataFrame:
-    """Run a stream to the end of its input and return what it wrote."""
-    spark = stream.sparkSession
-    out = f"{folder}/{name}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/_{name}").trigger(availableNow=True)
-    if write is None:
-        writer = writer.format("parquet").option("path", out)
-    else:
-        writer = writer.foreachBatch(lambda batch, number: write(batch, number, out))
-    writer.start().awaitTermination()
-    return spark.read.parquet(out)
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
 
+def _status(spark: SparkSession, path: str):
+    files, target = _files(spark, path)
+    return files.getFileStatus(target)
 
-def append_events(events: DataFrame, time: str) -> DataFrame:
-    """First delivery of every event id within the delay; state older than that is dropped."""
-    return events.withWatermark(time, DELAY).dropDuplicatesWithinWatermark(["event_id"])
 
+def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Finished ``kind=<number>`` folders of a log, in order."""
+    files, target = _files(spark, folder)
+    if not files.exists(target):
+        return []
+    names = [s.getPath() for s in files.listStatus(target)]
+    whole = [p for p in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(m[1]) for p in whole if (m := re.fullmatch(rf"{kind}=(\d+)", p.getName())))
 
-def write_versioned(batch: DataFrame, number: int, out: str) -> None:
-    """Write a batch to its own folder; a repeated batch replaces itself."""
-    batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+def run_to_end(stream: DataFrame, folder: str, name: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run a stream to the end of its input, one call of ``write`` per batch."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/_{name}").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, number: write(batch, number)).start().awaitTermination()
+
+
+class KeyedLog:
+    """Rows of micro-batches under a folder, merged by key on read.
+
+    ``merge`` must give the same rows whether it sees all batches or earlier merges of some of them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame]) -> None:
+        self.spark, self.folder, self.merge = spark, folder, merge
+        self.schema = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+
+    def _rows(self, before: int) -> DataFrame:
+        merged = [n for n in _numbers(self.spark, self.folder, "merged") if n < before]
+        start = merged[-1] if merged else -1
+        paths = [f"{self.folder}/merged={start}"] if merged else []
+        paths += [f"{self.folder}/batch={n}" for n in _numbers(self.spark, self.folder, "batch") if start < n < before]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, before: int = 2**62) -> DataFrame:
+        """The merged table of all batches below ``before``."""
+        return self.merge(self._rows(before)).drop("_batch")
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        if (number + 1) % COMPACT == 0:
+            whole = self.merge(self._rows(number + 1))
+            whole.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.folder}/merged={number}")
+
+
+def append_events(events: DataFrame, folder: str) -> DataFrame:
+    """Every event id once, however late and however often it is delivered.
+
+    A batch is reduced to its first deliveries and joined against the ids stored in the buckets that it
+    touches; there is no delay after which an event is lost or a repeat is kept.
+    """
+    spark, out, schema = events.sparkSession, f"{folder}/events", events.schema
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(EVENT_BUCKETS)).cast("int")
+    fields = T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])
+
+    def known(before: int) -> DataFrame:
+        paths = [f"{out}/batch={n}" for n in _numbers(spark, out, "batch") if n < before]
+        rows = [spark.read.schema(fields).parquet(p) for p in paths]
+        whole = spark.createDataFrame([], fields)
+        for part in rows:
+            whole = whole.unionByName(part)
+        return whole
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most EVENT_BUCKETS
+            stored = known(number).filter(F.col("_bucket").isin(touched)) if touched else known(number)
+            new = ev.append_new(stored, batch).withColumn("_bucket", bucket)
+            new.select(*fields.fieldNames()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{out}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    run_to_end(events, folder, "events", write)
+    return known(2**62).drop("_bucket")
+
+
+def merge_states(parts: DataFrame) -> DataFrame:
+    """Run states from partial states of disjoint events."""
+    return parts.groupBy("run_id").agg(
+        F.max("last_sequence").alias("last_sequence"),
+        F.max_by("current_node", "last_sequence").alias("current_node"),
+        F.sum("event_count").alias("event_count"),
+        F.sum("retrievals").alias("retrievals"),
+        F.max("completed").alias("completed"),
+        F.max("_batch").alias("_batch"),
+    )
 
 
 def materialise_states(events: DataFrame, folder: str) -> DataFrame:
-    """Latest state per run: changed runs are written per batch, the newest batch wins on read."""
-    written = drain(ev.run_state(events), folder, "run_state", "update", write_versioned)
-    return mem.latest(written.drop("batch"), ["run_id"], F.col("_batch")).drop("_batch")
+    """State per run: batches store partial states of their own events, a read adds them up."""
+    log = KeyedLog(events.sparkSession, f"{folder}/run_state", ev.run_state(events).schema, merge_states)
+    run_to_end(events, folder, "run_state", lambda batch, number: log.write(ev.run_state(batch), number))
+    return log.read()
 
 
-def memory_sink(runs: DataFrame, folder: str) -> DataFrame:
-    """Memory records of runs that reached COMPLETED."""
+def merge_records(parts: DataFrame) -> DataFrame:
+    """Newest content of every natural key, as a stored upsert gives it."""
+    return mem.latest(parts, mem.KEY, F.struct("event_time", "_batch", "memory_id"))
 
-    def write(batch: DataFrame, number: int, out: str) -> None:
-        write_versioned(mem.records_from_runs(batch), number, out)
 
-    return drain(runs, folder, "memory", "append", write).drop("_batch", "batch")
+def memory_sink(runs: DataFrame, folder: str) -> DataFrame:
+    """Memory records of runs that reached COMPLETED, upserted by their natural key."""
+    log = KeyedLog(runs.sparkSession, f"{folder}/memory", mem.records_from_runs(runs).schema, merge_records)
+    run_to_end(runs, folder, "memory", lambda batch, number: log.write(mem.records_from_runs(batch), number))
+    return log.read()
 
 
 class WaitResume(StatefulProcessor):
-    """Per run: WAITING on a request until the matching response, which counts once."""
+    """Per run: WAITING on a request until the matching response, which counts once.
+
+    All rows of a micro-batch are put in order of position before they are judged, also when they come
+    in several frames. An answer whose request has not been seen waits for it in state, HOLD_MS at
+    most; a resolved request leaves the state after KEEP_MS.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("status", T.StringType())])
-        self.state = handle.getValueState("request", fields)
+        request = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("status", T.StringType())])
+        answer = T.StructType([T.StructField("position", T.LongType()), T.StructField("request_id", T.StringType())])
+        self.handle = handle
+        self.state = handle.getValueState("request", request)
+        self.held = handle.getListState("held", answer)
+
+    def _timer(self, now: int, after: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(now + after)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        current = self.state.get() if self.state.exists() else None
-        out = []
-        for frame in rows:
-            for kind, request_id in frame.sort_values("position")[["kind", "request_id"]].itertuples(index=False):
-                if kind == "request":
-                    if current is None or current[1] != "WAITING":
-                        current = (request_id, "WAITING")
-                        out.append((key[0], request_id, "WAITING"))
-                elif current is None:
-                    out.append((key[0], request_id, "NO_PENDING_REQUEST"))
-                elif request_id != current[0]:
-                    out.append((key[0], request_id, "REQUEST_MISMATCH"))
-                elif current[1] == "RESUMED":
-                    out.append((key[0], request_id, "ALREADY_RESOLVED"))
-                else:
-                    current = (request_id, "RESUMED")
-                    out.append((key[0], request_id, "RESUMED"))
-        if current is not None:
+        current = tuple(self.state.get()) if self.state.exists() else None
+        frames = [f[["position", "kind", "request_id"]] for f in rows]
+        if current is None and self.held.exists():
+            waiting = [(p, "response", r) for p, r in self.held.get()]
+            frames.insert(0, pd.DataFrame(waiting, columns=["position", "kind", "request_id"]))
+        ordered = pd.concat(frames).sort_values("position", kind="stable")
+        early, out = [], []
+        for position, kind, request_id in ordered.itertuples(index=False):
+            if kind == "request":
+                if current is None or current[1] != "WAITING":
+                    current = (request_id, "WAITING")
+                    out.append((key[0], request_id, "WAITING"))
+            elif current is None:
+                early.append((int(position), request_id))
+            elif request_id != current[0]:
+                out.append((key[0], request_id, "REQUEST_MISMATCH"))
+            elif current[1] == "RESUMED":
+                out.append((key[0], request_id, "ALREADY_RESOLVED"))
+            else:
+                current = (request_id, "RESUMED")
+                out.append((key[0], request_id, "RESUMED"))
+        now = timers.getCurrentProcessingTimeInMs()
+        if current is None:
+            self.held.put(early)
+            self._timer(now, HOLD_MS)
+        else:
+            out += [(key[0], request_id, "NO_PENDING_REQUEST") for _, request_id in early]
+            self.held.clear()
             self.state.update(current)
+            if current[1] == "RESUMED":
+                self._timer(now, KEEP_MS)
+        yield pd.DataFrame(out, columns=["run_id", "request_id", "outcome"])
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            if self.state.get()[1] == "RESUMED":
+                self.state.clear()
+        elif self.held.exists():
+            out = [(key[0], request_id, "NO_PENDING_REQUEST") for _, request_id in self.held.get()]
+            self.held.clear()
         yield pd.DataFrame(out, columns=["run_id", "request_id", "outcome"])
 
     def close(self) -> None:
@@ -107,8 +230,24 @@ class WaitResume(StatefulProcessor):
 
 
 def wait_resume(messages: DataFrame) -> DataFrame:
-    """Outcome per message (run_id, kind, request_id, position) in arrival order."""
+    """Outcome per message (run_id, kind, request_id, position) in the order of positions."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return messages.groupBy("run_id").transformWithStateInPandas(
-        WaitResume(), outputStructType="run_id string, request_id string, outcome string", outputMode="Append", timeMode="None"
+        WaitResume(), outputStructType="run_id string, request_id string, outcome string", outputMode="Append", timeMode="ProcessingTime"
     )
+
+
+def outcomes(messages: DataFrame, folder: str) -> DataFrame:
+    """All outcomes of a stream of messages, drained once.
+
+    Timers keep a stream busy with batches that have no data, so these are off while it drains.
+    """
+    spark, stream = messages.sparkSession, wait_resume(messages)
+    log = KeyedLog(spark, f"{folder}/outcomes", stream.schema, lambda rows: rows)
+    before = spark.conf.get(NO_DATA_BATCHES)
+    spark.conf.set(NO_DATA_BATCHES, "false")
+    try:
+        run_to_end(stream, folder, "outcomes", lambda batch, number: log.write(batch, number))
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
+    return log.read()
