@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import bounded_batches, stored
 
 SALTS = 64
 DEEPEST = 48
@@ -313,7 +313,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
             columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    known = stored(host_wrappers(pages).mapInArrow(paths, "known string, paths string"))
+    known = stored(host_wrappers(bounded_batches(pages)).mapInArrow(paths, "known string, paths string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
     joined = rows.join(known.hint("merge"), F.col("host") == F.col("known"), "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

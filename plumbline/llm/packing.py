@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blocks_of, stored
+from plumbline.llm.common import blocks_of, bounded_batches, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, rank_path: str, json_path: str, pattern: str,
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=names)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(apply, PIECES + (", ids array<long>" if keep_ids else ""))
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import bounded_batches
 from plumbline.llm.labels import fold, label_of, learning_sample
 
 SAMPLE = 2000
@@ -174,6 +175,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
     """Columns doc_id, held_out, p_text, p_meta, score, predicted and the remaining columns of ``docs``."""
+    bounded_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, sample, pool))
     added = ["p_text", "p_meta", "score"]
 

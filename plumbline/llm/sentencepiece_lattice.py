@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from plumbline.llm.common import bounded_batches
 from pyspark.sql import types as T
 
 #: Fixed value of the format: the mark of a word's beginning.
@@ -178,7 +180,7 @@ def encoded_units(units: DataFrame, model_path: str) -> DataFrame:
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = rows.mapInArrow(unit_rows, "chunk long, place int, unit string").repartition("unit")
     ids = encoded_units(units.select("unit").distinct(), model_path)
     found = units.join(ids.hint("merge"), "unit").select("chunk", "place", "ids")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, map_batches, merge_labels, run_bounds, stored, whole_runs
+from plumbline.llm.common import bounded_batches, components, map_batches, merge_labels, run_bounds, stored, whole_runs
 
 SEED = 42
 SHINGLE = 3
@@ -141,7 +141,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns (doc_id, fingerprint, component_id, text_key), one row per input row."""
-    marked = stored(fingerprints(docs, id_column, text_column))
+    marked = stored(fingerprints(bounded_batches(docs), id_column, text_column))
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = stored(components(links(distinct)))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import bounded_batches
+
 REMEMBERED = 300_000
 SHORT = 48
 LAST = 256
@@ -149,5 +151,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 found[:, row] = len(words), sum(map(counts.__getitem__, words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[0]), pa.array(found[1])], names=["doc_id", "n_words", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(apply, "doc_id long, n_words long, n_tokens long")

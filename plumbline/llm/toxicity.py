@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import bounded_batches
 from plumbline.llm.labels import fold, learning_sample
 
 BUCKET_BITS = 18
@@ -131,6 +132,7 @@ def train(rows: list, seed: int = 7) -> tuple[np.ndarray, float]:
     windows = np.array([len(n) for n in sizes])
     size = np.concatenate(sizes).astype(np.int64)
     bag = np.concatenate([np.frombuffer(row["buckets"], np.int32) for row in rows])
+    del rows
     start, first = np.cumsum(size) - size, np.cumsum(windows) - windows
     cuts = np.unique(np.searchsorted(start, np.arange(0, len(bag) + SUBWORDS_AT_ONCE, SUBWORDS_AT_ONCE)))
     parts = [(a, b, int(start[a]), int(start[b]) if b < len(start) else len(bag)) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -157,9 +159,12 @@ def train(rows: list, seed: int = 7) -> tuple[np.ndarray, float]:
             used = np.concatenate([bag[start[t] : start[t] + size[t]] for t in top])
             back = np.bincount(used, np.repeat(rest / filled[top], size[top]), 1 << BUCKET_BITS)
         pull = embedding.T @ back.astype(np.float32)
-        speed = MOMENTUM * speed - RATE * (np.outer(back, reads).astype(np.float32) + DECAY * embedding)
+        speed *= MOMENTUM
+        speed -= np.outer((RATE * back).astype(np.float32), reads.astype(np.float32))
+        speed -= np.float32(RATE * DECAY) * embedding
         turn = MOMENTUM * turn - 0.01 * np.stack([-pull, pull], axis=1)
-        embedding, softmax = embedding + speed, softmax + turn
+        embedding += speed
+        softmax = softmax + turn
         bias = bias - 0.5 * np.array([-1, 1]) * rest.sum()
     return (embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
@@ -178,6 +183,7 @@ def window_logit(text: str, bucket_logits: np.ndarray) -> float:
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Columns doc_id, held_out, score, predicted and the remaining columns of ``docs``."""
+    bounded_batches(docs)
     found = learned(learning_sample(docs, labels, "toxic", (2 * sample, sample), ["text"]))
     model = docs.sparkSession.sparkContext.broadcast(found)
 
