@@ -16,6 +16,20 @@ APPROX_ACCURACY = 10_000
 WHOLE_GROUP_ROWS = 20_000  # groups up to this size are ranked whole, larger ones by bracket
 
 
+SALTS = 16  # tasks over which the rows of one key are spread when facts per key join back
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread_by: Column, how: str = "inner") -> DataFrame:
+    """Join one row of facts per key back to the rows.
+
+    Facts that were just aggregated on the key leave no exchange that adaptive execution could split,
+    so the rows of a key are dealt out by a salt and its one row of facts is repeated for each.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -122,7 +136,7 @@ def exact_quantiles(
     )
     k = len(levels)
     small = F.col("_n") <= WHOLE_GROUP_ROWS
-    tagged = rows.join(brackets, list(keys)).select(
+    tagged = join_facts(rows, brackets, keys, F.col("_v")).select(
         *keys,
         "_n",
         "_x",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import safe_ratio
-from plumbline.operators.ordered import exact_quantiles
+from plumbline.operators.ordered import exact_quantiles, join_facts
 
 # Grammar of the machining feature columns and the near-zero-variance rule.
 STATISTICS = ("max", "mean", "min", "std")
@@ -151,10 +151,10 @@ def pair_flags(facts: DataFrame) -> DataFrame:
 def annotate_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pair flags on every row; rows are neither merged nor relabelled.
 
-    The serials are aggregated before the join back, so a frequent serial costs one row on the
-    build side; adaptive execution splits it on the row side.
+    The serials are aggregated before the join back, and the rows of a frequent serial are dealt out
+    over salted keys.
     """
-    return df.join(pair_flags(pair_facts(df, features)), "serial_no")
+    return join_facts(df, pair_flags(pair_facts(df, features)), ["serial_no"], F.hash(*features))
 
 
 def pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import even_round, moments
-from plumbline.operators.ordered import exact_quantiles, with_next
+from plumbline.operators.ordered import exact_quantiles, join_facts, with_next
 
 # Channels recorded at the nominal high rate, and that rate in hertz.
 HIGH_RATE_CHANNELS = ("phase_current_1", "phase_current_2", "vibration_1")
@@ -130,7 +130,7 @@ def sampling_facts(signals: DataFrame, keys: Sequence[str] = CHANNEL) -> DataFra
     middle = exact_quantiles(steps, keys, "_step", {"_median": 0.5})
     tolerance = F.greatest(F.abs("_median") * 1e-6, F.lit(1e-12)) + F.lit(1e-3) * F.abs("_median")
     uniform = (
-        steps.join(middle, list(keys))
+        join_facts(steps, middle, keys, F.col("_step"))
         .groupBy(*keys)
         .agg(F.every((F.col("_median") > 0) & (F.abs(F.col("_step") - F.col("_median")) <= tolerance)).alias("uniform_time_axis"))
     )

@@ -65,3 +65,32 @@ def test_interpolation_matches_numpy(spark):
     slow = spark.createDataFrame([("m", float(t), float(v)) for t, v in zip(slow_t, slow_v)], "k string, t double, value double")
     got = ordered.asof_interpolate(fast, slow, ["k"], "t", "value", 7.0).orderBy("t").collect()
     assert [r.value_at for r in got] == pytest.approx(list(np.interp(fast_t, slow_t, slow_v)))
+
+
+def most_rows_of_a_task(df):
+    """Share of the rows in the fullest partition, with adaptive execution and broadcasts off."""
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(counts) / sum(counts)
+
+
+@pytest.fixture
+def plain_joins(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_key_with_two_thirds_of_the_rows_is_split(spark, plain_joins):
+    from plumbline.operators import quality as ql
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("serial_no"), (F.col("id") * 7 % 1009).cast("double").alias("f"))
+    facts = rows.groupBy("serial_no").agg(F.max("f").alias("top"))
+    joined = ordered.join_facts(rows, facts, ["serial_no"], F.col("f"))
+    assert joined.count() == 30_000
+    assert most_rows_of_a_task(joined) < 0.35 < most_rows_of_a_task(rows.join(facts, "serial_no"))
+    full = rows.withColumns({"received_at": F.lit("2024-01-01"), "passorfail": F.lit("0")})
+    assert most_rows_of_a_task(ql.annotate_pairs(full, ["f"])) < 0.35
