@@ -41,11 +41,11 @@ def route_audit(events: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def leak_audit(df: DataFrame, terms: Sequence[str] = LABEL_TERMS) -> DataFrame:
-    """Rows whose serialised columns mention a label term; names count as well as values."""
+def leak_audit(df: DataFrame, terms: Sequence[str] = LABEL_TERMS, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, per group if asked, whose serialised columns mention a label term in a name or a value."""
     body = F.lower(F.to_json(F.struct("*")))
     leaks = reduce(lambda a, b: a | b, [body.contains(t) for t in terms])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(leaks).alias("leaking_rows"), (~F.some(leaks)).alias("passed"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(leaks).alias("leaking_rows"), (~F.some(leaks)).alias("passed"))
 
 
 def stage_timing(timings: DataFrame, stages: Mapping[str, Sequence[str]] = STAGE_NODES) -> DataFrame:

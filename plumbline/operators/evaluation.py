@@ -38,11 +38,12 @@ def group_split(measurements: DataFrame, share: float = TEST_SHARE, seed: int =
     return ranked.join(F.broadcast(sizes), "state").select("measurement_id", "state", side.alias("side"))
 
 
-def shared_groups(split: DataFrame, key: str, preview: int = 5) -> DataFrame:
-    """Up to ``preview`` group keys found on both sides; an empty result means no leakage."""
+def shared_groups(split: DataFrame, key: str, preview: int | None = 5) -> DataFrame:
+    """Up to ``preview`` group keys found on both sides (None: all); an empty result means no leakage."""
     train = split.filter(F.col("side") == "train").select(key)
     test = split.filter(F.col("side") == "test").select(key)
-    return train.intersect(test).limit(preview)
+    shared = train.intersect(test)
+    return shared if preview is None else shared.limit(preview)
 
 
 def assert_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:

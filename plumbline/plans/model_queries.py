@@ -43,6 +43,19 @@ def split_leakage(spark, sf_dir):
     return ev.shared_groups(split(spark, sf_dir), "measurement_id")
 
 
+@query(
+    "row_split_leakage",
+    SP
+    + """SELECT measurement_id FROM (SELECT measurement_id, CAST(substr(window_id, 2) AS BIGINT) % 2 AS side FROM vectors)
+GROUP BY 1 HAVING count(DISTINCT side) = 2""",
+)
+def row_split_leakage(spark, sf_dir):
+    """A split by rows instead of measurements: every measurement on both sides is named."""
+    number = F.substr("window_id", F.lit(2)).cast("bigint")
+    rows = views.window_arrays(spark, sf_dir).withColumn("side", F.when(number % 2 == 0, "train").otherwise("test"))
+    return ev.shared_groups(rows, "measurement_id", preview=None)
+
+
 @query(
     "split_report",
     SP

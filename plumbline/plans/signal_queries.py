@@ -265,15 +265,19 @@ def nominal_rates(spark, sf_dir):
 @query(
     "channel_alignment",
     S
-    + f"""SELECT measurement_id, CASE WHEN present < 3 THEN 'MISSING_CHANNEL' WHEN shortest < ref // 4 * 4 THEN 'CHANNEL_TOO_SHORT' ELSE 'OK' END AS alignment,
+    + f"""SELECT measurement_id, CASE WHEN present < 3 THEN 'MISSING_CHANNEL' WHEN unrated THEN 'NO_VERIFIED_RATE' WHEN lo <> hi THEN 'RATE_MISMATCH' WHEN shortest < ref // 4 * 4 THEN 'CHANNEL_TOO_SHORT' ELSE 'OK' END AS alignment,
   present, shortest, ref AS reference_count
-FROM (SELECT measurement_id, CAST(count(*) AS BIGINT) AS present, min(n) AS shortest, max(n) FILTER (channel = 'view') AS ref
+FROM (SELECT measurement_id, CAST(count(*) AS BIGINT) AS present, min(n) AS shortest, max(n) FILTER (channel = 'view') AS ref,
+        bool_or(channel = 'error' AND n % 7 = 0) AS unrated, min(CASE WHEN channel = 'click' AND n % 5 = 0 THEN 32 ELSE 64 END) FILTER (NOT (channel = 'error' AND n % 7 = 0)) AS lo,
+        max(CASE WHEN channel = 'click' AND n % 5 = 0 THEN 32 ELSE 64 END) FILTER (NOT (channel = 'error' AND n % 7 = 0)) AS hi
       FROM (SELECT measurement_id, channel, CAST(count(*) AS BIGINT) AS n FROM multi WHERE channel IN ('view', 'click', 'error') GROUP BY 1, 2) GROUP BY 1)""",
 )
 def channel_alignment(spark, sf_dir):
-    channels = views.raw_signals(spark, sf_dir).groupBy("measurement_id", F.col("event_type").alias("channel")).agg(
-        F.count("x").alias("sample_count"), F.lit(64.0).alias("nominal_rate_hz")
-    )
+    """Some click channels run at half the rate, some error channels name no rate."""
+    counted = views.raw_signals(spark, sf_dir).groupBy("measurement_id", F.col("event_type").alias("channel")).agg(F.count("x").alias("sample_count"))
+    n, channel = F.col("sample_count"), F.col("channel")
+    rate = F.when((channel == "error") & (n % 7 == 0), F.lit(None).cast("double")).when((channel == "click") & (n % 5 == 0), 32.0).otherwise(64.0)
+    channels = counted.withColumn("nominal_rate_hz", rate)
     return sig.align_channels(channels, ("view", "click", "error"), 4)
 
 

@@ -377,14 +377,16 @@ def unknown_references(spark, sf_dir):
 @query(
     "citation_trace",
     with_views(EVIDENCE_SQL, UNION_SQL)
-    + """SELECT run_id, CAST(count(*) AS BIGINT) AS citations, CAST(count(*) AS BIGINT) AS with_evidence, CAST(count(s_suppkey) AS BIGINT) AS with_source, bool_and(s_suppkey IS NOT NULL) AS traced
-FROM ev LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) s ON ev.document_id = 'doc_' || s_suppkey GROUP BY 1""",
+    + """SELECT run_id, CAST(count(*) AS BIGINT) AS citations, CAST(count(kept) AS BIGINT) AS with_evidence, CAST(count(s_suppkey) AS BIGINT) AS with_source, bool_and(s_suppkey IS NOT NULL) AS traced
+FROM (SELECT *, CASE WHEN score >= 0.2 THEN document_id END AS kept FROM ev) e
+LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) s ON e.kept = 'doc_' || s_suppkey GROUP BY 1""",
 )
 def citation_trace(spark, sf_dir):
+    """Weak evidence was not kept, so its citations lead nowhere."""
     table = evidence_table(spark, sf_dir).withColumn("source_id", F.col("document_id"))
     listed = views.table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") >= 0)
     sources = listed.select(F.concat(F.lit("doc_"), F.col("s_suppkey").cast("string")).alias("source_id"))
-    return wf.trace_citations(table.select("run_id", "evidence_id"), table, sources)
+    return wf.trace_citations(table.select("run_id", "evidence_id"), table.filter(F.col("score") >= 0.2), sources)
 
 
 def listed_runs(spark, sf_dir):
@@ -456,9 +458,17 @@ def serving_contexts(spark, sf_dir):
     return wf.serving_context(analysis, meta).select("analysis_id", "measurement_id", "bearing_id", "condition")
 
 
-@query("serving_leaks", R + "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS leaking_rows, TRUE AS passed FROM runs")
+@query(
+    "serving_leaks",
+    R
+    + """SELECT condition, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (leaks) AS BIGINT) AS leaking_rows, NOT bool_or(leaks) AS passed
+FROM (SELECT condition, condition = 'C1' AND CAST(substr(run_id, 5) AS BIGINT) % 7 = 0 AS leaks FROM runs) GROUP BY 1""",
+)
 def serving_leaks(spark, sf_dir):
-    return audits.leak_audit(serving_contexts(spark, sf_dir))
+    """Per condition; a note of some runs under C1 carries the answer along."""
+    leaks = (F.col("condition") == "C1") & (F.substr("analysis_id", F.lit(5)).cast("bigint") % 7 == 0)
+    noted = serving_contexts(spark, sf_dir).withColumn("note", F.when(leaks, "see Ground_Truth sheet").otherwise("none"))
+    return audits.leak_audit(noted, by=["condition"])
 
 
 # -- memory ---------------------------------------------------------------------------------------
@@ -642,11 +652,26 @@ def error_events(spark, sf_dir):
 
 @query(
     "event_contract",
-    EV + "SELECT run_id, TRUE AS unique_sequence, bool_and(agent_role <> '') AS roles_present, TRUE AS completed_event, TRUE AS ordered_sequence FROM run_events GROUP BY 1",
+    EV
+    + """, told AS (SELECT run_id, sequence AS position, CASE WHEN k % 11 = 0 AND sequence = 3 THEN 1 ELSE sequence END AS sequence,
+  CASE WHEN k % 17 = 0 AND sequence = 2 THEN '' ELSE agent_role END AS agent_role, CASE WHEN k % 13 = 0 THEN 'node_completed' ELSE event_type END AS event_type
+  FROM (SELECT *, CAST(substr(run_id, 5) AS BIGINT) AS k FROM run_events)),
+steps AS (SELECT *, lag(sequence) OVER (PARTITION BY run_id ORDER BY position) AS before FROM told)
+SELECT run_id, count(*) = count(DISTINCT sequence) AS unique_sequence, bool_and(agent_role <> '') AS roles_present,
+  bool_or(event_type = 'workflow_completed') AS completed_event, bool_and(coalesce(sequence >= before, TRUE)) AS ordered_sequence FROM steps GROUP BY 1""",
 )
 def event_contract(spark, sf_dir):
-    rows = views.run_events(spark, sf_dir).withColumn("position", F.col("sequence") - 1)
-    return ev.event_contract(rows, "position")
+    """Some runs repeat a sequence, leave a role out or never complete."""
+    rows, number = views.run_events(spark, sf_dir), F.substr("run_id", F.lit(5)).cast("bigint")
+    told = rows.withColumns(
+        {
+            "position": F.col("sequence") - 1,
+            "sequence": F.when((number % 11 == 0) & (F.col("sequence") == 3), 1).otherwise(F.col("sequence")),
+            "agent_role": F.when((number % 17 == 0) & (F.col("sequence") == 2), "").otherwise(F.col("agent_role")),
+            "event_type": F.when(number % 13 == 0, "node_completed").otherwise(F.col("event_type")),
+        }
+    )
+    return ev.event_contract(told, "position")
 
 
 @query(
