@@ -12,6 +12,7 @@ from plumbline.plans.registry import query, with_views
 from plumbline.plans.text_queries import CHUNKS_SQL, DOCS_SQL, GRAMS_SQL, PAGES_SQL, document_chunks, turns
 
 TOP_K = 5
+MAX_TIER = 2
 SOURCES_A = [f"src{i}" for i in range(0, 12)]
 SOURCES_B = [f"src{i}" for i in range(8, 20)]
 ALLOW_LISTS = {
@@ -50,7 +51,22 @@ scored AS (SELECT query_id, chunk_id, source_id, document_type, source_tier, rou
            FROM pairs LEFT JOIN qn USING (query_id) LEFT JOIN cn USING (chunk_id)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM scored)"""
 
+PICKED_SQL = rf"""cand AS (SELECT query_id, rank, chunk_id, document_id, chunk_index, list_distinct(regexp_extract_all(lower(content), '\S+')) AS words
+  FROM ranked JOIN (SELECT chunk_id, document_id, chunk_index, content FROM chunks) USING (chunk_id) WHERE rank <= {TOP_K * rt.OVERFETCH}),
+fold AS (
+  SELECT query_id, 0 AS step, [] :: STRUCT(chunk_id VARCHAR, document_id VARCHAR, chunk_index BIGINT, words VARCHAR[])[] AS kept FROM cases
+  UNION ALL
+  SELECT f.query_id, f.step + 1, CASE WHEN c.chunk_id IS NULL OR len(f.kept) >= {TOP_K} OR len(list_filter(f.kept, lambda k: k.document_id = c.document_id
+      AND abs(k.chunk_index - c.chunk_index) <= {rt.DUPLICATE_DISTANCE}
+      AND len(list_intersect(k.words, c.words)) / CAST(greatest(1, least(len(k.words), len(c.words))) AS DOUBLE) >= {rt.DUPLICATE_OVERLAP})) > 0 THEN f.kept
+    ELSE list_append(f.kept, {{'chunk_id': c.chunk_id, 'document_id': c.document_id, 'chunk_index': c.chunk_index, 'words': c.words}}) END
+  FROM fold f LEFT JOIN cand c ON c.query_id = f.query_id AND c.rank = f.step + 1 WHERE f.step < {TOP_K * rt.OVERFETCH}),
+picked AS (SELECT query_id, unnest(list_transform(kept, lambda k: k.chunk_id)) AS chunk_id, unnest(list_transform(kept, lambda k: k.document_id)) AS document_id, CAST(unnest(range(1, len(kept) + 1)) AS BIGINT) AS place
+  FROM fold WHERE step = {TOP_K * rt.OVERFETCH}),
+chosen AS (SELECT r.* EXCLUDE (rank), p.document_id, p.place AS rank FROM ranked r JOIN picked p USING (query_id, chunk_id))"""
+
 R = with_views(DOCS_SQL, PAGES_SQL, CHUNKS_SQL, CASES_SQL, TOPK_SQL)
+RP = R.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + PICKED_SQL + "\n"
 
 
 def cases(spark, sf_dir):
@@ -67,13 +83,17 @@ def cases(spark, sf_dir):
         .alias("expected_sources"),
         F.array(F.lit("en"), F.lit("fr")).alias("expected_types"),
     )
-    return qb.with_purpose_filter(rows, ALLOW_LISTS, max_tier=2)
+    return qb.with_purpose_filter(rows, ALLOW_LISTS, max_tier=MAX_TIER)
+
+
+#: What any question may see: documents outside it are neither chunked nor scored.
+SEARCHABLE = {"source_id_in": sorted({source for sources in ALLOW_LISTS.values() for source in sources}), "source_tier_lte": MAX_TIER}
 
 
 def searched(spark, sf_dir, k):
     """Ranked chunks per case, with the chunk's own metadata."""
     asked = rt.with_norm(cases(spark, sf_dir).withColumn("vector", word_vector("question")))
-    stored = document_chunks(spark, sf_dir)
+    stored = document_chunks(spark, sf_dir, rt.compile_filter(SEARCHABLE))
     vectors = rt.with_norm(stored.withColumn("vector", word_vector("content")))
     return rt.vector_topk(asked, vectors, k), stored
 
@@ -92,7 +112,12 @@ def selected(spark, sf_dir):
     return kept.join(ranked.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"]), stored
 
 
-@query("evidence_without_near_copies")
+@query(
+    "evidence_without_near_copies",
+    RP
+    + """SELECT query_id, rank, 'evidence_' || substr(sha256(query_id || ':' || chunk_id), 1, 20) AS evidence_id, chunk_id, document_id, source_id,
+  greatest(-1, least(1, score)) AS retrieval_score FROM chosen""",
+)
 def evidence_without_near_copies(spark, sf_dir):
     kept, stored = selected(spark, sf_dir)
     found = rt.to_evidence(kept, stored)
@@ -101,31 +126,29 @@ def evidence_without_near_copies(spark, sf_dir):
 
 @query(
     "evidence_rows",
-    R
-    + f"""SELECT 'evidence_' || substr(sha256(query_id || ':' || chunk_id), 1, 20) AS evidence_id, query_id, chunk_id, source_id, source_tier,
-  greatest(-1, least(1, score)) AS retrieval_score FROM ranked WHERE rank <= {TOP_K}""",
+    RP
+    + """SELECT 'evidence_' || substr(sha256(query_id || ':' || chunk_id), 1, 20) AS evidence_id, query_id, chunk_id, source_id, source_tier,
+  greatest(-1, least(1, score)) AS retrieval_score FROM chosen""",
 )
 def evidence_rows(spark, sf_dir):
-    ranked, stored = searched(spark, sf_dir, TOP_K)
-    found = rt.to_evidence(ranked, stored)
+    found = rt.to_evidence(*selected(spark, sf_dir))
     return found.select("evidence_id", "query_id", "chunk_id", "source_id", "source_tier", "retrieval_score")
 
 
 @query(
     "retrieval_stats",
-    R
-    + f""", top AS (SELECT * FROM ranked WHERE rank <= {TOP_K}),
+    RP
+    + f""", top AS (SELECT * FROM chosen),
 by_tier AS (SELECT query_id, '{{' || string_agg('"' || source_tier || '":' || n, ',' ORDER BY source_tier) || '}}' AS source_tiers FROM (SELECT query_id, source_tier, count(*) AS n FROM top GROUP BY 1, 2) GROUP BY 1),
 by_type AS (SELECT query_id, '{{' || string_agg('"' || document_type || '":' || n, ',' ORDER BY document_type) || '}}' AS document_types FROM (SELECT query_id, document_type, count(*) AS n FROM top GROUP BY 1, 2) GROUP BY 1)
 SELECT query_id, CAST(count(*) AS BIGINT) AS returned, any_value(source_tiers) AS source_tiers, any_value(document_types) AS document_types,
   string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids FROM top JOIN by_tier USING (query_id) JOIN by_type USING (query_id) GROUP BY 1""",
 )
 def retrieval_stats(spark, sf_dir):
-    ranked, stored = searched(spark, sf_dir, TOP_K)
-    return rt.retrieval_stats(rt.to_evidence(ranked, stored))
+    return rt.retrieval_stats(rt.to_evidence(*selected(spark, sf_dir)))
 
 
-CASE_METRICS_SQL = f"""res AS (SELECT * FROM ranked WHERE rank <= {TOP_K}),
+CASE_METRICS_SQL = f"""res AS (SELECT * FROM chosen),
 hits AS (SELECT c.query_id AS case_id, c.answerable, c.expected_sources, r.rank, r.source_id,
                 CASE WHEN len(c.expected_sources) > 0 THEN list_contains(c.expected_sources, r.source_id) ELSE list_contains(c.expected_types, r.document_type) END AS hit
          FROM cases c LEFT JOIN res r USING (query_id)),
@@ -138,13 +161,13 @@ per_case AS (
 
 
 def per_case(spark, sf_dir):
-    ranked, stored = searched(spark, sf_dir, TOP_K)
-    results = ranked.join(stored.select("chunk_id", "source_id", "document_type"), "chunk_id")
+    found, stored = selected(spark, sf_dir)
+    results = found.join(stored.select("chunk_id", "source_id", "document_type"), "chunk_id")
     labelled = cases(spark, sf_dir).select(F.col("query_id").alias("case_id"), "answerable", "expected_sources", "expected_types")
     return rt.case_metrics(results, labelled)
 
 
-M = with_views(DOCS_SQL, PAGES_SQL, CHUNKS_SQL, CASES_SQL, TOPK_SQL, CASE_METRICS_SQL)
+M = RP.rstrip() + ",\n" + CASE_METRICS_SQL + "\n"
 
 
 @query(

@@ -77,8 +77,10 @@ def with_pages(docs):
     return docs.withColumn("_lines", tx.lines(F.col("raw_text"))).withColumn("_pages", pages).drop("raw_text", "_lines")
 
 
-def document_chunks(spark, sf_dir):
-    docs = with_pages(documents(spark, sf_dir))
+def document_chunks(spark, sf_dir, wanted=None):
+    """Chunks of the documents that pass ``wanted``, a condition on their metadata below the chunking."""
+    docs = documents(spark, sf_dir)
+    docs = with_pages(docs if wanted is None else docs.filter(wanted))
     return ch.chunk_documents(docs, page_blocks_of(F.col("_pages"))).drop("_pages")
 
 
