@@ -11,16 +11,17 @@ repeated rows stay; an empty table gives no rows.
 Method: each different unit is encoded once. Units are exploded into substrings no longer than the
 longest piece, an equi-join to the piece table (broadcast; its size is the vocabulary's and is checked)
 leaves the lattice's edges, edges are grouped by unit, and a higher-order fold over the end positions
-keeps the best path to each. The documents of one stretch of a scan make a chunk; its different units
-go to the lattice with their place in the chunk, the ids come back by chunk and place and are put in
-the texts there, so neither units nor texts are shuffled once per occurrence. A scan gives the same
-chunks again as long as its partitions are the same, so ``docs`` must be a stored table; the chunk's units are
-checked against the decoded ids and a difference stops the job.
+keeps the best path to each. The documents of one stretch of a scan make a chunk. A chunk sends its
+different units, in sorted order, to the lattice with their places; the ids come back packed by chunk
+and meet the documents, which travel as places only. So neither units nor texts are shuffled once per
+occurrence. A scan gives the same chunks again while its partitions are the same, so ``docs`` must be a
+stored table; a chunk's number holds a checksum of its texts, and a difference stops the job.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +39,8 @@ MARK = "▁"
 UNIT_CHARS = 200
 UNIT_MARKS = 16
 CHUNK_CHARS = 32_000_000
-BLOB_CHARS = 2_000_000
+ROWS_AT_ONCE = 50_000
+DOCS_AT_ONCE = 2_000
 MOST_PIECES = 500_000
 UNKNOWN_BELOW = 10.0
 UNITS = re.compile(f"{MARK}{{1,{UNIT_MARKS}}}[^{MARK}\n]{{0,{UNIT_CHARS}}}|\n|[^{MARK}\n]{{1,{UNIT_CHARS}}}")
@@ -79,57 +81,96 @@ def decode(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
     return decode_units(ids, decoded).replace(MARK, " ")[1:]
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """Consecutive rows (chunk, ids, texts) of about CHUNK_CHARS characters; each chunk has its number."""
-    partition, number = TaskContext.get().partitionId(), 0
-    ids: list = []
-    texts: list[str] = []
-    size = 0
+class Chunk:
+    """Units of consecutive documents by first sight, and the documents as numbers of units."""
+
+    def __init__(self, number: int, keep: bool) -> None:
+        self.number, self.keep, self.size, self.crc = number, keep, 0, 0
+        self.seen: dict[str, int] = {}
+        self.doc_ids: list = []
+        self.docs: list[np.ndarray] = []
+
+    def add(self, doc_id, text: str) -> None:
+        units, seen = units_of(text), self.seen
+        for unit in units:
+            if unit not in seen:
+                seen[unit] = len(seen)
+        if self.keep:
+            self.doc_ids.append(doc_id)
+            self.docs.append(np.fromiter(map(seen.__getitem__, units), np.int32, len(units)))
+        self.size += len(text) + 1
+        self.crc = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.crc)
+
+    def key(self, partition: int) -> int:
+        return partition << 44 | self.number << 32 | self.crc
+
+
+def chunked(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[tuple[int, Chunk]]:
+    """Chunks of about CHUNK_CHARS characters with their keys, from rows (doc_id, text)."""
+    partition, chunk = TaskContext.get().partitionId(), Chunk(0, keep)
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1]) + 1
-            if size >= CHUNK_CHARS:
-                yield partition << 20 | number, ids, texts
-                ids, texts, size, number = [], [], 0, number + 1
-    if ids:
-        yield partition << 20 | number, ids, texts
-
-
-def places_of(texts: Iterator[str]) -> dict[str, int]:
-    """Different units of a chunk by their first place."""
-    places: dict[str, int] = {}
-    for text in texts:
-        for unit in units_of(text):
-            if unit not in places:
-                places[unit] = len(places)
-    return places
+            chunk.add(doc_id, text.as_py() or "")
+            if chunk.size >= CHUNK_CHARS:
+                yield chunk.key(partition), chunk
+                chunk = Chunk(chunk.number + 1, keep)
+    if chunk.size:
+        yield chunk.key(partition), chunk
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, _, texts in chunked(batches):
-        units = list(places_of(iter(texts)))
-        for at in range(0, len(units), 50_000):
-            part = units[at : at + 50_000]
-            columns = [pa.array(np.full(len(part), chunk)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part)]
+    """Rows (chunk, place, unit): the chunk's units in sorted order."""
+    for key, chunk in chunked(batches, keep=False):
+        units = sorted(chunk.seen)
+        for at in range(0, len(units), ROWS_AT_ONCE):
+            part = units[at : at + ROWS_AT_ONCE]
+            columns = [pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part)]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "unit"])
 
 
-def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a chunk in compressed parts."""
-    for chunk, ids, texts in chunked(batches):
-        start = size = part = 0
-        for end, text in enumerate(texts, 1):
-            size += len(text) + 1
-            if size >= BLOB_CHARS or end == len(texts):
-                rows = pa.record_batch([pa.array(ids[start:end], pa.int64()), pa.array(texts[start:end], pa.string())], names=["doc_id", "text"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_batch(rows)
-                columns = [pa.array([chunk]), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "texts"])
-                start, size, part = end, 0, part + 1
+def packed(rows: pa.RecordBatch) -> bytes:
+    """Rows as a compressed stream of columns."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> list[pa.Table]:
+    return [pa.ipc.open_stream(part.as_buffer()).read_all() for chunk in column.chunks for part in chunk]
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+
+def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, packed): documents as places of their units in the sorted order."""
+    for key, chunk in chunked(batches, keep=True):
+        sight = list(chunk.seen)
+        order = sorted(range(len(sight)), key=sight.__getitem__)
+        place = np.empty(len(sight), np.int32)
+        place[order] = np.arange(len(sight), dtype=np.int32)
+        for at in range(0, len(chunk.docs), DOCS_AT_ONCE):
+            docs = [place[d] for d in chunk.docs[at : at + DOCS_AT_ONCE]]
+            rows = pa.record_batch([pa.array(chunk.doc_ids[at : at + DOCS_AT_ONCE], pa.int64()), lists(docs)], names=["doc_id", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([packed(rows)], pa.binary())], names=["chunk", "packed"])
+
+
+def pack_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, place, ids) packed by chunk."""
+    for batch in batches:
+        chunks = batch.column(0).to_numpy()
+        order = np.lexsort([batch.column(1).to_numpy(), chunks])
+        bounds = np.flatnonzero(np.diff(chunks[order], prepend=-1, append=-1))
+        keys, parts = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            rows = batch.take(pa.array(order[a:b]))
+            keys.append(int(chunks[order[a]]))
+            parts.append(packed(pa.record_batch([rows.column(1), rows.column(2)], names=["place", "ids"])))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(parts, pa.binary())], names=["chunk", "packed"])
 
 
 def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
@@ -142,78 +183,74 @@ def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
 
 
 def encoded_units(units: DataFrame, model_path: str) -> DataFrame:
-    """Columns (unit, ids) for a column of different units."""
+    """Columns (unit, first, ids) for different units; ``first`` is passed through."""
     pieces, byte_ids, _ = model(model_path)
     longest = max(len(piece) for _, piece, _ in pieces)
     unknown = min((score for _, _, score in pieces if score > -1e8), default=0.0) - UNKNOWN_BELOW
-    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start") + 1))).alias("size"))
+    starts = units.select("unit", "first", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
+    spans = starts.select("unit", "first", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start") + 1))).alias("size"))
     cut = spans.withColumn("sub", F.substring("unit", F.col("start"), F.col("size")))
     edges = cut.join(F.broadcast(piece_table(units.sparkSession, model_path)), F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size = 1")
-    utf8 = F.hex(F.encode("sub", "UTF-8"))
-    numbers = F.array(*map(F.lit, byte_ids))
-    as_bytes = F.transform(F.sequence(F.lit(1), (F.length(utf8) / 2).cast("int")), lambda i: F.element_at(numbers, F.conv(F.substring(utf8, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("int") + 1))
-    edge = F.struct(
-        (F.col("start") + F.col("size")).alias("end"),
-        F.col("start").alias("start"),
-        F.coalesce("score", F.lit(unknown)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"),
-    )
-    lattice = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
-    nothing = F.expr("named_struct('score', 0D, 'back', 0, 'ids', cast(array() as array<int>))")
+    # an edge is (end, start, id + 1), packed into one long, and its score; id + 1 is 0 for a byte edge
+    number = (F.col("start") + F.col("size")).cast("long") * (1 << 40) + F.col("start").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    edge = F.struct(number.alias("e"), F.coalesce("score", F.lit(unknown)).alias("score"))
+    lattice = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.first("first").alias("first"))
+    nothing = F.expr("named_struct('score', 0D, 'back', 0L, 'path', cast(array() as array<long>))")
 
     def step(best, position):
-        coming = F.filter("edges", lambda e: e["end"] == position)
-        paths = F.transform(
-            coming,
-            lambda e: F.struct(
-                (F.element_at(best, e["start"])["score"] + e["score"]).alias("score"),
-                (-e["start"]).alias("back"),
-                F.concat(F.element_at(best, e["start"])["ids"], e["ids"]).alias("ids"),
-            ),
-        )
-        return F.concat(best, F.array(F.array_max(paths)))
+        coming = F.filter("edges", lambda e: F.shiftright(e["e"], 40) == position)
+
+        def extended(e):
+            start = F.shiftright(e["e"], 24).bitwiseAND(F.lit((1 << 16) - 1))
+            before = F.element_at(best, start.cast("int"))
+            return F.struct((before["score"] + e["score"]).alias("score"), (-start).alias("back"), F.concat(before["path"], F.array(e["e"])).alias("path"))
+
+        return F.concat(best, F.array(F.array_max(F.transform(coming, extended))))
 
     ends = F.sequence(F.lit(2), F.length("unit") + 1)
-    return lattice.select("unit", F.element_at(F.aggregate(ends, F.array(nothing), step), -1)["ids"].alias("ids"))
+    best = lattice.select("unit", "first", F.element_at(F.aggregate(ends, F.array(nothing), step), -1)["path"].alias("path"))
+    numbers = F.array(*map(F.lit, byte_ids))
+
+    def ids_of(e):
+        piece = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+        utf8 = F.hex(F.encode(F.substring(F.col("unit"), F.shiftright(e, 24).bitwiseAND(F.lit((1 << 16) - 1)).cast("int"), F.lit(1)), "UTF-8"))
+        each = F.transform(F.sequence(F.lit(1), (F.length(utf8) / 2).cast("int")), lambda i: F.element_at(numbers, F.conv(F.substring(utf8, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
+        return F.when(piece > 0, F.array(piece - 1)).otherwise(each)
+
+    return best.select("unit", "first", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = rows.mapInArrow(unit_rows, "chunk long, place int, unit string").repartition("unit")
-    ids = encoded_units(units.select("unit").distinct(), model_path)
-    found = units.join(ids.hint("merge"), "unit").select("chunk", "place", "ids")
-    texts = rows.mapInArrow(text_rows, "chunk long, part int, texts binary")
-
-    def put_back(known: pa.Table, parts: pa.Table) -> pa.Table:
-        _, _, decoded = model(model_path)
-        order = np.argsort(parts.column("part").to_numpy())
-        streams = parts.column("texts").combine_chunks()
-        tables = [pa.ipc.open_stream(streams[int(i)].as_buffer()).read_all() for i in order]
-        places = places_of(t.as_py() for table in tables for t in table.column("text"))
-        rank = np.argsort(known.column("place").to_numpy())
-        lists = known.column("ids").combine_chunks().take(pa.array(rank))
-        offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().astype(np.int32)
-        if len(lists) != len(places):
-            raise ValueError("a chunk's units changed between two scans")
-        parts_of = {}
-        for unit, place in places.items():
-            parts_of[unit] = own = flat[offsets[place] : offsets[place + 1]]
-            if decode_units(own.tolist(), decoded) != unit:
-                raise ValueError("a unit's ids do not decode to it")
+    # the first chunk of a unit rides along, so that both uses of the units read one exchange
+    ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path)
+    met = units.join(ids.hint("merge"), "unit").where(F.col("first") <= F.struct("chunk", "place"))
+    found = met.select("chunk", "place", "ids").mapInArrow(pack_found, "chunk long, packed binary")
+    places = rows.mapInArrow(place_rows, "chunk long, packed binary")
+
+    def put_back(known: pa.Table, docs: pa.Table) -> pa.Table:
+        tables = unpacked(known.column("packed"))
+        place = np.concatenate([t.column("place").to_numpy() for t in tables] or [np.zeros(0, np.int32)])
+        own = [t.column("ids").combine_chunks() for t in tables]
+        values = pa.concat_arrays(own) if own else pa.array([], pa.list_(pa.int32()))
+        values = values.take(pa.array(np.argsort(place)))
+        offsets, flat = values.offsets.to_numpy(), values.flatten().to_numpy().astype(np.int32)
+        size = np.diff(offsets)
         doc_ids, n_units, out = [], [], []
-        for table in tables:
-            for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text")):
-                pieces = [parts_of[unit] for unit in units_of(text.as_py())]
-                doc_ids.append(doc_id)
-                n_units.append(len(pieces))
-                out.append(np.concatenate(pieces))
-        bounds = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
-        values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_units": pa.array(n_units, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds), values)})
-
-    return found.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(put_back, "doc_id long, n_units long, ids array<int>")
+        for table in unpacked(docs.column("packed")):
+            doc_ids += table.column("doc_id").to_pylist()
+            for doc in table.column("places"):
+                at = doc.values.to_numpy()
+                if len(at) and int(at.max()) >= len(size):
+                    raise ValueError("a chunk's texts changed between two scans")
+                n_units.append(len(at))
+                ends = np.cumsum(size[at])
+                out.append(flat[np.repeat(offsets[at] - (ends - size[at]), size[at]) + np.arange(ends[-1] if len(at) else 0)])
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_units": pa.array(n_units, pa.int64()), "ids": lists(out)})
+
+    return found.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(put_back, "doc_id long, n_units long, ids array<int>")
 
 
 def decode_rows(encoded: DataFrame, model_path: str) -> DataFrame:
