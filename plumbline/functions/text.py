@@ -55,6 +55,12 @@ def excerpt(text: Column, limit: int = 650) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(limit))), F.lit("...")))
 
 
+def ordered_distinct(*lists: Column) -> Column:
+    """Values of several lists in order of first appearance; null lists and null values count for nothing."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(values, none) for values in lists])))
+
+
 def word_set(text: Column) -> Column:
     return F.array_distinct(tokens(F.lower(text)))
 

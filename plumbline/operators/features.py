@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ REQUIRED_SPEC_FIELDS = (
 )
 
 
+def missing_fields(specs: DataFrame, fields: str, required: Sequence[str]) -> DataFrame:
+    """Required names that a row's list of fields lacks, in their own order; the table form of check_spec."""
+    return specs.withColumn("missing", F.array_except(F.array(*[F.lit(f) for f in required]), F.coalesce(fields, F.array().cast("array<string>"))))
+
+
 def check_spec(spec: dict) -> dict:
     """Reject a feature specification that is incomplete or would let windows leak across a split."""
     missing = sorted(set(REQUIRED_SPEC_FIELDS) - set(spec))

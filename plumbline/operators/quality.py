@@ -53,6 +53,16 @@ def flatten_features(nested: str) -> list[Column]:
     return out
 
 
+def nesting_audit(df: DataFrame) -> DataFrame:
+    """Per machining column: rows whose value differs after nesting and flattening."""
+    columns = machining_columns()
+    back = df.select(*[F.col(c).alias(f"_{c}") for c in columns], nest_features().alias("_nested"))
+    both = back.select(*[F.col(f"_{c}") for c in columns], *flatten_features("_nested"))
+    cells = [F.struct(F.lit(c).alias("column"), (~F.col(c).eqNullSafe(F.col(f"_{c}"))).cast("bigint").alias("d"), F.col(c).alias("v")) for c in columns]
+    rows = both.select(F.inline(F.array(*cells)))
+    return rows.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.sum("d").alias("mismatches"), F.count("v").alias("values"))
+
+
 def validate_rows(df: DataFrame, features: Sequence[str], required: Sequence[str] = REQUIRED_METADATA) -> DataFrame:
     """Add ``error_code``: the first rule a row breaks, or null. Missing columns fail every row."""
 

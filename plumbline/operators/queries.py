@@ -107,3 +107,45 @@ def translate(questions: DataFrame, rules: Mapping[str, str] = QUESTION_RULES, t
             "unmapped": F.array_join(left, ","),
         }
     )
+
+
+# Query text and mode per label of a process row, the five features a query may carry, the note.
+PROCESS_QUERIES = {
+    "FAIL": (
+        "FAIL_EVIDENCE_CONTEXT",
+        "KAMP 정밀가공 제품 품질 Ground Truth 불량. "
+        "Spindle Speed, Spindle Load, Servo Load 공정 데이터와 관련하여 "
+        "Guidebook이 설명하는 공구 마모와 부하 증가, 가공 불량 가능성, "
+        "작업자의 가공 설정값 및 공구 상태 점검 근거를 검색한다.",
+    ),
+    "PASS": (
+        "PASS_CONTROL_CONTEXT",
+        "KAMP 정밀가공 제품 품질 Ground Truth 양품. "
+        "Spindle Speed, Spindle Load, Servo Load 공정 데이터의 정의와 품질 관계 근거를 검색한다. "
+        "제품 양품을 정상 설비 또는 고장 없음으로 확대 해석하지 않는다.",
+    ),
+}
+PROCESS_FEATURES = ("SpindleSpeed_max", "SpindleLoad_max", "SpindleLoad_std", "ServoLoad_X_std", "ServoLoad_Z1_max")
+PROCESS_NOTE = "Feature values are retrieval context only and do not establish a specific fault cause."
+TRUTH_SOURCE = "dataset_ground_truth"
+
+
+def process_contexts(rows: DataFrame) -> DataFrame:
+    """Query context of labelled process rows (status, source_type, prediction and the features).
+
+    A row whose label was predicted or does not come from the dataset gets no query but the reason.
+    """
+    trusted = F.coalesce(~F.col("prediction") & (F.col("source_type") == TRUTH_SOURCE), F.lit(False))
+    side = F.when(trusted, F.when(F.col("status") == "FAIL", "FAIL").otherwise("PASS"))
+    texts = [F.when(side == name, value[i]) for i in (0, 1) for name, value in PROCESS_QUERIES.items()]
+    half = len(PROCESS_QUERIES)
+    return rows.withColumns(
+        {
+            "mode": F.coalesce(*texts[:half]),
+            "query": F.coalesce(*texts[half:]),
+            "feature_context": F.when(trusted, F.struct(*PROCESS_FEATURES)),
+            "cause_inference_allowed": F.lit(False),
+            "safety_note": F.lit(PROCESS_NOTE),
+            "rejection": F.when(~trusted, "NOT_DATASET_TRUTH"),
+        }
+    )

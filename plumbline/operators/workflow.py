@@ -516,12 +516,13 @@ def run_view(runs: DataFrame, states: DataFrame, pending: DataFrame) -> DataFram
 
 
 def contract_violations(candidates: DataFrame) -> DataFrame:
-    """Records whose evidence both supports and contradicts, or whose level is unknown."""
+    """The first rule a record breaks: evidence on both sides, an unknown level, or a time without a zone."""
+    zoned = F.col("recorded_at").rlike(r"(Z|[+-]\d{2}:\d{2})$")
     return candidates.withColumn(
         "contract_error",
-        F.when(F.arrays_overlap("supporting_ids", "contradicting_ids"), "SUPPORT_AND_CONTRADICT").when(
-            ~F.col("confidence_level").isin("low", "medium", "high"), "INVALID_LEVEL"
-        ),
+        F.when(F.arrays_overlap("supporting_ids", "contradicting_ids"), "SUPPORT_AND_CONTRADICT")
+        .when(~F.coalesce(F.col("confidence_level").isin("low", "medium", "high"), F.lit(False)), "INVALID_LEVEL")
+        .when(~F.coalesce(zoned, F.lit(False)), "TIME_WITHOUT_ZONE"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import quality as ql
+from plumbline.operators import features as ft, quality as ql, queries as qb
 from plumbline.operators.ordered import exact_quantiles
 from plumbline.plans import views
 from plumbline.plans.registry import query, with_views
@@ -239,3 +239,61 @@ def clean_conversion_summary(spark, sf_dir):
     """The summary of the rows that pass validation: nothing fails any more."""
     checked = ql.validate_rows(dirty_rows(spark, sf_dir), ["f2"])
     return ql.compatibility(checked.filter(F.col("error_code").isNull()), DATASET)
+
+
+# -- query contexts, nesting, specifications -------------------------------------------------------
+
+PROCESS_SQL = """process AS (
+  SELECT l_quantity, CASE l_returnflag WHEN 'R' THEN 'FAIL' ELSE 'PASS' END AS status, l_linestatus = 'O' AND l_linenumber = 1 AS prediction,
+    CASE WHEN l_linenumber = 7 THEN 'model' ELSE 'dataset_ground_truth' END AS source_type FROM lineitem)"""
+
+
+def process_rows(spark, sf_dir):
+    """Process rows: some labels are predicted, some come from a model."""
+    value = dict(zip(qb.PROCESS_FEATURES, ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")))
+    return views.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", "FAIL").otherwise("PASS").alias("status"),
+        ((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 1)).alias("prediction"),
+        F.when(F.col("l_linenumber") == 7, "model").otherwise(qb.TRUTH_SOURCE).alias("source_type"),
+        *[F.col(column).cast("double").alias(name) for name, column in value.items()],
+    )
+
+
+@query(
+    "process_contexts",
+    with_views(PROCESS_SQL)
+    + f"""SELECT mode, md5(query) AS query_md5, rejection, CAST(count(*) AS BIGINT) AS n, round(avg(speed), 6) AS mean_speed FROM (
+  SELECT CASE WHEN ok THEN CASE status WHEN 'FAIL' THEN 'FAIL_EVIDENCE_CONTEXT' ELSE 'PASS_CONTROL_CONTEXT' END END AS mode,
+    CASE WHEN ok THEN CASE status WHEN 'FAIL' THEN '{qb.PROCESS_QUERIES['FAIL'][1]}' ELSE '{qb.PROCESS_QUERIES['PASS'][1]}' END END AS query,
+    CASE WHEN NOT ok THEN 'NOT_DATASET_TRUTH' END AS rejection, CASE WHEN ok THEN l_quantity END AS speed
+  FROM (SELECT *, NOT prediction AND source_type = 'dataset_ground_truth' AS ok FROM process)) GROUP BY ALL""",
+)
+def process_contexts(spark, sf_dir):
+    out = qb.process_contexts(process_rows(spark, sf_dir))
+    speed = F.col("feature_context.SpindleSpeed_max")
+    return out.groupBy("mode", F.md5("query").alias("query_md5"), "rejection").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(speed), 6).alias("mean_speed"))
+
+
+@query(
+    "nesting_audit",
+    f"""SELECT c AS "column", CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS mismatches, CAST(count(*) FILTER ((l_orderkey + i) % 5 <> 0) AS BIGINT) AS values
+FROM lineitem, (SELECT unnest({ql.machining_columns()}) AS c, unnest(range({len(ql.machining_columns())})) AS i) GROUP BY 1""",
+)
+def nesting_audit(spark, sf_dir):
+    """All forty machining columns, with nulls in a fifth of the cells."""
+    key = F.col("l_orderkey")
+    cells = [F.when((key + i) % 5 != 0, F.col("l_extendedprice").cast("double") + i).alias(c) for i, c in enumerate(ql.machining_columns())]
+    return ql.nesting_audit(views.table(spark, sf_dir, "lineitem").select(*cells))
+
+
+@query(
+    "missing_spec_fields",
+    f"""SELECT s_suppkey, array_to_string(list_filter({list(ft.REQUIRED_SPEC_FIELDS)}, lambda f, i: (s_suppkey + i) % 4 = 0), ',') AS missing FROM supplier""",
+)
+def missing_spec_fields(spark, sf_dir):
+    key = F.col("s_suppkey")
+    listed = F.array_compact(F.array(*[F.when((key + i) % 4 != 0, f) for i, f in enumerate(ft.REQUIRED_SPEC_FIELDS, 1)]))
+    specs = views.table(spark, sf_dir, "supplier").select("s_suppkey", listed.alias("fields"))
+    return ft.missing_fields(specs, "fields", ft.REQUIRED_SPEC_FIELDS).select("s_suppkey", F.array_join("missing", ",").alias("missing"))

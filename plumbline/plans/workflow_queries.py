@@ -720,3 +720,71 @@ def overall_status(spark, sf_dir):
 @query("release_gate", EV + "SELECT CAST(count(*) AS BIGINT) AS audits, bool_and(n = 3) AS released FROM (SELECT run_id, count(DISTINCT node) AS n FROM run_events GROUP BY 1)")
 def release_gate(spark, sf_dir):
     return audits.release_gate(route_audit(spark, sf_dir))
+
+
+# -- error capture, record shapes, ordered ids, page sections ---------------------------------------
+
+
+@query(
+    "captured_errors",
+    R
+    + """SELECT run_id, CASE WHEN workflow_status <> 'FAILED' AND (predicted_class IS NULL OR confidence < 0.3) THEN 'FAILED' ELSE workflow_status END AS workflow_status,
+  CASE WHEN workflow_status <> 'FAILED' AND predicted_class IS NULL THEN 'ANALYSIS_ERROR' WHEN workflow_status <> 'FAILED' AND confidence < 0.3 THEN 'RETRIEVAL_ERROR' END AS error_code FROM runs""",
+)
+def captured_errors(spark, sf_dir):
+    """Two stages fail for some runs; a run that failed keeps its first code, the others go on."""
+    runs = views.runs(spark, sf_dir).withColumn("error_code", F.lit(None).cast("string"))
+    first = wf.capture_errors(runs, F.col("predicted_class").isNull(), "ANALYSIS_ERROR")
+    return wf.capture_errors(first, F.coalesce(F.col("confidence") < 0.3, F.lit(False)), "RETRIEVAL_ERROR").select("run_id", "workflow_status", "error_code")
+
+
+@query(
+    "contract_violations",
+    """SELECT error, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN l_suppkey % 5 = l_partkey % 5 THEN 'SUPPORT_AND_CONTRADICT' WHEN l_linenumber = 4 THEN 'INVALID_LEVEL' WHEN l_quantity < 10 THEN 'TIME_WITHOUT_ZONE' ELSE 'OK' END AS error
+  FROM lineitem) GROUP BY 1""",
+)
+def contract_violations(spark, sf_dir):
+    number = F.col("l_linenumber")
+    level = F.when(number == 4, "certain").when(number < 3, "low").when(number < 6, "medium").otherwise("high")
+    time = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")
+
+    def ids(column):
+        return F.array(F.concat(F.lit("e"), (F.col(column) % 5).cast("string")))
+
+    records = views.table(spark, sf_dir, "lineitem").select(
+        ids("l_suppkey").alias("supporting_ids"),
+        ids("l_partkey").alias("contradicting_ids"),
+        level.alias("confidence_level"),
+        F.when(F.col("l_quantity") < 10, time).otherwise(F.concat(time, F.lit("+09:00"))).alias("recorded_at"),
+    )
+    out = wf.contract_violations(records)
+    return out.groupBy(F.coalesce("contract_error", F.lit("OK")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ordered_ids",
+    """SELECT o_orderkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS ids FROM (
+  SELECT o_orderkey, list_filter(coalesce(a, []) || b, lambda x: x IS NOT NULL) AS l FROM (
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN ['m' || o_custkey % 7, CASE WHEN o_orderkey % 2 = 0 THEN 'm' || o_custkey % 5 END] END AS a,
+      ['m' || o_orderkey % 5, 'm' || o_custkey % 5] AS b FROM orders))""",
+)
+def ordered_ids(spark, sf_dir):
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+
+    def name(number):
+        return F.concat(F.lit("m"), number.cast("string"))
+
+    first = F.when(order % 3 > 0, F.array(name(customer % 7), F.when(order % 2 == 0, name(customer % 5))))
+    second = F.array(name(order % 5), name(customer % 5))
+    rows = views.table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", F.array_join(tx.ordered_distinct(first, second), ",").alias("ids"))
+
+
+@query(
+    "page_sections",
+    """SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 9 THEN 'overview' WHEN p_size BETWEEN 10 AND 24 THEN 'process' WHEN p_size BETWEEN 30 AND 41 THEN 'quality' ELSE 'other' END AS section FROM part""",
+)
+def page_sections(spark, sf_dir):
+    bounds = {(1, 9): "overview", (10, 24): "process", (30, 41): "quality"}
+    return views.table(spark, sf_dir, "part").select("p_partkey", tx.page_section(F.col("p_size"), bounds, "other").alias("section"))
