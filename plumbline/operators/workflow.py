@@ -515,15 +515,15 @@ def run_view(runs: DataFrame, states: DataFrame, pending: DataFrame) -> DataFram
     return runs.join(states, "run_id", "left").join(pending, "run_id", "left")
 
 
-def contract_violations(candidates: DataFrame) -> DataFrame:
-    """The first rule a record breaks: evidence on both sides, an unknown level, or a time without a zone."""
-    zoned = F.col("recorded_at").rlike(r"(Z|[+-]\d{2}:\d{2})$")
-    return candidates.withColumn(
-        "contract_error",
-        F.when(F.arrays_overlap("supporting_ids", "contradicting_ids"), "SUPPORT_AND_CONTRADICT")
-        .when(~F.coalesce(F.col("confidence_level").isin("low", "medium", "high"), F.lit(False)), "INVALID_LEVEL")
-        .when(~F.coalesce(zoned, F.lit(False)), "TIME_WITHOUT_ZONE"),
+def contract_violations(candidates: DataFrame, time: str | None = None) -> DataFrame:
+    """The first rule a record breaks: evidence on both sides, an unknown level, or a time text without a zone."""
+    error = F.when(F.arrays_overlap("supporting_ids", "contradicting_ids"), "SUPPORT_AND_CONTRADICT").when(
+        ~F.coalesce(F.col("confidence_level").isin("low", "medium", "high"), F.lit(False)), "INVALID_LEVEL"
     )
+    if time:
+        zoned = F.col(time).rlike(r"(Z|[+-]\d{2}:\d{2})$")
+        error = error.when(~F.coalesce(zoned, F.lit(False)), "TIME_WITHOUT_ZONE")
+    return candidates.withColumn("contract_error", error)
 
 
 def serving_context(analysis: DataFrame, measurements: DataFrame) -> DataFrame:

@@ -758,7 +758,7 @@ def contract_violations(spark, sf_dir):
         level.alias("confidence_level"),
         F.when(F.col("l_quantity") < 10, time).otherwise(F.concat(time, F.lit("+09:00"))).alias("recorded_at"),
     )
-    out = wf.contract_violations(records)
+    out = wf.contract_violations(records, "recorded_at")
     return out.groupBy(F.coalesce("contract_error", F.lit("OK")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
