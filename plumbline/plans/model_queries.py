@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import evaluation as ev
@@ -9,6 +11,7 @@ from plumbline.plans import analysis, views
 from plumbline.plans.registry import query, with_views
 from plumbline.plans.signal_queries import feature_table
 from plumbline.plans.views import SPECTRA_SQL
+from plumbline.session import shared_folder
 
 SCORED_SQL = """scored AS (SELECT measurement_id, bearing_id, condition, state, window_id,
   round(1 / (1 + exp(-(6 * CAST(samples[1] AS DOUBLE) + 4 * CAST(samples[2] AS DOUBLE)))), 3) AS probability FROM vectors)"""
@@ -134,31 +137,57 @@ def label_metrics(spark, sf_dir):
     return out.select("level", "sample_count", F.round("accuracy", 6).alias("accuracy"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
+RUNS: dict[tuple[str, str], str] = {}
+
+
+def stored_run(spark, sf_dir):
+    """Folder of the one baseline run that all forest queries of an application share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in RUNS:
+        folder = f"{shared_folder(spark)}/forest/{uuid.uuid4().hex}"
+        analysis.baseline_run(feature_table(spark, sf_dir), folder)
+        RUNS[key] = folder
+    return RUNS[key]
+
+
 @query("forest_predictions")
 def forest_predictions(spark, sf_dir):
     """Train on the train side of the split and score every window of the test side."""
-    _, scored, _ = analysis.train_and_score(feature_table(spark, sf_dir))
+    model, _, test = analysis.load_run(spark, stored_run(spark, sf_dir))
+    scored = analysis.score(model, test)
     label = F.when(F.col("probability") >= ev.THRESHOLD, "damaged").otherwise("healthy")
     return scored.select("measurement_id", "bearing_id", "condition", "window_id", "state", "probability", label.alias("predicted_class"))
 
 
 @query("forest_importance")
 def forest_importance(spark, sf_dir):
-    table = feature_table(spark, sf_dir)
-    model, _, _ = analysis.train_and_score(table)
-    return analysis.importance(model, analysis.feature_columns(table), "forest")
+    return spark.read.parquet(f"{stored_run(spark, sf_dir)}/importance")
 
 
 @query("forest_metrics")
 def forest_metrics(spark, sf_dir):
-    _, scored, _ = analysis.train_and_score(feature_table(spark, sf_dir))
-    return ev.binary_metrics(ev.levels_of(scored))
+    return spark.read.parquet(f"{stored_run(spark, sf_dir)}/metrics")
 
 
 @query("batch_verdicts")
 def batch_verdicts(spark, sf_dir):
     """Verdict for every measurement with its mean key features."""
-    table = feature_table(spark, sf_dir)
-    model, _, _ = analysis.train_and_score(table)
+    model, windows, _ = analysis.load_run(spark, stored_run(spark, sf_dir))
     keys = [f"vibration_1__{f}" for f in ("rms", "kurtosis", "crest_factor", "spectral_centroid_hz")]
-    return ev.verdicts(analysis.score(model, table), keys)
+    return ev.verdicts(analysis.score(model, windows), keys)
+
+
+@query(
+    "prediction_targets",
+    SP
+    + """SELECT m.measurement_id, m.state, m.condition, CAST(count(*) AS BIGINT) AS windows, CAST(0 AS BIGINT) AS unknown
+FROM vectors m JOIN split s USING (measurement_id) WHERE side = 'test' GROUP BY ALL""",
+)
+def prediction_targets(spark, sf_dir):
+    """Predictions joined to the measurement table for their label and condition, which they do not carry."""
+    predicted = forest_predictions(spark, sf_dir).select("measurement_id", "window_id", "probability")
+    known = views.window_arrays(spark, sf_dir).select("measurement_id", "state", "condition").distinct()
+    joined = predicted.join(known, "measurement_id", "left")
+    return joined.groupBy("measurement_id", "state", "condition").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if(F.col("probability").isNull() | ~F.col("probability").between(0, 1)).alias("unknown")
+    )

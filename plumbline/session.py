@@ -31,13 +31,15 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        ship_package(spark)
+    ship_package(spark)
     return spark
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give every Python worker this package, as an archive of its source files."""
+    """Give every Python worker this package, as an archive of its source files, whatever folder it starts in."""
+    if getattr(spark.sparkContext, "_plumbline_shipped", False):
+        return
+    spark.sparkContext._plumbline_shipped = True
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="plumbline-package-")) / "plumbline.zip"
     with zipfile.ZipFile(archive, "w") as out:
