@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import images as im
@@ -11,6 +13,7 @@ from plumbline.plans import views
 from plumbline.plans.registry import query, with_views
 from plumbline.plans.text_queries import CHUNKS_SQL, DOCS_SQL, PAGES_SQL, document_chunks
 from plumbline.plans.views import RUN_EVENTS_SQL, RUNS_SQL, SIGNALS_SQL
+from plumbline.session import shared_folder
 from plumbline.sources import documents as docs, images as imgs, measurements as ms
 from plumbline.streaming import jobs
 
@@ -252,6 +255,25 @@ def chunk_upsert(spark, sf_dir):
     return docs.upsert_chunks(old, new).select("chunk_id", "version")
 
 
+@query(
+    "chunk_table_life",
+    with_views(DOCS_SQL, PAGES_SQL, CHUNKS_SQL)
+    + """SELECT chunk_id, document_id, CASE WHEN source_tier = 1 THEN 'new' ELSE 'old' END AS version FROM chunks WHERE CAST(substr(document_id, 5) AS BIGINT) % 7 <> 0""",
+)
+def chunk_table_life(spark, sf_dir):
+    """The table is written, stale documents are replaced, others deleted, and it is read back."""
+    path = f"{shared_folder(spark)}/chunks/{uuid.uuid4().hex}"
+    chunks = document_chunks(spark, sf_dir).select("document_id", "chunk_id", "source_tier", F.md5("content").alias("sha256"))
+    docs.write_chunks(chunks.withColumns({"version": F.lit("old"), "embedding_version": F.lit("1")}), path, buckets=16)
+    fresh = F.when(F.col("source_tier") == 1, "2").otherwise("1")
+    offered = chunks.withColumns({"version": F.lit("new"), "embedding_version": fresh})
+    stale = docs.stale_documents(offered, spark.read.parquet(path)).filter("stale").select("document_id")
+    docs.write_chunks(docs.merge_chunks(offered.join(stale, "document_id"), path), path)
+    number = F.substr("document_id", F.lit(5)).cast("bigint")
+    docs.delete_chunks(spark.read.parquet(path).filter(number % 7 == 0).select("document_id").distinct(), path)
+    return spark.read.parquet(path).select("chunk_id", "document_id", "version")
+
+
 # -- pages and images -----------------------------------------------------------------------------
 
 

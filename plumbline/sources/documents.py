@@ -27,6 +27,7 @@ MANIFEST_FIELDS = (
 SINGLE_TYPES = ("pdf", "html")
 COLLECTION_TYPE = "pdf_collection"
 BUCKETS = 64
+PROPERTIES = "_properties"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -141,28 +142,55 @@ def upsert_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
 
 
-def with_bucket(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+def bucket_count(spark: SparkSession, path: str) -> int | None:
+    """Number of buckets a chunk table was created with, kept beside it; None if there is no table yet."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PROPERTIES}")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.schema("buckets int").json(f"{path}/{PROPERTIES}").first()["buckets"]
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+def with_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
+    return chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+
+
+def write_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the buckets of the given documents only; other partitions stay as they are.
 
-    ``chunks`` must hold all rows of every bucket it touches (see ``merge_chunks``).
+    The first write fixes the number of buckets. ``chunks`` must hold all rows of every bucket it
+    touches (see ``merge_chunks``).
     """
-    with_bucket(chunks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    known = bucket_count(chunks.sparkSession, path)
+    with_bucket(chunks, known or buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if known is None:
+        chunks.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(f"{path}/{PROPERTIES}")
 
 
 def merge_chunks(new: DataFrame, path: str, replaced: DataFrame | None = None) -> DataFrame:
-    """Rows of all buckets touched by ``new``: stored chunks of other documents plus the new ones."""
+    """Rows of all buckets touched by ``new`` or ``replaced``: stored chunks of other documents plus the new ones."""
     spark = new.sparkSession
+    buckets = bucket_count(spark, path) or BUCKETS
+    gone = new.select("document_id") if replaced is None else replaced.select("document_id").union(new.select("document_id"))
     stored = spark.read.parquet(path)
-    touched = with_bucket(new).select("bucket").distinct()
+    touched = with_bucket(gone.distinct(), buckets).select("bucket").distinct()  # at most one row per bucket
     kept = stored.join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
-    gone = new.select("document_id") if replaced is None else replaced.select("document_id").union(new.select("document_id"))
     return kept.join(gone.distinct(), "document_id", "left_anti").unionByName(new)
 
 
+def delete_chunks(gone: DataFrame, path: str) -> None:
+    """Remove the chunks of the documents in ``gone`` (document_id); a bucket left without rows is dropped."""
+    spark = gone.sparkSession
+    buckets = bucket_count(spark, path) or BUCKETS
+    none = spark.createDataFrame([], spark.read.parquet(path).drop("bucket").schema)
+    kept = merge_chunks(none, path, gone)
+    left = {r["bucket"] for r in with_bucket(kept, buckets).select("bucket").distinct().collect()}  # bounded by the buckets
+    touched = {r["bucket"] for r in with_bucket(gone.select("document_id"), buckets).select("bucket").distinct().collect()}
+    write_chunks(kept, path)
+    for bucket in touched - left:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def document_records(chunks: DataFrame, document_id: str) -> DataFrame:
     """Text and metadata of one document; the filter and the column list reach the scan."""
     return chunks.filter(F.col("document_id") == document_id).drop("vector")
