@@ -38,8 +38,10 @@ from pyspark.sql import types as T
 MARK = "▁"
 UNIT_CHARS = 200
 UNIT_MARKS = 16
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 16_000_000
 ROWS_AT_ONCE = 50_000
+#: A unit has some fifteen edges, so its partitions are made finer than those of other shuffles.
+EDGE_PARTS = 4
 DOCS_AT_ONCE = 2_000
 MOST_PIECES = 500_000
 UNKNOWN_BELOW = 10.0
@@ -223,7 +225,8 @@ def encoded_units(units: DataFrame, model_path: str) -> DataFrame:
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = rows.mapInArrow(unit_rows, "chunk long, place int, unit string").repartition("unit")
+    parts = EDGE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = rows.mapInArrow(unit_rows, "chunk long, place int, unit string").repartition(parts, "unit")
     # the first chunk of a unit rides along, so that both uses of the units read one exchange
     ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path)
     met = units.join(ids.hint("merge"), "unit").where(F.col("first") <= F.struct("chunk", "place"))
