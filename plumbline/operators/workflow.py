@@ -504,6 +504,20 @@ def page(df: DataFrame, number: int, size: int, order: Sequence[Column]) -> tupl
     return df.orderBy(*order).offset((number - 1) * size).limit(size), totals
 
 
+def page_after(df: DataFrame, size: int, order: Sequence[str], last: Sequence | None = None) -> DataFrame:
+    """The next ``size`` rows, newest first, after the row whose ``order`` values are ``last``.
+
+    The boundary is a filter, so a deep page costs what the first one does and tasks keep ``size`` rows.
+    """
+    if last is not None:
+        older, equal = F.lit(False), F.lit(True)
+        for column, value in zip(order, last):
+            older = older | (equal & (F.col(column) < F.lit(value)))
+            equal = equal & (F.col(column) == F.lit(value))
+        df = df.filter(older)
+    return df.orderBy(*[F.desc(column) for column in order]).limit(size)
+
+
 def check_targets(requests: DataFrame, measurements: DataFrame) -> DataFrame:
     """Requests whose named equipment does not own the measurement."""
     owner = measurements.select("measurement_id", F.col("equipment_id").alias("owner"))

@@ -425,6 +425,19 @@ def run_page(spark, sf_dir):
     return rows.select("run_id", "created_at")
 
 
+@query(
+    "run_page_after",
+    R
+    + """SELECT run_id, created_at FROM runs WHERE (created_at, run_id) < (SELECT (created_at, run_id) FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 1 OFFSET 39)
+ORDER BY created_at DESC, run_id DESC LIMIT 20""",
+)
+def run_page_after(spark, sf_dir):
+    """The third page again, found from the last row of the second."""
+    runs, order = views.runs(spark, sf_dir), ["created_at", "run_id"]
+    last = wf.page_after(runs, 40, order).orderBy(*order).select(*order).first()  # one row
+    return wf.page_after(runs, 20, order, tuple(last) if last else None).select("run_id", "created_at")
+
+
 @query("run_page_totals", R + "SELECT CAST(count(*) AS BIGINT) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM runs")
 def run_page_totals(spark, sf_dir):
     return wf.page(views.runs(spark, sf_dir), 1, 20, [F.desc("created_at")])[1]
