@@ -47,7 +47,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path)
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path, merges=True)
     decoded = sentencepiece_lattice.decode_rows(encoded, path)
     ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_ids"), F.crc32(ids_text).alias("ids_crc32"), F.crc32("text").alias("decoded_crc32"))

@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Contract: spaces become the word mark, one more mark is put in front, and the text is cut into units
-that end before a mark or around a line feed; a unit has at most UNIT_CHARS characters after its marks,
-longer ones are cut there. A unit is encoded by the path of pieces with the largest sum of scores, on
-ties by the longest last piece, then the larger ids. A character without a piece stands as its byte
-pieces at a score below that of every piece. Per document: ids. Decoding gives the text back exactly,
-but that a word mark in the text reads as a space, as the format has it. Null text counts as empty;
-repeated rows stay; an empty table gives no rows.
+that end before a mark or around a line feed. There are two folds. With ``merges``, for BPE models, whose
+scores are ranks of merges, the ids are those of the library on the whole text: neighbours merge in the
+order of the scores, the leftmost first on ties; empty text has no ids; units are cut further only
+between characters that no piece has side by side, so no cut can change an id. Without it a unit has at
+most UNIT_CHARS characters after its marks and is encoded by the path of pieces with the largest sum of
+scores, on ties by the longest last piece, then the larger ids; on a BPE model such ids are not the
+model's. A character without a piece stands as its byte pieces. Per document: ids. Decoding gives the
+text back exactly, but that a word mark in the text reads as a space, as the format has it. Null text
+counts as empty; repeated rows stay; an empty table gives no rows.
 
 Method: each different unit is encoded once. Units are exploded into substrings no longer than the
 longest piece, an equi-join to the piece table (broadcast; its size is the vocabulary's and is checked)
-leaves the lattice's edges, edges are grouped by unit, and a higher-order fold over the end positions
-keeps the best path to each. The documents of one stretch of a scan make a chunk. A chunk sends its
+leaves the lattice's edges, edges are grouped by unit, and a fold finds the path: for sums over the end
+positions, for merges over a heap of the edges that join two neighbours. A unit of more than UNIT_CHARS
+characters that cannot be cut looks its edges up in the fold. The documents of one stretch of a scan make a chunk. A chunk sends its
 different units, in sorted order, to the lattice with their places; the ids come back packed by chunk
 and meet the documents, which travel as places only. So neither units nor texts are shuffled once per
 occurrence. A scan gives the same chunks again while its partitions are the same, so ``docs`` must be a
@@ -22,8 +26,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,7 @@ DOCS_AT_ONCE = 2_000
 MOST_PIECES = 500_000
 UNKNOWN_BELOW = 10.0
 UNITS = re.compile(f"{MARK}{{1,{UNIT_MARKS}}}[^{MARK}\n]{{0,{UNIT_CHARS}}}|\n|[^{MARK}\n]{{1,{UNIT_CHARS}}}")
+WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
 def units_of(text: str) -> list[str]:
@@ -72,6 +78,83 @@ def model(path: str) -> tuple[list[tuple[int, str, float]], tuple[int, ...], tup
     return pieces, tuple(byte_ids), tuple(decoded)
 
 
+@lru_cache(maxsize=1)
+def neighbours(path: str) -> frozenset[str]:
+    """Pairs of characters that some piece has side by side."""
+    found = frozenset(a + b for _, piece, _ in model(path)[0] for a, b in zip(piece, piece[1:]))
+    if any("\n" in pair or (pair[1] == MARK and pair[0] != MARK) for pair in found):
+        raise ValueError("the vocabulary has pieces that reach over a word's beginning or a line feed")
+    return found
+
+
+def uncut_units(text: str, path: str) -> list[str]:
+    """Units between which no merge is possible."""
+    units = WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+    pairs = neighbours(path)
+    out = []
+    for unit in units:
+        if len(unit) <= UNIT_CHARS:
+            out.append(unit)
+            continue
+        ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+        out += [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)])]
+    return out
+
+
+def merged_path(length: int, number_at: Callable[[int, int], int | None], scores: list[float]) -> list[tuple[int, int]]:
+    """Pieces (start, end) left when neighbours merge by score; ``number_at`` gives the id + 1 of an edge."""
+    end, before = list(range(1, length + 1)), list(range(-1, length - 1))
+    heap = [(-scores[n - 1], i, i + 1, i + 2) for i in range(length - 1) if (n := number_at(i, i + 2))]
+    heapify(heap)
+    while heap:
+        _, left, right, stop = heappop(heap)
+        if end[left] != right or end[right] != stop:
+            continue
+        end[left], end[right] = stop, 0
+        if stop < length:
+            before[stop] = left
+            if n := number_at(left, end[stop]):
+                heappush(heap, (-scores[n - 1], left, stop, end[stop]))
+        if left and (n := number_at(before[left], stop)):
+            heappush(heap, (-scores[n - 1], before[left], left, stop))
+    path, at = [], 0
+    while at < length:
+        path.append((at, end[at]))
+        at = end[at]
+    return path
+
+
+def merged_units(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, place, ids) from rows (chunk, place, unit, edges) that are sorted by unit; edges are
+    packed as in ``encoded_units``. Rows of one unit follow each other, so each unit is folded once."""
+    pieces, byte_ids, decoded = model(model_path)
+    known = {piece: i + 1 for i, piece, _ in pieces}
+    scores = [0.0] * len(decoded)
+    for i, _, score in pieces:
+        scores[i] = score
+    last, ids = None, np.zeros(0, np.int32)
+    for batch in batches:
+        edges = batch.column(3)
+        bounds = (edges.offsets.to_numpy() - edges.offsets[0].as_py()).tolist() if len(edges) else [0]
+        flat = edges.flatten().to_numpy()
+        spans, numbers = flat >> 24, flat & ((1 << 24) - 1)
+        out = []
+        for unit, a, b in zip(batch.column(2).to_pylist(), bounds[:-1], bounds[1:]):
+            if unit != last:
+                if len(unit) > UNIT_CHARS:
+                    number_at = lambda i, j, unit=unit: known.get(unit[i:j])
+                else:
+                    found = dict(zip(spans[a:b].tolist(), numbers[a:b].tolist()))
+                    number_at = lambda i, j, found=found: found.get((j + 1) << 16 | (i + 1))
+                path: list[int] = []
+                for i, j in merged_path(len(unit), number_at, scores):
+                    n = number_at(i, j)
+                    path += [n - 1] if n else [byte_ids[x] for x in unit[i:j].encode()]
+                last, ids = unit, np.array(path, np.int32)
+            out.append(ids)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(out)], names=["chunk", "place", "ids"])
+
+
 def decode_units(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
     """Pieces put together again, marks included."""
     out = b"".join(p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass") for p in (decoded[i] for i in ids))
@@ -86,14 +169,14 @@ def decode(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
 class Chunk:
     """Units of consecutive documents by first sight, and the documents as numbers of units."""
 
-    def __init__(self, number: int, keep: bool) -> None:
-        self.number, self.keep, self.size, self.crc = number, keep, 0, 0
+    def __init__(self, number: int, keep: bool, cut: Callable[[str], list[str]]) -> None:
+        self.number, self.keep, self.cut, self.size, self.crc = number, keep, cut, 0, 0
         self.seen: dict[str, int] = {}
         self.doc_ids: list = []
         self.docs: list[np.ndarray] = []
 
     def add(self, doc_id, text: str) -> None:
-        units, seen = units_of(text), self.seen
+        units, seen = self.cut(text), self.seen
         for unit in units:
             if unit not in seen:
                 seen[unit] = len(seen)
@@ -107,22 +190,22 @@ class Chunk:
         return partition << 44 | self.number << 32 | self.crc
 
 
-def chunked(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[tuple[int, Chunk]]:
+def chunked(batches: Iterator[pa.RecordBatch], keep: bool, cut: Callable[[str], list[str]]) -> Iterator[tuple[int, Chunk]]:
     """Chunks of about CHUNK_CHARS characters with their keys, from rows (doc_id, text)."""
-    partition, chunk = TaskContext.get().partitionId(), Chunk(0, keep)
+    partition, chunk = TaskContext.get().partitionId(), Chunk(0, keep, cut)
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             chunk.add(doc_id, text.as_py() or "")
             if chunk.size >= CHUNK_CHARS:
                 yield chunk.key(partition), chunk
-                chunk = Chunk(chunk.number + 1, keep)
+                chunk = Chunk(chunk.number + 1, keep, cut)
     if chunk.size:
         yield chunk.key(partition), chunk
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, place, unit): the chunk's units in sorted order."""
-    for key, chunk in chunked(batches, keep=False):
+    for key, chunk in chunked(batches, False, cut):
         units = sorted(chunk.seen)
         for at in range(0, len(units), ROWS_AT_ONCE):
             part = units[at : at + ROWS_AT_ONCE]
@@ -147,9 +230,9 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
-def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, packed): documents as places of their units in the sorted order."""
-    for key, chunk in chunked(batches, keep=True):
+    for key, chunk in chunked(batches, True, cut):
         sight = list(chunk.seen)
         order = sorted(range(len(sight)), key=sight.__getitem__)
         place = np.empty(len(sight), np.int32)
@@ -184,17 +267,25 @@ def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
     return spark.createDataFrame(pieces, schema)
 
 
-def encoded_units(units: DataFrame, model_path: str) -> DataFrame:
-    """Columns (unit, first, ids) for different units; ``first`` is passed through."""
+def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
+    """Columns (unit, first, ids) for different units, with ``merges`` (unit, first, edges); ``first`` is
+    passed through."""
     pieces, byte_ids, _ = model(model_path)
     longest = max(len(piece) for _, piece, _ in pieces)
     unknown = min((score for _, _, score in pieces if score > -1e8), default=0.0) - UNKNOWN_BELOW
-    starts = units.select("unit", "first", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
-    spans = starts.select("unit", "first", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start") + 1))).alias("size"))
+    every, sizes = F.sequence(F.lit(1), F.length("unit")), F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start") + 1))
+    if merges:  # a long unit has the one edge 0
+        every = F.when(F.length("unit") <= UNIT_CHARS, every).otherwise(F.array(F.lit(0)))
+        sizes = F.when(F.col("start") > 0, sizes).otherwise(F.array(F.lit(0)))
+    starts = units.select("unit", "first", F.explode_outer(every).alias("start"))
+    spans = starts.select("unit", "first", "start", F.explode_outer(sizes).alias("size"))
     cut = spans.withColumn("sub", F.substring("unit", F.col("start"), F.col("size")))
-    edges = cut.join(F.broadcast(piece_table(units.sparkSession, model_path)), F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size = 1")
+    edges = cut.join(F.broadcast(piece_table(units.sparkSession, model_path)), F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size <= 1")
     # an edge is (end, start, id + 1), packed into one long, and its score; id + 1 is 0 for a byte edge
     number = (F.col("start") + F.col("size")).cast("long") * (1 << 40) + F.col("start").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    if merges:
+        lattice = edges.groupBy("unit").agg(F.first("first").alias("first"), F.collect_list(number).alias("edges"))
+        return lattice
     edge = F.struct(number.alias("e"), F.coalesce("score", F.lit(unknown)).alias("score"))
     lattice = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.first("first").alias("first"))
     nothing = F.expr("named_struct('score', 0D, 'back', 0L, 'path', cast(array() as array<long>))")
@@ -222,16 +313,21 @@ def encoded_units(units: DataFrame, model_path: str) -> DataFrame:
     return best.select("unit", "first", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
+    cut = partial(uncut_units, path=model_path) if merges else units_of
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = EDGE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = rows.mapInArrow(unit_rows, "chunk long, place int, unit string").repartition(parts, "unit")
-    # the first chunk of a unit rides along, so that both uses of the units read one exchange
-    ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path)
+    units = rows.mapInArrow(partial(unit_rows, cut=cut), "chunk long, place int, unit string").where("unit IS NOT NULL").repartition(parts, "unit")
+    # the first chunk of a unit rides along, so that both uses of the units read one exchange; filters that
+    # the optimizer infers for one use only (from a join or an inner explode) would make them two
+    ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path, merges)
     met = units.join(ids.hint("merge"), "unit").where(F.col("first") <= F.struct("chunk", "place"))
-    found = met.select("chunk", "place", "ids").mapInArrow(pack_found, "chunk long, packed binary")
-    places = rows.mapInArrow(place_rows, "chunk long, packed binary")
+    # the merge fold follows the join, as a Python step before it would lose the partitions by unit
+    found = met.select("chunk", "place", "unit", "edges") if merges else met.select("chunk", "place", "ids")
+    pack = (lambda batches: pack_found(merged_units(batches, model_path))) if merges else pack_found
+    found = found.mapInArrow(pack, "chunk long, packed binary")
+    places = rows.mapInArrow(partial(place_rows, cut=cut), "chunk long, packed binary")
 
     def put_back(known: pa.Table, docs: pa.Table) -> pa.Table:
         tables = unpacked(known.column("packed"))

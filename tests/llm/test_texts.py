@@ -77,6 +77,23 @@ def test_lattice_equals_plain_viterbi_and_decodes(make_docs, odd_texts, tmp_path
         assert rows[i]["ids"] == [x for u in units for x in known[u]]
 
 
+def test_merges_give_the_ids_of_the_library(make_docs, odd_texts, sf, spark, tmp_path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_PATH)
+    texts = [*odd_texts, "The quick brown fox: evidence\n\njumps\tover 12 dogs.", "日本語のテキスト and ქართული", "a" + " " * 40 + "b", "日本語" * 200, "\n", "<s> <0x0A> ▁x ▁▁", "abcdefghij" * 60 + "-" * 300, "①" * 250, "\r\x00\n " * 3]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    make_docs(texts).write.parquet(str(tmp_path / "docs"))
+    encoded = sentencepiece_lattice.encode(spark.read.parquet(str(tmp_path / "docs")), PIECE_PATH, merges=True)
+    rows = {r["doc_id"]: r for r in sentencepiece_lattice.decode_rows(encoded, PIECE_PATH).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        assert rows[i]["ids"] == library.encode(text or "")
+        assert rows[i]["text"] == (text or "").replace("▁", " ")
+    make_docs([None, ""]).write.parquet(str(tmp_path / "none"))
+    assert [r["ids"] for r in sentencepiece_lattice.encode(spark.read.parquet(str(tmp_path / "none")), PIECE_PATH, merges=True).collect()] == [[], []]
+
+
 def test_lattice_of_nothing(make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "docs"))
     docs = make_docs([]).sparkSession.read.parquet(str(tmp_path / "docs"))
