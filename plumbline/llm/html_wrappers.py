@@ -3,7 +3,9 @@
 Contract: one row per page with page_id, url, text and n_chars: the article's blocks in page order,
 joined by one line feed, without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, markup and reader comments. Character references are decoded, white space inside a block
-becomes one space, ends are trimmed, nothing else is dropped or capped. Null html gives an empty text;
+becomes one space, ends are trimmed, nothing else is dropped or capped. A class, id or role drops an
+element only by a whole token that is a word of DROPPED_WORDS or is made of such words; never html, body,
+main or a page's article, nothing around them, and no heading or prose of an article. Null html gives an empty text;
 pages without a url share a host of their own; repeated rows stay; an empty table gives no rows.
 
 Method: a page is a stream of tags and texts. Streams of one host are aligned one after the other: at
@@ -64,19 +66,47 @@ TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""",
     re.DOTALL | re.IGNORECASE,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+NAMED = frozenset({"class", "id", "role"})
 WORD = re.compile(r"[a-z]+")
+JOINT = re.compile(r"[-_]+")
+#: Mark of a key whose element is dropped by its class, id or role; no word holds it.
+OUT = ".!"
 
 
 def tag_key(name: str, rest: str) -> str:
-    """A tag's name with the words of its class, id and role."""
+    """A tag's name with the words of its class, id and role, and OUT if a whole token of them holds no main text."""
     if "=" not in rest:
         return name
-    words = sorted({w for found in NAMED.findall(rest) for w in WORD.findall("".join(found).lower())})
-    return ".".join([name, *words])
-
-
-def events(page: str) -> Iterator[tuple[str, str]]:
+    values = ["".join(found).lower() for key, *found in ATTRIBUTE.findall(rest) if key.lower() in NAMED]
+    words = sorted({w for value in values for w in WORD.findall(value)})
+    out = any(DROPPED_WORDS.issuperset(JOINT.split(token)) for value in values for token in value.split())
+    return ".".join([name, *words]) + (OUT if out else "")
+
+
+def events(page: str) -> list[tuple[str, str]]:
+    """The token stream with OUT only where it may drop: not on html, body and main, on an article that is in
+    no other, on prose of an article, and around an article or main without OUT."""
+    found = list(tokens(page))
+    around: list[tuple[int, bool, bool]] = [(-1, False, False)]
+    for at, (kind, value) in enumerate(found):
+        if kind == "close":
+            around.pop()
+        if kind != "open":
+            continue
+        name = value.split(".")[0]
+        _, inside, in_article = around[-1]
+        if value.endswith(OUT):
+            if name in ("html", "body", "main") or (name == "article" and not in_article) or (inside and name in PROSE):
+                found[at] = (kind, value.removesuffix(OUT))
+        elif name in MAIN and not inside:
+            for i, *_ in around[1:]:
+                found[i] = (found[i][0], found[i][1].removesuffix(OUT))
+        around.append((at, inside or name in MAIN, in_article or name == "article"))
+    return found
+
+
+def tokens(page: str) -> Iterator[tuple[str, str]]:
     """Token stream of a page as ("open", key), ("close", name), ("void", name) and ("text", decoded text).
 
     Unclosed paragraphs, items and cells end where HTML ends them; a closing tag without its start is
@@ -202,9 +232,9 @@ def boilerplate(keys: list[str]) -> bool:
     """Whether a path of tags leads out of the main text."""
     inside = False
     for key in keys:
-        name, *words = key.split(".")
+        name = key.split(".")[0]
         inside = inside or name in MAIN
-        if name in DROPPED or (not inside and name in DROPPED_OUTSIDE) or not DROPPED_WORDS.isdisjoint(words):
+        if name in DROPPED or (not inside and name in DROPPED_OUTSIDE) or key.endswith(OUT):
             return True
     return False
 

@@ -168,6 +168,29 @@ def test_merge_order_keeps_slots():
     assert {p for p, _ in html_wrappers.slots(one)} == {p for p, _ in html_wrappers.slots(two)}
 
 
+def test_class_words_drop_only_whole_blocks():
+    text = lambda page: html_wrappers.main_text(page, frozenset())
+    for page in (
+        "<body class='has-sidebar'><p>a</p></body>",
+        "<body class='sidebar'><p>a</p></body>",
+        "<main class='with-sidebar'><p>a</p></main>",
+        "<main class='widget'><p>a</p></main>",
+        "<article class='post comments-open'><p>a</p></article>",
+        "<article class='sponsored'><p>a</p></article>",
+        "<article><section id='social-impact'><p>a</p></section></article>",
+        "<article><p class='notice'>a</p></article>",
+        "<article><h2 id='search'>a</h2></article>",
+        "<article><h2 id='related-work'>a</h2></article>",
+        "<div class='widget'><article><p>a</p></article></div>",
+        "<div class='widget'><div data-id='ad' data-class=menu title='x class=ad'><p>a</p></div><main></main></div><main><p>a</p></main>",
+        "<div><p>a</p></div><div class='ad x'>b</div><div class='cookie-notice'>c</div><p class='notice'>d</p>",
+        "<article><p>a</p><div class='x sidebar'>b</div><div id='comments'><article class='comment'><p>c</p></article></div></article>",
+        "<article><p>a</p></article><div id='comments'><article class='comment'><p>c</p></article></div>",
+    ):
+        assert text(page) == "a", page
+    assert text("<div data-id='ad'><p>a</p></div>") == "a"
+
+
 def test_deep_and_broken_markup():
     deep = "<div>" * 3000 + "inside" + "</p></div>" * 10
     assert html_wrappers.main_text(deep, frozenset()) == "inside"
