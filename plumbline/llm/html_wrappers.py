@@ -12,7 +12,7 @@ Method: a page is a stream of tags and texts. Streams of one host are aligned on
 equal positions tags must agree and texts become slots; where they do not agree, groups of tags that
 only some pages have become optional, and groups that follow each other become one repeated group.
 The result is the host's wrapper, a regular expression without unions. Every slot knows its path of
-tags, the pages it was seen in and whether its text ever changed, so the wrapper tells template text
+tags, how many different pages it was seen in and whether its text ever changed, so the wrapper tells template text
 from content and whether the host has an article element at all. Pages of a host in one batch are
 folded into a wrapper before anything is shuffled; wrappers merge per host in two levels, so a host
 with a third of all pages is never gathered. Pages then meet their host's slots by a merge join that
@@ -145,18 +145,26 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         yield "close", stack.pop()[0]
 
 
-# A wrapper is a list of nodes. A slot is ["#", optional, smallest text hash, largest, pages]; a group is
-# [key, optional, repeated, nodes], where the key "()" stands for a repeated group of several tags.
+# A wrapper is a list of nodes. A slot is ["#", optional, smallest text hash, largest, pages, marks], where
+# marks are the smallest SEEN_PAGES hashes of the main texts of pages with the slot and pages is their number,
+# so copies of a page and repeats within one count once; a group is [key, optional, repeated, nodes], where
+# the key "()" stands for a repeated group of several tags.
 
 
 def same(a: list, b: list) -> bool:
     return a[0] == b[0]
 
 
+def seen_in(a: list[int], b: list[int]) -> list[int]:
+    """Marks of the pages in either list, as many as are asked for."""
+    return a if a == b else sorted({*a, *b})[:SEEN_PAGES]
+
+
 def merged(a: list, b: list) -> list:
     """One node that matches what either node matches."""
     if a[0] == "#":
-        return ["#", a[1] | b[1], min(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]]
+        marks = seen_in(a[5], b[5])
+        return ["#", a[1] | b[1], min(a[2], b[2]), max(a[3], b[3]), len(marks), marks]
     return [a[0], a[1] | b[1], a[2] | b[2], aligned(a[3], b[3])]
 
 
@@ -211,11 +219,13 @@ def wrapper_of(page: str) -> list:
     """The wrapper that a single page is."""
     levels: list[list] = [[]]
     keys: list[str] = []
-    for kind, value in events(page):
+    stream = events(page)
+    marks = [zlib.crc32(text_of(stream, frozenset()).encode("utf-8", "surrogatepass"))]
+    for kind, value in stream:
         if kind == "text":
             if value.strip():
                 mark = zlib.crc32(" ".join(value.split()).encode("utf-8", "surrogatepass"))
-                levels[-1].append(["#", 0, mark, mark, 1])
+                levels[-1].append(["#", 0, mark, mark, 1, marks])
         elif kind == "open":
             keys.append(value)
             levels.append([])
@@ -249,26 +259,31 @@ def slots(wrapper: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str
 
 
 def template_paths(wrapper: list) -> list[str]:
-    """Paths whose text is the template's: it was seen on several pages and never changed, while other
-    text of the host did, and it is no prose of an article."""
+    """Paths whose text is the template's: it was seen on several pages of different main text and never
+    changed, while other text of the host did, and it is no prose of an article."""
     found: dict[tuple[str, ...], list] = {}
     for path, node in slots(wrapper):
-        kept = found.setdefault(path, [node[2], node[3], 0])
-        found[path] = [min(kept[0], node[2]), max(kept[1], node[3]), kept[2] + node[4]]
+        kept = found.setdefault(path, [node[2], node[3], []])
+        found[path] = [min(kept[0], node[2]), max(kept[1], node[3]), seen_in(kept[2], node[5])]
     content = {p: v for p, v in found.items() if not boilerplate(list(p))}
     if not any(low != high for low, high, _ in content.values()):
         return []
     names = {p: {k.split(".")[0] for k in p} for p in content}
-    return sorted(">".join(p) for p, (low, high, pages) in content.items() if low == high and pages >= SEEN_PAGES and not (names[p] & MAIN and names[p] & PROSE))
+    return sorted(">".join(p) for p, (low, high, marks) in content.items() if low == high and len(marks) >= SEEN_PAGES and not (names[p] & MAIN and names[p] & PROSE))
 
 
 def main_text(page: str, template: frozenset[str]) -> str:
     """Text of a page without boilerplate and template slots; with an article, only what is in it."""
+    return text_of(events(page), template)
+
+
+def text_of(stream: list[tuple[str, str]], template: frozenset[str]) -> str:
+    """The text of ``main_text`` from a page's token stream."""
     blocks: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
     path: list[str] = []
     states: list[tuple[bool, bool]] = [(False, False)]
     had_article = False
-    for kind, value in events(page):
+    for kind, value in stream:
         dropped, inside = states[-1]
         if kind == "text":
             if not dropped and not (template and value.strip() and ">".join(path) in template):

@@ -191,6 +191,24 @@ def test_class_words_drop_only_whole_blocks():
     assert text("<div data-id='ad'><p>a</p></div>") == "a"
 
 
+def test_copies_and_repeats_are_one_page(spark):
+    lone = "<article><h1>T</h1><p>one<p>two<ul><li>item</li></ul><figcaption>fig</figcaption><div>box</div></article>"
+    plain = "<h1>T</h1><p>one</p><blockquote>q</blockquote><p>two</p>"
+    equal = "<article><p>one<p>two<ul><li>x</li><li>x</li><li>x</li></ul></article>"
+    for number, html in enumerate((lone, plain, equal)):
+        texts = []
+        for copies in (1, 3, 20):
+            # copies differ in what is no main text
+            rows = [(i, f"http://h{number}.example/{i}", html + f"<footer>{i}</footer><!-- {i % 2} -->") for i in range(copies)]
+            got = html_wrappers.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+            texts += [r["text"] for r in got]
+        assert len(texts) == 24 and len(set(texts)) == 1
+        assert texts[0] == html_wrappers.main_text(html, frozenset())
+    rows = [(i, "http://t.example/", f"<div>Print</div><p>body {i}</p>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"body {i}" for i in range(3)}
+
+
 def test_deep_and_broken_markup():
     deep = "<div>" * 3000 + "inside" + "</p></div>" * 10
     assert html_wrappers.main_text(deep, frozenset()) == "inside"
