@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, html_wrappers, line_dedup, packing, quality, sentencepiece_lattice, token_counts, topk, toxicity
+from plumbline.llm import embedding_dedup, filter_audit, html_wrappers, line_dedup, packing, quality, sentencepiece_lattice, token_counts, topk, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.simhash import near_copies
 
@@ -75,6 +75,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
@@ -86,9 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": topk.SQL,
     "op8_line_dedup": line_dedup.SQL.format(ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES),
+    "op11_filter_interaction_audit": filter_audit.SQL,
 }
