@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, filter_audit, html_wrappers, line_dedup, packing, quality, ranked_search, sentencepiece_lattice, token_counts, topk, toxicity
+from plumbline.llm import embedding_dedup, filter_audit, html_wrappers, license_scan, line_dedup, packing, quality, ranked_search, sentencepiece_lattice, token_counts, topk, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.simhash import near_copies
 
@@ -79,6 +79,10 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summarised(license_scan.scanned(table(spark, sf_dir, "documents")))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_license_scans": op12_license_scans,
     "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
@@ -102,5 +107,6 @@ ORACLES: dict[str, str] = {
     "op1_exact_top_k": topk.SQL,
     "op8_line_dedup": line_dedup.SQL.format(ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES),
     "op11_filter_interaction_audit": filter_audit.SQL,
+    "op12_license_scans": license_scan.sql(),
     "op13_ranked_lexical_search": ranked_search.SQL,
 }
