@@ -15,7 +15,7 @@ from plumbline.plans.text_queries import CHUNKS_SQL, DOCS_SQL, PAGES_SQL, docume
 from plumbline.plans.views import RUN_EVENTS_SQL, RUNS_SQL, SIGNALS_SQL
 from plumbline.session import shared_folder
 from plumbline.sources import documents as docs, images as imgs, measurements as ms
-from plumbline.streaming import jobs
+from plumbline.streaming import jobs, windows
 
 FILES_SQL = """files AS (SELECT s_suppkey, s_nationkey, s_acctbal, CASE WHEN s_nationkey % 5 = 4 THEN 'notes_' || s_suppkey || '.txt' ELSE
   CASE s_suppkey % 3 WHEN 0 THEN 'N09' ELSE 'N15' END || '_M07_F' || CASE s_suppkey % 2 WHEN 0 THEN '10' ELSE '04' END || '_' ||
@@ -356,7 +356,10 @@ def image_attachments(spark, sf_dir):
 
 
 def event_stream(spark, sf_dir):
-    turns = jobs.read_stream(spark, sf_dir, "conversations")
+    return run_event_columns(jobs.read_stream(spark, sf_dir, "conversations"))
+
+
+def run_event_columns(turns):
     run, turn = F.col("conv_id").cast("string"), F.col("turn")
     return turns.select(
         F.concat(F.lit("run_"), run).alias("run_id"),
@@ -383,7 +386,10 @@ def stream_append(spark, sf_dir):
   CAST(count(*) FILTER (node = 'retrieve_knowledge') AS BIGINT) AS retrievals, max((sequence >= 4)::INT) AS completed FROM run_events GROUP BY 1""",
 )
 def stream_run_states(spark, sf_dir):
-    return jobs.materialise_states(event_stream(spark, sf_dir), jobs.work_folder(spark))
+    """Every event arrives twice, in two batches, and counts once."""
+    folder, turns = jobs.work_folder(spark), views.table(spark, sf_dir, "conversations")
+    stream = windows.replay(iter([turns, turns]), f"{folder}/deliveries", files=2)
+    return jobs.materialise_states(run_event_columns(stream), folder)
 
 
 @query(
@@ -427,3 +433,77 @@ def stream_wait_resume(spark, sf_dir):
         F.inline(F.array(message("request", right, 1), message("response", answer, 2), message("response", answer, 3))),
     )
     return jobs.outcomes(messages, jobs.work_folder(spark)).select("run_id", "outcome")
+
+
+# -- recordings replayed as streams ------------------------------------------------------------------
+
+DAY = 86_400
+BURST = 6 * 3600
+RECORDED_SQL = """recorded AS (
+  SELECT 'rig-' || (user_id % 10) AS equipment_id, 'm:' || user_id AS measurement_id, event_type AS channel, epoch_us(ts) AS us, value AS x FROM events)"""
+FEATURES_SQL = """CAST(count(x) AS BIGINT) AS n, round(avg(x), 6) AS mean, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak,
+  round(max(x) - min(x), 6) AS peak_to_peak, round(CASE WHEN max(x) = min(x) THEN 0 WHEN count(x) > 2 THEN skewness(x) ELSE 0 END, 6) AS skewness"""
+
+
+def recorded_stream(spark, sf_dir, folder):
+    """Events delivered in slices of five days, each up to one slice late, as small files, with an end mark."""
+    at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")))
+    user = F.col("user_id")
+    rows = views.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("rig-"), (user % 10).cast("string")).alias("equipment_id"),
+        F.concat(F.lit("m:"), user.cast("string")).alias("measurement_id"),
+        F.col("event_type").alias("channel"),
+        "event_id",
+        at.alias("at"),
+        F.col("value").alias("x"),
+    )
+    return windows.replay(windows.deliveries(rows, "at", 5 * DAY, 1, "event_id"), f"{folder}/deliveries", files=4, end="at")
+
+
+def feature_rows(found):
+    at = F.unix_seconds("window.start").alias("window_start")
+    columns = [F.round(c, 6).alias(c) for c in ("mean", "rms", "peak", "peak_to_peak")]
+    skewness = F.round(F.when(F.col("n") > 2, F.col("skewness")).otherwise(0.0), 6).alias("skewness")
+    return found.select("equipment_id", "channel", at, "n", *columns, skewness)
+
+
+@query(
+    "stream_features",
+    with_views(RECORDED_SQL)
+    + f"SELECT equipment_id, channel, us // {DAY * 1_000_000} * {DAY} AS window_start, {FEATURES_SQL} FROM recorded GROUP BY 1, 2, 3",
+)
+def stream_features(spark, sf_dir):
+    """Tumbling windows of a day over a replayed recording."""
+    folder = jobs.work_folder(spark)
+    stream = recorded_stream(spark, sf_dir, folder)
+    return feature_rows(windows.stream_window_features(stream, folder, "features", "at", "x", ["equipment_id", "channel"], "10 days", "1 day"))
+
+
+@query(
+    "stream_sliding_features",
+    with_views(RECORDED_SQL)
+    + f"""SELECT equipment_id, channel, (us // {DAY * 1_000_000} - back) * {DAY} AS window_start, {FEATURES_SQL}
+FROM recorded, (VALUES (0), (1), (2)) b(back) GROUP BY 1, 2, 3""",
+)
+def stream_sliding_features(spark, sf_dir):
+    """Windows of three days that start every day."""
+    folder = jobs.work_folder(spark)
+    stream = recorded_stream(spark, sf_dir, folder)
+    return feature_rows(windows.stream_window_features(stream, folder, "sliding", "at", "x", ["equipment_id", "channel"], "10 days", "3 days", "1 day"))
+
+
+@query(
+    "stream_sessions",
+    with_views(RECORDED_SQL)
+    + f""", marked AS (SELECT *, us - lag(us) OVER w >= {BURST * 1_000_000} AS apart FROM recorded WINDOW w AS (PARTITION BY measurement_id ORDER BY us)),
+numbered AS (SELECT *, sum(coalesce(apart, TRUE)::INT) OVER (PARTITION BY measurement_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+SELECT measurement_id, min(us) AS first_us, max(us) AS last_us, CAST(count(*) AS BIGINT) AS n, round(sum(x), 6) AS total FROM numbered GROUP BY measurement_id, session""",
+)
+def stream_sessions(spark, sf_dir):
+    """Bursts of a measurement's events, at most six hours between neighbours, the last ones included."""
+    folder = jobs.work_folder(spark)
+    stream = recorded_stream(spark, sf_dir, folder)
+    found = windows.stream_sessions(stream, folder, "sessions", "at", "x", ["measurement_id"], "10 days", "6 hours")
+    return found.select(
+        "measurement_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "n", F.round("total", 6).alias("total")
+    )

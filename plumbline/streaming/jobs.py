@@ -3,8 +3,9 @@
 Results and checkpoints go below one shared folder. The jobs use ``availableNow``, so the same
 code drains a backlog and, with another trigger, runs continuously. Results are logs of keyed batches:
 every micro-batch writes its own folder, a repeated batch replaces itself, and a read merges the
-batches by key. After COMPACT batches the log is merged into one folder, so neither the number of
-folders that a read opens nor any operator state grows with the age of the stream.
+batches by key. COMPACT folders of a size are merged into one of the next size and then removed, so
+a log of n batches has about COMPACT * log(n) folders, holds its rows at most twice for a batch's time,
+and writes a row again log(n) times.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,9 +24,9 @@ from plumbline.operators import events as ev
 from plumbline.operators import memory as mem
 from plumbline.session import STATE_STORE, shared_folder
 
-COMPACT = 16  # batches between two merges of a log
-EVENT_BUCKETS = 64  # folders of a log by key, so that a batch looks up only the buckets it touches
-HOLD_MS = 600_000  # how long an answer waits for a request that has not come yet
+COMPACT = 16  # folders of one size that are merged into one
+EVENT_BUCKETS = 64  # parts of the event log by id, so that a batch looks up only the buckets it touches
+HOLD_MS = 600_000  # how long an answer waits for a request that has not come yet, unless told otherwise
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 KEEP_MS = 86_400_000  # how long a resolved request is remembered
 
@@ -54,80 +55,109 @@ def _status(spark: SparkSession, path: str):
     return files.getFileStatus(target)
 
 
-def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
-    """Finished ``kind=<number>`` folders of a log, in order."""
-    files, target = _files(spark, folder)
-    if not files.exists(target):
-        return []
-    names = [s.getPath() for s in files.listStatus(target)]
-    whole = [p for p in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(m[1]) for p in whole if (m := re.fullmatch(rf"{kind}=(\d+)", p.getName())))
+def run_to_end(stream: DataFrame, folder: str, name: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> int:
+    """Run a stream to the end of its input, one call of ``write`` per batch.
 
-
-def run_to_end(stream: DataFrame, folder: str, name: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream to the end of its input, one call of ``write`` per batch."""
+    Returns how many rows its operators left out because they came after the watermark (of the batches
+    whose progress the session keeps).
+    """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/_{name}").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, number: write(batch, number)).start().awaitTermination()
+    query = writer.foreachBatch(lambda batch, number: write(batch, number)).start()
+    query.awaitTermination()
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
 
 
 class KeyedLog:
     """Rows of micro-batches under a folder, merged by key on read.
 
-    ``merge`` must give the same rows whether it sees all batches or earlier merges of some of them.
+    A folder ``run=<first>-<last>`` holds the merged rows of these batches. ``merge`` must give the same
+    rows whether it sees all batches or earlier merges of some of them. With ``bucket`` each folder is
+    split by that column, and a filter on ``_bucket`` reads only its parts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame]) -> None:
-        self.spark, self.folder, self.merge = spark, folder, merge
-        self.schema = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
-
-    def _rows(self, before: int) -> DataFrame:
-        merged = [n for n in _numbers(self.spark, self.folder, "merged") if n < before]
-        start = merged[-1] if merged else -1
-        paths = [f"{self.folder}/merged={start}"] if merged else []
-        paths += [f"{self.folder}/batch={n}" for n in _numbers(self.spark, self.folder, "batch") if start < n < before]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame], bucket: Column | None = None) -> None:
+        self.spark, self.folder, self.merge, self.bucket = spark, folder, merge, bucket
+        added = [T.StructField("_batch", T.LongType())] + ([] if bucket is None else [T.StructField("_bucket", T.IntegerType())])
+        self.schema = T.StructType([*schema.fields, *added])
+
+    def _folders(self) -> dict[tuple[int, int], bool]:
+        """(first, last) of all folders, and whether they are whole."""
+        files, target = _files(self.spark, self.folder)
+        if not files.exists(target):
+            return {}
+        found = {m: s.getPath() for s in files.listStatus(target) if (m := re.fullmatch(r"run=(\d+)-(\d+)", s.getPath().getName()))}
+        return {(int(m[1]), int(m[2])): files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) for m, p in found.items()}
+
+    def runs(self, before: int, start: int = 0, but: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+        """The widest whole folders that hold the batches from ``start`` up to ``before``."""
+        whole = sorted((first, -last) for (first, last), done in self._folders().items() if done and last < before and (first, last) != but)
+        out: list[tuple[int, int]] = []
+        for first, last in whole:
+            if first >= start and (not out or first > out[-1][1]):
+                out.append((first, -last))
+        return out
+
+    def rows(self, runs: list[tuple[int, int]]) -> DataFrame:
+        paths = [f"{self.folder}/run={first}-{last}" for first, last in runs]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", self.folder).parquet(*paths).select(*self.schema.fieldNames())
 
     def read(self, before: int = 2**62) -> DataFrame:
         """The merged table of all batches below ``before``."""
-        return self.merge(self._rows(before)).drop("_batch")
+        return self.merge(self.rows(self.runs(before))).drop("_batch", "_bucket")
+
+    def _save(self, rows: DataFrame, first: int, last: int) -> None:
+        rows = rows.select(*self.schema.fieldNames())
+        writer = rows.write if self.bucket is None else rows.repartition("_bucket").write.partitionBy("_bucket")
+        writer.mode("overwrite").parquet(f"{self.folder}/run={first}-{last}")
+
+    def _remove_merged(self, number: int) -> None:
+        """Folders whose batches a wider one holds. Batches before ``number`` are committed and never run again."""
+        wide = self.runs(number)
+        files, _ = _files(self.spark, self.folder)
+        for first, last in self._folders():
+            if last < number and (first, last) not in wide:
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/run={first}-{last}"), True)
 
     def write(self, rows: DataFrame, number: int) -> None:
-        rows.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
-        if (number + 1) % COMPACT == 0:
-            whole = self.merge(self._rows(number + 1))
-            whole.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.folder}/merged={number}")
+        self._remove_merged(number)
+        rows = rows.withColumn("_batch", F.lit(number).cast("long"))
+        self._save(rows if self.bucket is None else rows.withColumn("_bucket", self.bucket), number, number)
+        size = COMPACT
+        while (number + 1) % size == 0:
+            first = number + 1 - size
+            self._save(self.merge(self.rows(self.runs(number + 1, first, but=(first, number)))), first, number)
+            size *= COMPACT
 
 
-def append_events(events: DataFrame, folder: str) -> DataFrame:
-    """Every event id once, however late and however often it is delivered.
+class EventLog(KeyedLog):
+    """Every event id once, however late and however often it is delivered."""
 
-    A batch is reduced to its first deliveries and joined against the ids stored in the buckets that it
-    touches; there is no delay after which an event is lost or a repeat is kept.
-    """
-    spark, out, schema = events.sparkSession, f"{folder}/events", events.schema
-    bucket = F.pmod(F.xxhash64("event_id"), F.lit(EVENT_BUCKETS)).cast("int")
-    fields = T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])
-
-    def known(before: int) -> DataFrame:
-        paths = [f"{out}/batch={n}" for n in _numbers(spark, out, "batch") if n < before]
-        rows = [spark.read.schema(fields).parquet(p) for p in paths]
-        whole = spark.createDataFrame([], fields)
-        for part in rows:
-            whole = whole.unionByName(part)
-        return whole
-
-    def write(batch: DataFrame, number: int) -> None:
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, buckets: int = EVENT_BUCKETS) -> None:
+        super().__init__(spark, folder, schema, lambda rows: rows, F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int"))
+
+    def append(self, batch: DataFrame, number: int) -> DataFrame:
+        """Store the events of a batch that no earlier batch had, and return them as stored.
+
+        A batch is reduced to its first deliveries and joined against the ids in the buckets that it
+        touches; there is no delay after which an event is lost or a repeat is kept.
+        """
         batch = batch.persist()
         try:
-            touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most EVENT_BUCKETS
-            stored = known(number).filter(F.col("_bucket").isin(touched)) if touched else known(number)
-            new = ev.append_new(stored, batch).withColumn("_bucket", bucket)
-            new.select(*fields.fieldNames()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{out}/batch={number}")
+            touched = [r[0] for r in batch.select(self.bucket.alias("b")).distinct().collect()]  # at most the number of buckets
+            known = self.rows(self.runs(number)).filter(F.col("_bucket").isin(touched)) if touched else self.rows([])
+            self.write(ev.append_new(known, batch), number)
         finally:
             batch.unpersist()
+        return self.rows([(number, number)]).drop("_batch", "_bucket")
+
 
-    run_to_end(events, folder, "events", write)
-    return known(2**62).drop("_bucket")
+def append_events(events: DataFrame, folder: str) -> DataFrame:
+    """All events of a stream, each id once."""
+    log = EventLog(events.sparkSession, f"{folder}/events", events.schema)
+    run_to_end(events, folder, "events", lambda batch, number: log.append(batch, number))
+    return log.read()
 
 
 def merge_states(parts: DataFrame) -> DataFrame:
@@ -143,10 +173,15 @@ def merge_states(parts: DataFrame) -> DataFrame:
 
 
 def materialise_states(events: DataFrame, folder: str) -> DataFrame:
-    """State per run: batches store partial states of their own events, a read adds them up."""
-    log = KeyedLog(events.sparkSession, f"{folder}/run_state", ev.run_state(events).schema, merge_states)
-    run_to_end(events, folder, "run_state", lambda batch, number: log.write(ev.run_state(batch), number))
-    return log.read()
+    """State per run: batches store partial states of the events that are new in them, a read adds them up.
+
+    An event that is delivered again, in its batch or in a later one, counts once.
+    """
+    spark = events.sparkSession
+    seen = EventLog(spark, f"{folder}/events", events.schema)
+    states = KeyedLog(spark, f"{folder}/run_state", ev.run_state(events).schema, merge_states)
+    run_to_end(events, folder, "run_state", lambda batch, number: states.write(ev.run_state(seen.append(batch, number)), number))
+    return states.read()
 
 
 def merge_records(parts: DataFrame) -> DataFrame:
@@ -165,10 +200,13 @@ class WaitResume(StatefulProcessor):
     """Per run: WAITING on a request until the matching response, which counts once.
 
     All rows of a micro-batch are put in order of position before they are judged, also when they come
-    in several frames. An answer whose request has not been seen waits for it in state, HOLD_MS at
+    in several frames. An answer whose request has not been seen waits for it in state, ``hold_ms`` at
     most; a resolved request leaves the state after KEEP_MS.
     """
 
+    def __init__(self, hold_ms: int = HOLD_MS) -> None:
+        self.hold_ms = hold_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         request = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("status", T.StringType())])
         answer = T.StructType([T.StructField("position", T.LongType()), T.StructField("request_id", T.StringType())])
@@ -206,7 +244,7 @@ class WaitResume(StatefulProcessor):
         now = timers.getCurrentProcessingTimeInMs()
         if current is None:
             self.held.put(early)
-            self._timer(now, HOLD_MS)
+            self._timer(now, self.hold_ms)
         else:
             out += [(key[0], request_id, "NO_PENDING_REQUEST") for _, request_id in early]
             self.held.clear()
@@ -229,20 +267,20 @@ class WaitResume(StatefulProcessor):
         pass
 
 
-def wait_resume(messages: DataFrame) -> DataFrame:
+def wait_resume(messages: DataFrame, hold_ms: int = HOLD_MS) -> DataFrame:
     """Outcome per message (run_id, kind, request_id, position) in the order of positions."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return messages.groupBy("run_id").transformWithStateInPandas(
-        WaitResume(), outputStructType="run_id string, request_id string, outcome string", outputMode="Append", timeMode="ProcessingTime"
+        WaitResume(hold_ms), outputStructType="run_id string, request_id string, outcome string", outputMode="Append", timeMode="ProcessingTime"
     )
 
 
-def outcomes(messages: DataFrame, folder: str) -> DataFrame:
+def outcomes(messages: DataFrame, folder: str, hold_ms: int = HOLD_MS) -> DataFrame:
     """All outcomes of a stream of messages, drained once.
 
     Timers keep a stream busy with batches that have no data, so these are off while it drains.
     """
-    spark, stream = messages.sparkSession, wait_resume(messages)
+    spark, stream = messages.sparkSession, wait_resume(messages, hold_ms)
     log = KeyedLog(spark, f"{folder}/outcomes", stream.schema, lambda rows: rows)
     before = spark.conf.get(NO_DATA_BATCHES)
     spark.conf.set(NO_DATA_BATCHES, "false")

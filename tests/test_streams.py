@@ -33,17 +33,43 @@ def test_no_event_is_lost_and_none_twice(spark, tmp_path):
     write_files(frames, tmp_path / "in")
     out = jobs.append_events(stream_of(spark, tmp_path / "in"), str(tmp_path / "out"))
     assert sorted(r.event_id for r in out.collect()) == sorted(r[0] for r in rows)
-    assert len(list((tmp_path / "out" / "events").glob("batch=*"))) == 3
+    assert len(list((tmp_path / "out" / "events").glob("run=*"))) == 3
+
+
+STATE_COLUMNS = ["event_id", "run_id", "sequence", "node", "event_type"]
+
+
+def state_rows():
+    return [(f"e{r}_{i}", f"r{r}", i, "diagnose" if i % 2 else "retrieve_knowledge", "workflow_completed" if i == 6 else "node") for r in range(5) for i in range(1, 7)]
 
 
 def test_states_add_up_over_batches_and_merges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "COMPACT", 2)
-    rows = [(f"r{r}", i, "diagnose" if i % 2 else "retrieve_knowledge", "workflow_completed" if i == 6 else "node") for r in range(5) for i in range(1, 7)]
-    frames = [pd.DataFrame(rows[k::5], columns=["run_id", "sequence", "node", "event_type"]) for k in range(5)]
-    write_files(frames[::-1], tmp_path / "in")
+    rows = state_rows()
+    frames = [pd.DataFrame(rows[k::5], columns=STATE_COLUMNS) for k in range(5)]
+    write_files([*frames[::-1], frames[1], frames[3]], tmp_path / "in")
+    got = {tuple(r) for r in jobs.materialise_states(stream_of(spark, tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert got == {(f"r{r}", 6, "retrieve_knowledge", 6, 3, 1) for r in range(5)}
+
+
+def test_events_delivered_again_count_once(spark, tmp_path):
+    frame = pd.DataFrame(state_rows(), columns=STATE_COLUMNS)
+    write_files([frame, frame, pd.concat([frame, frame])], tmp_path / "in")
     got = {tuple(r) for r in jobs.materialise_states(stream_of(spark, tmp_path / "in"), str(tmp_path / "out")).collect()}
     assert got == {(f"r{r}", 6, "retrieve_knowledge", 6, 3, 1) for r in range(5)}
-    assert len(list((tmp_path / "out" / "run_state").glob("merged=*"))) == 2
+
+
+def test_a_log_of_many_batches_keeps_few_folders_and_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 4)
+    log = jobs.KeyedLog(spark, str(tmp_path / "log"), spark.range(1).schema, lambda rows: rows)
+    for number in range(70):
+        log.write(spark.range(number * 10, number * 10 + 10).coalesce(1), number)
+        if number % 9 == 0:
+            log.write(spark.range(number * 10, number * 10 + 10).coalesce(1), number)  # the batch runs again
+    folders = sorted(p.name for p in (tmp_path / "log").glob("run=*"))
+    assert folders == ["run=0-63", "run=64-67", "run=68-68", "run=69-69"]
+    assert sorted(r.id for r in log.read().collect()) == list(range(700))
+    assert sorted(r.id for r in log.read(before=69).collect()) == list(range(690))
 
 
 def test_answers_are_judged_in_order_of_position(spark, tmp_path):
