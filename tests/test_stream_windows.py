@@ -18,8 +18,8 @@ def recording(spark, n=400, hours=30):
     return spark.createDataFrame(rows, "id long, key string, at timestamp, x double")
 
 
-def replayed(rows, folder):
-    return windows.replay(windows.deliveries(rows, "at", 12 * HOUR, 1, "id"), str(folder), files=3, end="at")
+def replayed(rows, folder, behind=1, hours=12):
+    return windows.replay(windows.deliveries(rows, "at", hours * HOUR, behind, "id"), str(folder), files=3, end="at")
 
 
 def comparable(df):
@@ -43,7 +43,8 @@ def test_every_session_is_closed(spark, tmp_path):
 
 def test_rows_behind_the_watermark_are_reported(spark, tmp_path):
     with pytest.raises(windows.LateRows):
-        windows.stream_window_features(replayed(recording(spark), tmp_path / "in"), str(tmp_path / "out"), "f", "at", "x", ["key"], "1 hour", "1 hour")
+        stream = replayed(recording(spark), tmp_path / "in", behind=4, hours=6)
+        windows.stream_window_features(stream, str(tmp_path / "out"), "f", "at", "x", ["key"], "1 hour", "1 hour")
 
 
 def test_deliveries_hold_every_row_once_and_at_most_so_late(spark):
