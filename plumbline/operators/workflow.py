@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.operators import queries as qb
+from plumbline.operators.ordered import join_facts
 from plumbline.session import cut_lineage
 
 # Purposes, limits, action policy and texts of the workflow.
@@ -238,23 +240,41 @@ def with_route(verified: DataFrame) -> DataFrame:
 
 
 
+def search_once(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Evidence of a table of run queries (run_id, ordinal, purpose, query_text).
+
+    Runs often ask the same, so each different (purpose, query_text) is searched once: ``search`` maps
+    (query_id, purpose, question) to rows (query_id, chunk_id, ...). What a popular query found returns to
+    its many runs in salted parts.
+    """
+    named = asked.withColumn("query_id", tx.short_hash("query_", F.col("purpose"), F.col("query_text")))
+    texts = named.groupBy("query_id").agg(F.first("purpose").alias("purpose"), F.first("query_text").alias("question"))
+    rows = join_facts(named.drop("query_text").withColumnRenamed("ordinal", "query_ordinal"), search(texts), ["query_id"], F.col("run_id"))
+    return rows.withColumn("evidence_id", tx.short_hash("evidence_", F.col("query_id"), F.col("chunk_id"))).drop("query_id")
+
+
 def refine(runs: DataFrame, evidence: DataFrame, search: Callable[[DataFrame], DataFrame], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Bounded refinement: at most ``limits.retries`` more searches for the runs still open.
 
-    ``search`` maps queries (run_id, ordinal, purpose, query_text) to evidence rows. Lineage is cut
-    between rounds where the cluster names a checkpoint folder.
+    ``search`` maps queries (run_id, ordinal, purpose, query_text) to evidence rows. A round works on its
+    frontier alone: runs that are settled, and their evidence, leave it. Frontiers are checkpointed, so no
+    round repeats an earlier one. Returns the routed runs and all evidence.
     """
-    base = runs
-    for _ in range(limits.retries):
-        state = with_route(verify(diagnose(base, evidence)))
-        asked = refinement_queries(state)
-        fresh = search(asked).join(evidence.select("run_id", "chunk_id"), ["run_id", "chunk_id"], "left_anti")
-        evidence = cut_lineage(evidence.unionByName(fresh))
-        open_runs = asked.select("run_id").withColumn("_more", F.lit(1).cast("bigint"))
-        base = cut_lineage(
-            base.join(open_runs, "run_id", "left").withColumn("retries", F.col("retries") + F.coalesce("_more", F.lit(0))).drop("_more")
-        )
-    return with_route(verify(diagnose(base, evidence))), evidence
+    frontier, settled, seen = runs, [], []
+    for left in range(limits.retries, -1, -1):
+        state = cut_lineage(with_route(verify(diagnose(frontier, evidence))))
+        going = F.col("route").isin("refine", "counter_evidence") & F.lit(left > 0)
+        settled.append(state.filter(~going))
+        asked = refinement_queries(state.filter(going))
+        if asked.isEmpty():
+            break
+        open_ids = asked.select("run_id")
+        seen.append(evidence.join(open_ids, "run_id", "left_anti"))
+        here = evidence.join(open_ids, "run_id", "left_semi")
+        fresh = search(asked).join(here.select("run_id", "chunk_id"), ["run_id", "chunk_id"], "left_anti")
+        evidence = cut_lineage(here.unionByName(fresh.select(*here.columns)))
+        frontier = state.filter(going).select(*runs.columns).withColumn("retries", F.col("retries") + 1)
+    return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, [*seen, evidence])
 
 
 def inspection_plan(verified: DataFrame) -> DataFrame:

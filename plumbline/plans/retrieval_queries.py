@@ -281,17 +281,20 @@ gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 G = with_views(GRAMS_SQL, GRAM_TOP_SQL)
 
 
-def gram_searched(spark, sf_dir, k):
-    asked = views.table(spark, sf_dir, "benchmark").select(
+def gram_questions(spark, sf_dir):
+    return views.table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("case_"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("question")
     )
+
+
+def gram_searched(spark, sf_dir, asked, k):
     vectors = rt.with_norm(turns(spark, sf_dir).withColumn("vector", gram_vector("text"))).withColumns(
         {"source_id": F.lit("turns"), "source_tier": F.lit(1)}
     )
     wanted = rt.with_norm(asked.withColumn("vector", gram_vector("question"))).withColumns(
         {"max_tier": F.lit(4), "sources": F.lit(None).cast("array<string>")}
     )
-    return asked, rt.vector_topk(wanted, vectors, k)
+    return rt.vector_topk(wanted, vectors, k)
 
 
 @query(
@@ -299,7 +302,7 @@ def gram_searched(spark, sf_dir, k):
     G + "SELECT query_id, chunk_id, score, CAST(rank AS BIGINT) AS rank FROM gr WHERE rank <= 3",
 )
 def gram_topk(spark, sf_dir):
-    _, ranked = gram_searched(spark, sf_dir, 3)
+    ranked = gram_searched(spark, sf_dir, gram_questions(spark, sf_dir), 3)
     return ranked.select("query_id", "chunk_id", "score", "rank")
 
 
@@ -317,8 +320,10 @@ SELECT query_id, coalesce(policy, CASE WHEN acc > 0 THEN 'EVIDENCE_FOUND' ELSE '
 FROM p LEFT JOIN t USING (query_id)""",
 )
 def answer_statuses(spark, sf_dir):
-    asked, ranked = gram_searched(spark, sf_dir, 3)
-    return rt.answer_status(rt.abstain(asked, SCOPE_TERMS, CLAIM_TERMS), ranked, THRESHOLD)
+    """Only the questions that no policy answers are searched."""
+    asked = rt.abstain(gram_questions(spark, sf_dir), SCOPE_TERMS, CLAIM_TERMS)
+    ranked = gram_searched(spark, sf_dir, asked.filter(F.col("policy").isNull()), 3)
+    return rt.answer_status(asked, ranked, THRESHOLD)
 
 
 @query(

@@ -32,6 +32,12 @@ routed AS (SELECT *, CASE WHEN evidence_status = 'SUFFICIENT' THEN 'sufficient'
   CASE evidence_status WHEN 'INSUFFICIENT' THEN 'diagnostic and inspection technical evidence'
     WHEN 'PARTIAL' THEN CASE WHEN has_d THEN 'inspection evidence' WHEN has_i THEN 'diagnostic evidence' ELSE 'diagnostic evidence; inspection evidence' END ELSE '' END AS missing FROM state)"""
 
+PLANNED_SQL = f"""SELECT run_id, CAST(1 AS BIGINT) AS ordinal, 'DIAGNOSTIC_EVIDENCE' AS purpose, '{qb.DIAGNOSTIC_PHRASE} analysis status abnormal predicted class damaged signal feature rms '
+    || format('{{:.6g}}', rms) || ' operating condition ' || condition AS query_text FROM runs WHERE analysis_status = 'abnormal'
+UNION ALL SELECT run_id, 2, 'INSPECTION_ACTION', '{qb.INSPECTION_PHRASE} analysis status abnormal predicted class damaged operating condition ' || condition FROM runs WHERE analysis_status = 'abnormal'
+UNION ALL SELECT run_id, 3, 'DIAGNOSTIC_EVIDENCE', 'human observation inspection_observation ' || equipment_id FROM runs WHERE analysis_status = 'abnormal' AND information_rounds > 0
+UNION ALL SELECT run_id, 4, 'INSPECTION_ACTION', 'visible exterior observation rust ' || condition FROM runs WHERE analysis_status = 'abnormal' AND retries = 0"""
+
 R = with_views(RUNS_SQL)
 X = with_views(RUNS_SQL, EVIDENCE_SQL, UNION_SQL, STATE_SQL)
 
@@ -59,6 +65,18 @@ def abnormal_runs(spark, sf_dir):
     return run_states(spark, sf_dir).filter(wf.route_verdict(F.col("analysis_status")) == "abnormal")
 
 
+def observed_runs(spark, sf_dir):
+    """Abnormal runs with the human observations and visible findings that their queries may name."""
+    none = F.array().cast("array<struct<type:string,value:string>>")
+    seen = F.array(F.struct(F.lit("inspection_observation").alias("type"), F.col("equipment_id").alias("value")))
+    return abnormal_runs(spark, sf_dir).withColumns(
+        {
+            "observations": F.when(F.col("information_rounds") > 0, seen).otherwise(none),
+            "visible_terms": F.when(F.col("retries") == 0, F.array(F.lit("rust"), F.col("condition"))).otherwise(F.array().cast("array<string>")),
+        }
+    )
+
+
 def routed(spark, sf_dir):
     return wf.WorkflowStages().run(abnormal_runs(spark, sf_dir), evidence_table(spark, sf_dir))
 
@@ -103,25 +121,9 @@ def verdict_routes(spark, sf_dir):
     return rows.groupBy(wf.route_verdict(F.col("analysis_status")).alias("route"), "workflow_status").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query(
-    "planned_queries",
-    R
-    + f"""SELECT run_id, CAST(1 AS BIGINT) AS ordinal, 'DIAGNOSTIC_EVIDENCE' AS purpose, '{qb.DIAGNOSTIC_PHRASE} analysis status abnormal predicted class damaged signal feature rms '
-    || format('{{:.6g}}', rms) || ' operating condition ' || condition AS query_text FROM runs WHERE analysis_status = 'abnormal'
-UNION ALL SELECT run_id, 2, 'INSPECTION_ACTION', '{qb.INSPECTION_PHRASE} analysis status abnormal predicted class damaged operating condition ' || condition FROM runs WHERE analysis_status = 'abnormal'
-UNION ALL SELECT run_id, 3, 'DIAGNOSTIC_EVIDENCE', 'human observation inspection_observation ' || equipment_id FROM runs WHERE analysis_status = 'abnormal' AND information_rounds > 0
-UNION ALL SELECT run_id, 4, 'INSPECTION_ACTION', 'visible exterior observation rust ' || condition FROM runs WHERE analysis_status = 'abnormal' AND retries = 0""",
-)
+@query("planned_queries", R + PLANNED_SQL)
 def planned_queries(spark, sf_dir):
-    none = F.array().cast("array<struct<type:string,value:string>>")
-    seen = F.array(F.struct(F.lit("inspection_observation").alias("type"), F.col("equipment_id").alias("value")))
-    rows = abnormal_runs(spark, sf_dir).withColumns(
-        {
-            "observations": F.when(F.col("information_rounds") > 0, seen).otherwise(none),
-            "visible_terms": F.when(F.col("retries") == 0, F.array(F.lit("rust"), F.col("condition"))).otherwise(F.array().cast("array<string>")),
-        }
-    )
-    return wf.plan_queries(rows)
+    return wf.plan_queries(observed_runs(spark, sf_dir))
 
 
 @query(
@@ -160,29 +162,6 @@ def refinement_queries(spark, sf_dir):
     return wf.refinement_queries(routed(spark, sf_dir))
 
 
-@query("refined_runs")
-def refined_runs(spark, sf_dir):
-    """Bounded refinement; every search brings the inspection or diagnostic page that was asked for."""
-
-    def search(asked):
-        return asked.select(
-            "run_id",
-            F.concat(F.lit("doc_r:c"), F.lpad(F.col("ordinal").cast("string"), 7, "0")).alias("chunk_id"),
-            F.lit("doc_r").alias("document_id"),
-            "purpose",
-            F.col("ordinal").cast("bigint").alias("query_ordinal"),
-            F.lit(0.5).alias("score"),
-            F.lit(1).cast("bigint").alias("source_tier"),
-            F.lit(False).alias("contradicts"),
-            F.lit(0.0).alias("tie"),
-            tx.short_hash("evidence_", F.col("run_id"), F.col("query_text")).alias("evidence_id"),
-        )
-
-    base = abnormal_runs(spark, sf_dir).withColumn("retries", F.lit(0).cast("bigint"))
-    state, _ = wf.refine(base, evidence_table(spark, sf_dir), search)
-    return state.groupBy("evidence_status", "route", "retries").agg(F.count(F.lit(1)).alias("runs"))
-
-
 @query(
     "inspection_steps",
     X

@@ -169,6 +169,27 @@ def test_bounded_refinement(spark):
     assert asked == [1, 1]
 
 
+def test_rounds_search_only_open_runs_and_each_text_once(spark):
+    """Missing inspection evidence arrives in the second round; settled runs are never asked for again."""
+    shape = "run_id string, chunk_id string, document_id string, purpose string, query_ordinal bigint, score double, contradicts boolean, evidence_id string"
+    names = "run_id string, analysis_id string, retries bigint, max_retries bigint, information_rounds bigint, max_information_rounds bigint"
+    runs = spark.createDataFrame([(f"r{i}", f"a{i}", 0, 2, 0, 2) for i in range(6)], names)
+    rows = [(f"r{i}", "c1", "d", wf.DIAGNOSTIC, 1, 0.5, i == 4, f"e{i}") for i in range(5)] + [("r0", "c2", "d", wf.INSPECTION, 2, 0.5, False, "f0")]
+    texts = []
+
+    def corpus(asked):
+        texts.append(sorted(r.question for r in asked.collect()))
+        late = asked.filter((F.col("purpose") == wf.INSPECTION) & F.col("question").endswith("2"))
+        return late.select("query_id", F.lit("c9").alias("chunk_id"), F.lit("d").alias("document_id"), F.lit(0.4).alias("score"), F.lit(False).alias("contradicts"))
+
+    state, evidence = wf.refine(runs, spark.createDataFrame(rows, shape), lambda asked: wf.search_once(asked, corpus))
+    got = {r.run_id: (r.evidence_status, r.retries) for r in state.collect()}
+    want = {"r0": ("SUFFICIENT", 0), "r4": ("CONFLICTING", 2), "r5": ("INSUFFICIENT", 0)} | {f"r{i}": ("SUFFICIENT", 2) for i in (1, 2, 3)}
+    assert got == want
+    assert sorted((r.run_id, r.chunk_id) for r in evidence.collect()) == sorted([(r[0], r[1]) for r in rows] + [(f"r{i}", "c9") for i in (1, 2, 3)])
+    assert [len(t) for t in texts] == [2, 2]
+
+
 def test_unknown_status_is_an_error(spark):
     with pytest.raises(Exception, match="unsupported analysis status"):
         spark.range(1).select(wf.route_verdict(F.lit("odd"))).collect()
