@@ -104,6 +104,8 @@ def test_line_dedup_equals_sql(make_docs, spark):
     rows = [(i, f"Header\nbody {i}\n  Footer \n\nbody {i % 7}", "src0") for i in range(40)]
     rows += [(50 + i, f"Header\nother {i}", None) for i in range(5)] + [(60, None, "src1"), (61, "", "src1"), (62, "only\nonly", "src2"), (63, "Header", "src3")]
     rows += [(70, "copy\nof a page", "src0")] * 30 + [(None, "Header\nno id", "src0")]
+    shared = "\n".join(f"shared text number {i}" for i in range(9))
+    rows += [(200 + i, f"Header\n{shared}\nvariant {i}", "src5") for i in range(30)] + [(300 + i, f"Header\nthe own text of page {i}", "src5") for i in range(30)]
     for ratio, least in ((0.01, 3), (0.3, 3), (0.5, 10)):
         docs = make_docs(rows)
         got = line_dedup.without_boilerplate(docs, ratio, least)
@@ -114,11 +116,22 @@ def test_line_dedup_equals_sql(make_docs, spark):
         want = con.execute(line_dedup.SQL.format(ratio=ratio, min_pages=least)).fetchall()
         mine = [tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()]
         assert sorted(map(repr, mine)) == sorted(map(repr, want))
+        assert all(shared in r[1] for r in mine if r[0] in range(200, 230)) or ratio < 0.1
     copies = [r for r in mine if r[0] == 70]
     assert len(copies) == 30 and copies[0][1] == "copy\nof a page"
     assert line_dedup.without_boilerplate(make_docs([])).collect() == []
 
 
+def test_line_dedup_keeps_near_copies_and_clashing_columns(make_docs):
+    copies = [(i, "\n".join(f"line {n} of a story" for n in range(10)) + f"\nvariant {i}", "small") for i in range(3)]
+    docs = make_docs(copies + [(10 + i, f"page {i}\nMenu", "small") for i in range(47)]).withColumnsRenamed({"score": "n_lines", "length": "n_dropped"})
+    got = {r["doc_id"]: r for r in line_dedup.without_boilerplate(docs).collect()}
+    assert all(got[i]["text"] == text and got[i]["n_dropped"] == 0 for i, text, _ in copies)
+    assert all(got[10 + i]["text"] == f"page {i}" and got[10 + i]["n_lines"] == 2 for i in range(47))
+    kept = {r["doc_id"]: r for r in line_dedup.cleaned(docs).collect()}
+    assert {r["n_lines"] for r in kept.values()} == {"clash"} and kept[10][line_dedup.N_DROPPED] == 1
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>{t}</title><script>var a="<p>no</p>";</script></head><body><nav><ul>{menu}</ul></nav>'
     '<div class="cookie-notice">We use cookies</div><article><h1>{t}</h1>{paras}<div class="tools">Print this page</div>'
