@@ -8,7 +8,8 @@ frequent, so pages vote: a page that consists by more than half (in characters o
 candidates shares one vote with all such pages of its host that have the same longest candidate (ties: larger
 md5), any other page has its own. A candidate is boilerplate when at least ``min_pages`` votes and more
 than ``ratio`` of the host's votes contain it. Boilerplate lines go, the others stay in order, joined by one
-line feed; blank lines are never boilerplate. Null text stays null and has no lines. Repeated rows stay;
+line feed; blank lines are never boilerplate. A text that would lose over half of its characters consists of
+what its site repeats and stays as it is. Null text stays null and has no lines. Repeated rows stay;
 extra columns pass through, but ``n_lines`` and ``n_dropped`` of the input give way to those of the result
 (``cleaned`` keeps them); an empty table gives an empty result.
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
 
-#: A line on over three tenths of a site's pages, and on at least five of them, belongs to the site and not to a page.
-RATIO = 0.3
+#: A line on over a twentieth of a site's pages, and on at least five of them, belongs to the site and not to a page.
+RATIO = 0.05
 MIN_PAGES = 5
 #: Fixed set of characters stripped from both ends of a line before it is compared.
 ENDS = " \t\r\f\x0b"
@@ -79,7 +80,8 @@ def cleaned(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -
     lines = F.split(F.col("a.text"), "\n")
     keep = F.filter(lines, lambda line: ~F.array_contains(F.col("g.gone"), text_key(bare(line))))
     kept = F.when(F.col("g.gone").isNull(), lines).otherwise(keep)
-    rest = with_gone.select(*(F.col(f"a.`{c}`") for c in docs.columns), kept.alias("__line_dedup_kept"), F.size(lines).alias("__line_dedup_all"))
+    mostly = 2 * F.char_length(F.array_join(kept, "\n")) >= F.char_length("a.text")
+    rest = with_gone.select(*(F.col(f"a.`{c}`") for c in docs.columns), F.when(mostly, kept).otherwise(lines).alias("__line_dedup_kept"), F.size(lines).alias("__line_dedup_all"))
     text = [F.array_join("__line_dedup_kept", "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     known, every = F.col("text").isNotNull(), F.col("__line_dedup_all")
     dropped = every - F.size("__line_dedup_kept")
@@ -114,10 +116,10 @@ drops AS (
   GROUP BY h.source, h.line, n.votes HAVING count(DISTINCT v.vote) >= {min_pages} AND count(DISTINCT v.vote) > {ratio} * n.votes),
 parts AS (
   SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS ls FROM documents d),
-dropped AS (SELECT source, list(line) AS gone FROM drops GROUP BY source)
-SELECT p.doc_id,
-  array_to_string(list_filter(p.ls, lambda x: NOT list_contains(coalesce(g.gone, []), trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))), chr(10)) AS text,
-  coalesce(len(p.ls), 0)::INTEGER AS n_lines,
-  coalesce(len(list_filter(p.ls, lambda x: list_contains(coalesce(g.gone, []), trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))))), 0)::INTEGER AS n_dropped
-FROM parts p LEFT JOIN dropped g ON p.source IS NOT DISTINCT FROM g.source
+dropped AS (SELECT source, list(line) AS gone FROM drops GROUP BY source),
+cut AS (
+  SELECT p.doc_id, p.ls, list_filter(p.ls, lambda x: NOT list_contains(coalesce(g.gone, []), trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))) AS kept
+  FROM parts p LEFT JOIN dropped g ON p.source IS NOT DISTINCT FROM g.source),
+halved AS (SELECT doc_id, ls, CASE WHEN 2 * length(array_to_string(kept, chr(10))) >= length(array_to_string(ls, chr(10))) THEN kept ELSE ls END AS kept FROM cut)
+SELECT doc_id, array_to_string(kept, chr(10)) AS text, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(len(ls) - len(kept), 0)::INTEGER AS n_dropped FROM halved
 """
