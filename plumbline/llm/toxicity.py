@@ -12,9 +12,8 @@ and a linear softmax reads the mean; a document scores as its most toxic window,
 not water down a few insults. Embeddings and softmax are trained jointly in numpy, so a spelling never
 seen shares the vectors of its n-grams: first on all windows, then on each document's top window.
 
-Training takes at most SAMPLE toxic and 2 * SAMPLE clean labelled rows, and of a row at most
-SAMPLE_WINDOWS evenly spaced windows; both bound the one task that trains. Scoring reads every window of
-every text in one pass: with both layers linear, a bucket's share of the logits is one number.
+Training takes at most SAMPLE toxic and 2 * SAMPLE clean labelled rows, with all windows of their whole texts;
+that bound on rows bounds the one task that trains. Scoring reads every window of every text in one pass: with both layers linear, a bucket's share of the logits is one number.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import bounded_batches
 from plumbline.llm.labels import fold, learning_sample
@@ -36,7 +36,7 @@ DIMENSIONS = 8
 WINDOW = 8
 LEAST = 150
 SAMPLE = 1000
-SAMPLE_WINDOWS = 256
+SCORE = "__toxicity_score"
 EPOCHS = 120
 MEAN_EPOCHS = 8
 RATE = 1000.0
@@ -86,7 +86,7 @@ def text_parts(text: str) -> Iterator[str]:
 
 
 def sample_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of evenly spaced windows of a text, window by window, and how many each window has."""
+    """Buckets of all windows of a text, window by window, and how many each window has."""
     buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for part in text_parts(text):
         found, words = subwords(part)
@@ -94,13 +94,7 @@ def sample_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
         count = np.bincount(words // WINDOW)
         buckets.append(found[order].astype(np.int32))
         sizes.append(count[count > 0].astype(np.int32))
-    bag, size = np.concatenate(buckets), np.concatenate(sizes)
-    if len(size) > SAMPLE_WINDOWS:
-        chosen = np.linspace(0, len(size) - 1, SAMPLE_WINDOWS).astype(np.int64)
-        ends = np.cumsum(size)
-        bag = np.concatenate([bag[ends[i] - size[i] : ends[i]] for i in chosen])
-        size = size[chosen]
-    return bag, size
+    return np.concatenate(buckets), np.concatenate(sizes)
 
 
 def learned(sample: DataFrame) -> tuple[np.ndarray, float]:
@@ -181,22 +175,26 @@ def window_logit(text: str, bucket_logits: np.ndarray) -> float:
     return float(max(best, default=0.0))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Columns doc_id, held_out, score, predicted and the remaining columns of ``docs``."""
+def marked(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The columns of ``docs`` and the score under a reserved name."""
     bounded_batches(docs)
     found = learned(learning_sample(docs, labels, "toxic", (2 * sample, sample), ["text"]))
     model = docs.sparkSession.sparkContext.broadcast(found)
+    at = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_logits, bias = model.value
         for batch in batches:
-            logits = np.array([window_logit(text.as_py() or "", bucket_logits) + bias for text in batch.column(0)])
+            logits = np.array([window_logit(text.as_py() or "", bucket_logits) + bias for text in batch.column(at)])
             scores = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
-            columns = [*batch.columns, pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score"])
-
-    others = [c for c in docs.columns if c not in ("text", "doc_id", "score", "predicted", "held_out")]
-    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *others)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = rows.mapInArrow(apply, f"{fields}, score double")
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text", *others)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, SCORE])
+
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(apply, T.StructType([*rows.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Columns doc_id, held_out, score, predicted and the remaining columns of ``docs``."""
+    out = marked(docs, labels, sample)
+    others = [c for c in docs.columns if c not in ("doc_id", "score", "predicted", "held_out")]
+    return out.select("doc_id", (fold() == 0).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"), *others)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from plumbline.llm import quality, toxicity
+from plumbline.llm.labels import learning_sample
 
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType()), T.StructField("text", T.StringType())])
 SYLLABLES = "ka lo mi ren tu vas po zed ni gra".split()
@@ -110,6 +111,48 @@ def test_pseudo_labels_cross_the_views():
     side = rng.integers(0, 2, 300)
     pool[:, 0] += 2 * side
     pool[:, quality.TEXT_SIZE] += 2 * side
-    found = quality.co_train(x, y, np.arange(60) % 4 + 1, pool)
+    given = []
+
+    def name(weights, taken, counts):
+        found = [(view, label, rows, pool[rows]) for view, label, _, rows in quality.surest(pool, np.arange(300), weights, taken, counts)]
+        given.extend((1 - view, i) for view, _, ids, _ in found for i in ids.tolist())
+        return found
+
+    found = quality.co_train(x, y, np.arange(60) % 4 + 1, name)
+    assert len(given) == len(set(given)) > 100
     assert np.mean((quality.logit(found["text"], pool[:, : quality.TEXT_SIZE]) > 0) == side) > 0.95
     assert np.mean((quality.logit(found["meta"], pool[:, quality.TEXT_SIZE :]) > 0) == side) > 0.95
+
+
+def test_a_rare_source_enters_the_exchange(spark):
+    """The surest rows of all stored rows are named, wherever they are."""
+    rng = np.random.default_rng(5)
+    pool = rng.normal(size=(500, quality.TEXT_SIZE + quality.META_SIZE)) * 0.01
+    pool[123, 0] = pool[321, quality.TEXT_SIZE] = 30
+    rows = [(p.astype(np.float32).tobytes(), i) for i, p in enumerate(pool)]
+    stored = spark.createDataFrame(rows, "x binary, id long").repartition(7)
+    weights = [np.zeros(quality.TEXT_SIZE + 1), np.zeros(quality.META_SIZE + 1)]
+    weights[0][0] = weights[1][0] = 1.0
+    none = [np.zeros(0, np.int64)] * 2
+    got = [(view, label, ids.tolist()) for view, label, ids, _ in quality.namer(stored)(weights, none, (5, 5))]
+    assert got == [(0, 1, [123]), (1, 1, [321])]
+    assert quality.namer(stored)(weights, [np.array([321]), np.array([123])], (5, 5)) == []
+
+
+def test_a_repeated_id_gives_one_learning_row(spark, make_docs):
+    docs = make_docs([(7, f"text {i % 9}") for i in range(3000)] + [(8, None), (8, None), (9, "x"), (None, "y")])
+    marks = spark.createDataFrame([(i, 1, i % 2, "") for i in (7, 8, 9)] + [(7, 0, 0, "")], LABELS)
+    rows = learning_sample(docs, marks, "toxic", (100, 100), ["text"]).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in rows) == sorted((i, i % 2) for i in (7, 8, 9) if zlib.crc32(str(i).encode()) % 5)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_clashing_columns_survive_beside_the_scores(spark, make_docs, toxic_rows, module):
+    docs = make_docs([(i, t) for i, t, _ in toxic_rows[:200]]).withColumnsRenamed({"score": "predicted", "length": "label_id", "component_id": "score"})
+    marks = spark.createDataFrame([(i, 1 - y, y, "clash") for i, _, y in toxic_rows], LABELS)
+    out = module.marked(docs, marks)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert {(r["predicted"], r["score"]) for r in out.collect()} == {("clash", "clash")}
+    result = module.scored(docs, marks)
+    assert result.columns.count("score") == result.columns.count("predicted") == 1 and "label_id" in result.columns
+    assert all(0 <= r["score"] <= 1 for r in result.collect())
