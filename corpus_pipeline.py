@@ -1,7 +1,10 @@
 """Corpus cleaning: toxic and poor documents go, boilerplate lines and near copies go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as
-the next stage's documents. All but the last return the columns of documents.
+the next stage's documents. All but the last return the columns of documents, whatever they are called: what
+a stage adds for itself has a reserved name. Null and empty texts are scored and packed like texts without
+words, null sources, languages and sizes are values of their own; repeated rows and ties share their verdict;
+documents without an id are judged like others and are never merged; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,18 +23,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, learned on this input, does not reject."""
-    return toxicity.scored(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    scores = toxicity.marked(docs, table(spark, sf_dir, "labels"))
+    return scores.where(F.col(toxicity.SCORE) < 0.5).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier, learned on this input, accepts."""
-    return quality.scored(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    scores = quality.marked(docs, table(spark, sf_dir, "labels"))
+    return scores.where(F.col(quality.SCORE) >= 0.5).select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars follows the text."""
-    cleaned = line_dedup.without_boilerplate(docs)
-    sized = cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    cleaned = line_dedup.cleaned(docs)
+    sized = cleaned.withColumn("n_chars", F.when(F.col(line_dedup.N_DROPPED) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return sized.select(*docs.columns)
 
 
@@ -41,11 +46,11 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat an id and a text become one row. Only ids are aggregated to find them, so the
     texts of all other documents are not shuffled a second time.
     """
-    copies = stored(simhash.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"), "text_key").distinct())
-    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("other_id")))
-    firsts = stored(docs.join(copies.hint("merge"), (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("text_key")), "left_anti"))
-    once = firsts.join(repeated, F.col("doc_id") == F.col("other_id"), "left_anti")
-    more = firsts.join(repeated, F.col("doc_id") == F.col("other_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    copies = stored(simhash.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy_id"), F.col("text_key").alias("__copy_key")).distinct())
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__other_id")))
+    firsts = stored(docs.join(copies.hint("merge"), (F.col("doc_id") == F.col("__copy_id")) & (F.xxhash64("text") == F.col("__copy_key")), "left_anti"))
+    once = firsts.join(repeated, F.col("doc_id") == F.col("__other_id"), "left_anti")
+    more = firsts.join(repeated, F.col("doc_id") == F.col("__other_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(more)
 
 
