@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import line_dedup, quality, toxicity
@@ -81,3 +82,16 @@ def test_odd_documents_pass(spark, make_docs, odd_texts, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_own_columns_survive_every_stage(spark, sf, tmp_path):
+    names = ["score", "predicted", "n_lines", "n_dropped", "label_id", "copy_id", "component_id", "text_key"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.select("*", *(F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")).alias(name) for name in names))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(r[name] == f"{name} {r['doc_id']}" for r in out.collect() for name in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 60
