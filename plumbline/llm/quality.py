@@ -97,13 +97,13 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None, tex
     return np.concatenate([hot, layout, [float(n_chars is None), float(feeds == 0), float(not text)]])
 
 
-def features_of(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """Feature vectors of both views beside the named columns."""
+def features_of(rows: DataFrame, extra: list[str], kind: type = np.float32) -> DataFrame:
+    """Feature vectors of both views, packed as numbers of a kind, beside the named columns."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [vectors_of(*(batch.column(i)[row].as_py() for i in range(4))) for row in range(batch.num_rows)]
-            packed = pa.array([np.concatenate(v).astype(np.float32).tobytes() for v in vectors], pa.binary())
+            packed = pa.array([np.concatenate(v).astype(kind).tobytes() for v in vectors], pa.binary())
             yield pa.RecordBatch.from_arrays([packed, *batch.columns[4:]], names=["x", *extra])
 
     columns = rows.select(F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"), *extra)
@@ -177,17 +177,17 @@ def co_train(x: np.ndarray, y: np.ndarray, folds: np.ndarray, name: Namer) -> di
     return {"text": weights[0], "meta": weights[1], "text_scale": scales[0], "meta_scale": scales[1], "both": fit(both, y[hold])}
 
 
-def matrix_of(packed: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float32) for x in packed]).astype(np.float64) if packed else np.zeros((0, TEXT_SIZE + META_SIZE))
+def matrix_of(packed: list[bytes], kind: type = np.float32) -> np.ndarray:
+    return np.stack([np.frombuffer(x, kind) for x in packed]).astype(np.float64) if packed else np.zeros((0, TEXT_SIZE + META_SIZE))
 
 
 def namer(pool: DataFrame) -> Namer:
-    """Names the surest of all rows (x, id) of a stored pool."""
+    """Names the surest of all rows (x, id) of a stored pool, with x in half precision."""
 
     def name(weights: list[np.ndarray], taken: list[np.ndarray], counts: tuple[int, int]) -> list[Named]:
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, ids = matrix_of(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+                x, ids = matrix_of(batch.column(0).to_pylist(), np.float16), batch.column(1).to_numpy()
                 for view, label, sure, rows in surest(x, ids, weights, taken, counts):
                     if len(rows):
                         part = batch.take(pa.array(rows))
@@ -199,7 +199,7 @@ def namer(pool: DataFrame) -> Namer:
         best = found.withColumn("place", place).where((F.col("place") <= max(counts)) & (F.col("place") <= F.when(F.col("label") == 1, counts[1]).otherwise(counts[0])))
         rows = best.orderBy("view", "label", "place").collect()
         groups = [[r for r in rows if (r["view"], r["label"]) == slot] for slot in ((0, 0), (0, 1), (1, 0), (1, 1))]
-        return [(g[0]["view"], g[0]["label"], np.array([r["id"] for r in g], np.int64), matrix_of([r["x"] for r in g])) for g in groups if g]
+        return [(g[0]["view"], g[0]["label"], np.array([r["id"] for r in g], np.int64), matrix_of([r["x"] for r in g], np.float16)) for g in groups if g]
 
     return name
 
@@ -213,7 +213,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         return {"prior": (y.sum() + 1) / (len(y) + 2)}
     labelled = label_of(labels, "quality").select("__label_id")
     open_rows = docs.select("doc_id", *columns).join(labelled, F.col("doc_id") == F.col("__label_id"), "left_anti")
-    pool = stored(features_of(open_rows, []).select("x", F.xxhash64("x").alias("id")).dropDuplicates(["id"]))
+    pool = stored(features_of(open_rows, [], np.float16).select("x", F.xxhash64("x").alias("id")).dropDuplicates(["id"]))
     return co_train(matrix_of([row["x"] for row in known]), y, np.array([row["fold"] for row in known]), namer(pool))
 
 

@@ -129,7 +129,7 @@ def test_a_rare_source_enters_the_exchange(spark):
     rng = np.random.default_rng(5)
     pool = rng.normal(size=(500, quality.TEXT_SIZE + quality.META_SIZE)) * 0.01
     pool[123, 0] = pool[321, quality.TEXT_SIZE] = 30
-    rows = [(p.astype(np.float32).tobytes(), i) for i, p in enumerate(pool)]
+    rows = [(p.astype(np.float16).tobytes(), i) for i, p in enumerate(pool)]
     stored = spark.createDataFrame(rows, "x binary, id long").repartition(7)
     weights = [np.zeros(quality.TEXT_SIZE + 1), np.zeros(quality.META_SIZE + 1)]
     weights[0][0] = weights[1][0] = 1.0
