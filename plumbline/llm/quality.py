@@ -212,8 +212,10 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if len(np.unique(y)) < 2:
         return {"prior": (y.sum() + 1) / (len(y) + 2)}
     labelled = label_of(labels, "quality").select("__label_id")
-    open_rows = docs.select("doc_id", *columns).join(labelled, F.col("doc_id") == F.col("__label_id"), "left_anti")
-    pool = stored(features_of(open_rows, [], np.float16).select("x", F.xxhash64("x").alias("id")).dropDuplicates(["id"]))
+    vectors = features_of(docs.select(*columns, "doc_id"), ["doc_id"], np.float16).withColumn("id", F.xxhash64("x"))
+    # vectors meet the labels and not texts, by a merge join at every size
+    open_rows = vectors.join(labelled.hint("merge"), F.col("doc_id") == F.col("__label_id"), "left_anti")
+    pool = stored(open_rows.select("x", "id").dropDuplicates(["id"]))
     return co_train(matrix_of([row["x"] for row in known]), y, np.array([row["fold"] for row in known]), namer(pool))
 
 
