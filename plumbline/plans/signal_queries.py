@@ -224,6 +224,55 @@ def feature_table_query(spark, sf_dir):
     return rounded(table, *[c for c in table.columns if "__" in c], digits=5)
 
 
+SPEC = {
+    "diagnostic_channels": ["click", "view", "purchase"],
+    "window_duration_sec": 2.0,
+    "overlap_percent": 50,
+    "time_domain_features": ["mean", "rms", "peak_to_peak"],
+    "frequency_domain_features": [],
+    "split": {"group": "measurement_id"},
+}
+SPEC_RATE = 2.0
+SPEC_SQL = """counts AS (SELECT measurement_id, channel, any_value(state) AS state, count(*) AS n FROM multi GROUP BY 1, 2),
+plans AS (
+  SELECT measurement_id, max(n) FILTER (channel = 'click') AS c, CASE WHEN c >= 4 THEN (c - 4) // 2 + 1 ELSE 0 END AS windows,
+    CASE WHEN count(*) FILTER (channel IN ('click', 'view', 'purchase')) < 3 THEN 'MISSING_CHANNEL'
+      WHEN windows > 0 AND min(n) FILTER (channel IN ('click', 'view', 'purchase')) < (windows - 1) * 2 + 4 THEN 'CHANNEL_TOO_SHORT' END AS reject_code
+  FROM counts GROUP BY 1)"""
+
+
+def spec_plan(spark, sf_dir):
+    """Every channel is taken as recorded at the same nominal rate."""
+    from plumbline.operators.features import window_plan
+
+    counts = views.multi_signals(spark, sf_dir).groupBy("measurement_id", "channel").agg(F.max("state").alias("state"), F.count("x").alias("sample_count"))
+    return window_plan(counts.withColumn("nominal_rate_hz", F.lit(SPEC_RATE)), SPEC)
+
+
+@query("spec_windows", with_views(SIGNALS_SQL, SPEC_SQL) + "SELECT measurement_id, CAST(windows AS BIGINT) AS windows, reject_code FROM plans")
+def spec_windows(spark, sf_dir):
+    plan = spec_plan(spark, sf_dir)
+    return plan.select("measurement_id", F.coalesce("windows", F.lit(0).cast("bigint")).alias("windows"), "reject_code")
+
+
+@query(
+    "spec_feature_table",
+    with_views(SIGNALS_SQL, SPEC_SQL)
+    + "SELECT measurement_id, 'w' || lpad(CAST(w AS VARCHAR), 3, '0') AS window_id, CAST(w * 2 AS BIGINT) AS window_start, CAST(w * 2 + 4 AS BIGINT) AS window_end, "
+    + ", ".join(
+        f"round(avg({x}), 6) AS {c}__mean, round(sqrt(avg({x} * {x})), 6) AS {c}__rms, round(max({x}) - min({x}), 6) AS {c}__peak_to_peak"
+        for c, x in ((c, f"CASE channel WHEN '{c}' THEN x END") for c in SPEC["diagnostic_channels"])
+    )
+    + """ FROM (SELECT *, unnest(range(0, windows)) AS w FROM plans WHERE reject_code IS NULL) JOIN multi USING (measurement_id)
+WHERE idx >= w * 2 AND idx < w * 2 + 4 GROUP BY 1, w""",
+)
+def spec_feature_table_query(spark, sf_dir):
+    from plumbline.operators.features import spec_feature_table
+
+    table = spec_feature_table(views.multi_signals(spark, sf_dir), spec_plan(spark, sf_dir), SPEC)
+    return rounded(table, *[c for c in table.columns if "__" in c])
+
+
 # -- sampling facts and alignment --------------------------------------------------------------
 
 
