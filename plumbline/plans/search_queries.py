@@ -14,7 +14,8 @@ from plumbline.plans.text_queries import CHUNKS_SQL, DOCS_SQL, PAGES_SQL, docume
 from plumbline.plans.views import RUNS_SQL
 from plumbline.plans.workflow_queries import PLANNED_SQL, observed_runs
 
-#: Evidence below this score is none; evidence in this language counts as contradicting.
+#: Evidence below this score is none; evidence in this language counts as contradicting. Both are made up for the
+#: given tables, which have neither, and were picked so that runs end in several states and rounds.
 LEAST_SCORE = 0.275
 CONTRADICTING = "es"
 ROUNDS = wf.MAX_RETRIEVAL_RETRIES
