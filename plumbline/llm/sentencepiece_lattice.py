@@ -13,12 +13,19 @@ counts as empty; repeated rows stay; an empty table gives no rows.
 
 Method: each different unit is encoded once. Units are exploded into substrings no longer than the
 longest piece, an equi-join to the piece table (broadcast; its size is the vocabulary's and is checked)
-leaves the lattice's edges, edges are grouped by unit, and a fold finds the path: for sums over the end
-positions, for merges over a heap of the edges that join two neighbours. A unit of more than UNIT_CHARS
-characters that cannot be cut looks its edges up in the fold. The documents of one stretch of a scan make a chunk. A chunk sends its
-different units, in sorted order, to the lattice with their places; the ids come back packed by chunk
-and meet the documents, which travel as places only. So neither units nor texts are shuffled once per
-occurrence. A scan gives the same chunks again while its partitions are the same, so ``docs`` must be a
+leaves the lattice's edges, edges are grouped by unit, and Spark's ``aggregate`` folds them: for sums over
+the end positions, for merges over the edges in the order of their scores, where an edge whose two ends
+still stand removes the ends between them. That equals merging neighbours one by one as long as the
+parts of a piece always come before the piece, which is checked for every piece of the model. A unit of
+more than UNIT_CHARS characters that cannot be cut, such as one letter repeated, is folded over a heap in
+an Arrow task.
+
+Units that are frequent in a sample of about SAMPLE_DOCS documents, at most FREQUENT of them, are encoded
+first and go to every task. This decides only which way a unit's ids travel, never what they are. All
+other units go through a shuffle: the documents of one stretch of a scan make a chunk, which sends its
+different other units, in sorted order, to the lattice with their places; the ids come back packed by chunk
+and meet the documents, which travel as numbers of units only. So neither units nor texts are shuffled once
+per occurrence. A scan gives the same chunks again while its partitions are the same, so ``docs`` must be a
 stored table; a chunk's number holds a checksum of its texts, and a difference stops the job.
 """
 
@@ -26,6 +33,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
@@ -33,17 +41,22 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from plumbline.llm.common import bounded_batches
 from pyspark.sql import types as T
 
+from plumbline.llm.common import bounded_batches, stored
+
 #: Fixed value of the format: the mark of a word's beginning.
 MARK = "▁"
 UNIT_CHARS = 200
 UNIT_MARKS = 16
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000
+SAMPLE_DOCS = 10_000
+#: Most units that are sent to every task, and their most characters: a few ten megabytes at the very most.
+FREQUENT = 200_000
+FREQUENT_CHARS = 40
 ROWS_AT_ONCE = 50_000
 #: A unit has some fifteen edges, so its partitions are made finer than those of other shuffles.
 EDGE_PARTS = 4
@@ -124,35 +137,65 @@ def merged_path(length: int, number_at: Callable[[int, int], int | None], scores
     return path
 
 
-def merged_units(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, place, ids) from rows (chunk, place, unit, edges) that are sorted by unit; edges are
-    packed as in ``encoded_units``. Rows of one unit follow each other, so each unit is folded once."""
-    pieces, byte_ids, decoded = model(model_path)
-    known = {piece: i + 1 for i, piece, _ in pieces}
-    scores = [0.0] * len(decoded)
+@lru_cache(maxsize=1)
+def merge_order(path: str) -> tuple[list[tuple[int, str, int]], int]:
+    """Pieces as (id, piece, place of its score among all scores), and the number of places.
+
+    The fold in the order of scores needs every piece to come from two parts that come before it: a part
+    scores better, or equal if it is the left one, whose edge sorts before that of the piece. Only runs of one
+    character that share the worst score may differ, as nothing but such runs is left when they merge; for
+    them the fold is compared with the merging of neighbours on runs of every length up to three pieces.
+    """
+    pieces, _, decoded = model(path)
+    known, scores = {piece: i + 1 for i, piece, _ in pieces}, [0.0] * len(decoded)
     for i, _, score in pieces:
         scores[i] = score
-    last, ids = None, np.zeros(0, np.int32)
-    for batch in batches:
-        edges = batch.column(3)
-        bounds = (edges.offsets.to_numpy() - edges.offsets[0].as_py()).tolist() if len(edges) else [0]
-        flat = edges.flatten().to_numpy()
-        spans, numbers = flat >> 24, flat & ((1 << 24) - 1)
-        out = []
-        for unit, a, b in zip(batch.column(2).to_pylist(), bounds[:-1], bounds[1:]):
-            if unit != last:
-                if len(unit) > UNIT_CHARS:
-                    number_at = lambda i, j, unit=unit: known.get(unit[i:j])
-                else:
-                    found = dict(zip(spans[a:b].tolist(), numbers[a:b].tolist()))
-                    number_at = lambda i, j, found=found: found.get((j + 1) << 16 | (i + 1))
-                path: list[int] = []
-                for i, j in merged_path(len(unit), number_at, scores):
-                    n = number_at(i, j)
-                    path += [n - 1] if n else [byte_ids[x] for x in unit[i:j].encode()]
-                last, ids = unit, np.array(path, np.int32)
+    worst, runs = min(scores), set()
+    for _, piece, score in pieces:
+        size = len(piece)
+        if size > 1:
+            parts = merged_path(size, lambda i, j, piece=piece: known.get(piece[i:j]) if j - i < len(piece) else None, scores)
+            late = any(j - i > 1 and (scores[known[piece[i:j]] - 1], -i) < (score, 0) for i, j in parts)
+            if late and score == worst and len(set(piece)) == 1:
+                runs.add(piece[0])
+            elif late or len(parts) != 2:
+                raise ValueError(f"the piece {piece!r} is not merged from two earlier parts")
+    longest = max(len(piece) for _, piece, _ in pieces)
+    for run in (c * n for c in runs for n in range(1, 3 * longest + 1)):
+        edges = sorted((-scores[n - 1], i, j) for i in range(len(run)) for j in range(i + 1, len(run) + 1) if (n := known.get(run[i:j])))
+        ends = list(range(len(run) + 1))
+        for _, i, j in edges:
+            if i in ends and j in ends:
+                ends = [x for x in ends if x <= i or x >= j]
+        if list(zip(ends, ends[1:])) != merged_path(len(run), lambda i, j, run=run: known.get(run[i:j]), scores):
+            raise ValueError(f"the fold does not give the merges of {run!r}")
+    place = {score: n for n, score in enumerate(sorted({score for _, _, score in pieces}, reverse=True))}
+    return [(i, piece, place[score]) for i, piece, score in pieces], len(place)
+
+
+def long_units(model_path: str) -> Callable:
+    """Ids of the units that are not null, folded over a heap."""
+
+    @F.arrow_udf("array<int>")
+    def fold(units: pa.Array) -> pa.Array:
+        if units.null_count == len(units):
+            return pa.nulls(len(units), pa.list_(pa.int32()))
+        pieces, byte_ids, decoded = model(model_path)
+        known, scores = {piece: i + 1 for i, piece, _ in pieces}, [0.0] * len(decoded)
+        for i, _, score in pieces:
+            scores[i] = score
+        out: list[list[int] | None] = []
+        for unit in units.to_pylist():
+            ids: list[int] | None = None
+            if unit is not None:
+                ids = []
+                for i, j in merged_path(len(unit), lambda i, j, unit=unit: known.get(unit[i:j]), scores):
+                    n = known.get(unit[i:j])
+                    ids += [n - 1] if n else [byte_ids[x] for x in unit[i:j].encode()]
             out.append(ids)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(out)], names=["chunk", "place", "ids"])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return fold
 
 
 def decode_units(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
@@ -166,23 +209,37 @@ def decode(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
     return decode_units(ids, decoded).replace(MARK, " ")[1:]
 
 
+class Frequent:
+    """Frequent units by number, and their ids as one array with offsets."""
+
+    def __init__(self, units: list[str], ids: pa.ListArray) -> None:
+        self.number = {unit: i for i, unit in enumerate(units)}
+        self.offsets = ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids) else 0) if len(units) else np.zeros(1, np.int32)
+        self.flat = ids.flatten().to_numpy().astype(np.int32)
+
+
 class Chunk:
-    """Units of consecutive documents by first sight, and the documents as numbers of units."""
+    """Units of consecutive documents that are not frequent, by first sight, and the documents as numbers:
+    those of frequent units first, then those of the others."""
 
-    def __init__(self, number: int, keep: bool, cut: Callable[[str], list[str]]) -> None:
+    def __init__(self, number: int, keep: bool, cut: Callable[[str], list[str]], frequent: dict[str, int]) -> None:
         self.number, self.keep, self.cut, self.size, self.crc = number, keep, cut, 0, 0
+        self.frequent = frequent
         self.seen: dict[str, int] = {}
         self.doc_ids: list = []
         self.docs: list[np.ndarray] = []
 
     def add(self, doc_id, text: str) -> None:
-        units, seen = self.cut(text), self.seen
-        for unit in units:
-            if unit not in seen:
-                seen[unit] = len(seen)
+        units, seen, frequent = self.cut(text), self.seen, self.frequent
         if self.keep:
+            numbers = list(map(frequent.get, units))
+            for at, unit in enumerate(units):
+                if numbers[at] is None:
+                    numbers[at] = len(frequent) + seen.setdefault(unit, len(seen))
             self.doc_ids.append(doc_id)
-            self.docs.append(np.fromiter(map(seen.__getitem__, units), np.int32, len(units)))
+            self.docs.append(np.array(numbers, np.int32))
+        else:
+            seen.update(dict.fromkeys(set(units).difference(frequent)))
         self.size += len(text) + 1
         self.crc = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.crc)
 
@@ -190,22 +247,22 @@ class Chunk:
         return partition << 44 | self.number << 32 | self.crc
 
 
-def chunked(batches: Iterator[pa.RecordBatch], keep: bool, cut: Callable[[str], list[str]]) -> Iterator[tuple[int, Chunk]]:
+def chunked(batches: Iterator[pa.RecordBatch], keep: bool, cut: Callable[[str], list[str]], frequent: dict[str, int]) -> Iterator[tuple[int, Chunk]]:
     """Chunks of about CHUNK_CHARS characters with their keys, from rows (doc_id, text)."""
-    partition, chunk = TaskContext.get().partitionId(), Chunk(0, keep, cut)
+    partition, chunk = TaskContext.get().partitionId(), Chunk(0, keep, cut, frequent)
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             chunk.add(doc_id, text.as_py() or "")
             if chunk.size >= CHUNK_CHARS:
                 yield chunk.key(partition), chunk
-                chunk = Chunk(chunk.number + 1, keep, cut)
+                chunk = Chunk(chunk.number + 1, keep, cut, frequent)
     if chunk.size:
         yield chunk.key(partition), chunk
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, place, unit): the chunk's units in sorted order."""
-    for key, chunk in chunked(batches, False, cut):
+def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, place, unit): the chunk's units that are not frequent, in sorted order."""
+    for key, chunk in chunked(batches, False, cut, frequent.value.number):
         units = sorted(chunk.seen)
         for at in range(0, len(units), ROWS_AT_ONCE):
             part = units[at : at + ROWS_AT_ONCE]
@@ -213,6 +270,15 @@ def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "unit"])
 
 
+def unit_counts(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, n) of units with at most FREQUENT_CHARS characters; a unit comes once per batch."""
+    for batch in batches:
+        counts: Counter[str] = Counter()
+        for text in batch.column(0):
+            counts.update(u for u in cut(text.as_py() or "") if len(u) <= FREQUENT_CHARS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+
+
 def packed(rows: pa.RecordBatch) -> bytes:
     """Rows as a compressed stream of columns."""
     sink = pa.BufferOutputStream()
@@ -230,17 +296,22 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
-def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, packed): documents as places of their units in the sorted order."""
-    for key, chunk in chunked(batches, True, cut):
+def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, packed): documents as numbers of frequent units, or after them places in the sorted order."""
+    for key, chunk in chunked(batches, True, cut, frequent.value.number):
         sight = list(chunk.seen)
         order = sorted(range(len(sight)), key=sight.__getitem__)
         place = np.empty(len(sight), np.int32)
         place[order] = np.arange(len(sight), dtype=np.int32)
+        base = len(frequent.value.number)
+        numbers = np.concatenate([np.arange(base, dtype=np.int32), base + place])
         for at in range(0, len(chunk.docs), DOCS_AT_ONCE):
-            docs = [place[d] for d in chunk.docs[at : at + DOCS_AT_ONCE]]
-            rows = pa.record_batch([pa.array(chunk.doc_ids[at : at + DOCS_AT_ONCE], pa.int64()), lists(docs)], names=["doc_id", "places"])
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([packed(rows)], pa.binary())], names=["chunk", "packed"])
+            docs = chunk.docs[at : at + DOCS_AT_ONCE]
+            # bytes of equal weight side by side pack into about two thirds of the room
+            planes = numbers[np.concatenate(docs)].view(np.uint8).reshape(-1, 4).T.tobytes()
+            rows = [pa.array(chunk.doc_ids[at : at + DOCS_AT_ONCE], pa.int64()), pa.array([len(d) for d in docs], pa.int32()), pa.array([planes] + [None] * (len(docs) - 1), pa.binary())]
+            out = packed(pa.record_batch(rows, names=["doc_id", "n", "planes"]))
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([out], pa.binary())], names=["chunk", "packed"])
 
 
 def pack_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,25 +338,73 @@ def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
     return spark.createDataFrame(pieces, schema)
 
 
+def byte_pieces(character: Column, byte_ids: tuple[int, ...]) -> Column:
+    """Ids of the byte pieces of a character."""
+    numbers, utf8 = F.array(*map(F.lit, byte_ids)), F.hex(F.encode(character, "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), (F.length(utf8) / 2).cast("int")), lambda i: F.element_at(numbers, F.conv(F.substring(utf8, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
+
+
+def merged_units(units: DataFrame, model_path: str) -> DataFrame:
+    """Columns (unit, first, ids) for different units, folded in the order of merges."""
+    order, places = merge_order(model_path)
+    _, byte_ids, _ = model(model_path)
+    longest = max(len(piece) for _, piece, _ in order)
+    if len(order) > MOST_PIECES:
+        raise ValueError(f"the vocabulary has {len(order)} pieces, more than the {MOST_PIECES} that are broadcast")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("place", T.IntegerType())])
+    table = F.broadcast(units.sparkSession.createDataFrame(order, schema))
+    short = F.length("unit") <= UNIT_CHARS
+    # a long unit has the one empty span
+    starts = units.select("unit", "first", F.explode_outer(F.when(short, F.sequence(F.lit(1), F.length("unit"))).otherwise(F.array(F.lit(0)))).alias("start"))
+    room = F.least(F.lit(longest), F.length("unit") - F.col("start") + 1)
+    spans = starts.select("unit", "first", "start", F.explode_outer(F.when(short, F.sequence(F.lit(1), room)).otherwise(F.array(F.lit(0)))).alias("size"))
+    cut = spans.withColumn("sub", F.substring("unit", F.col("start"), F.col("size")))
+    edges = cut.join(table, F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size <= 1")
+    # an edge is (place of the score, start, end, id + 1) in one long; id + 1 is 0 for a byte edge
+    start = (F.col("start") - 1).cast("long")
+    number = F.coalesce("place", F.lit(places)).cast("long") * (1 << 40) + start * (1 << 32) + (start + F.col("size")) * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    lattice = edges.groupBy("unit").agg(F.first("first").alias("first"), F.collect_list(number).alias("edges"))
+
+    def start_of(e):
+        return F.shiftright(e, 32).bitwiseAND(F.lit(255)).cast("int")
+
+    def end_of(e):
+        return F.shiftright(e, 24).bitwiseAND(F.lit(255)).cast("int")
+
+    def step(ends, e):
+        stands = F.array_contains(ends, start_of(e)) & F.array_contains(ends, end_of(e))
+        return F.when(stands, F.filter(ends, lambda x: (x <= start_of(e)) | (x >= end_of(e)))).otherwise(ends)
+
+    folded = F.aggregate(F.sort_array("edges"), F.sequence(F.lit(0), F.length("unit")), step)
+    left = lattice.select("unit", "first", "edges", F.when(short, folded).alias("ends"))
+
+    def stays(e):
+        return F.get(F.col("ends"), F.array_position("ends", start_of(e)).cast("int")) == end_of(e)
+
+    # by start: the edges between neighbouring ends
+    path = F.sort_array(F.transform(F.filter("edges", lambda e: F.array_contains(F.col("ends"), start_of(e)) & stays(e)), lambda e: e.bitwiseAND(F.lit((1 << 40) - 1))))
+
+    def ids_of(e):
+        piece = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+        return F.when(piece > 0, F.array(piece - 1)).otherwise(byte_pieces(F.substring(F.col("unit"), start_of(e) + 1, F.lit(1)), byte_ids))
+
+    long = long_units(model_path)(F.when(~short, F.col("unit")))
+    return left.select("unit", "first", F.coalesce(long, F.flatten(F.transform(path, ids_of))).alias("ids"))
+
+
 def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
-    """Columns (unit, first, ids) for different units, with ``merges`` (unit, first, edges); ``first`` is
-    passed through."""
+    """Columns (unit, first, ids) for different units; ``first`` is passed through."""
+    if merges:
+        return merged_units(units, model_path)
     pieces, byte_ids, _ = model(model_path)
     longest = max(len(piece) for _, piece, _ in pieces)
     unknown = min((score for _, _, score in pieces if score > -1e8), default=0.0) - UNKNOWN_BELOW
-    every, sizes = F.sequence(F.lit(1), F.length("unit")), F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start") + 1))
-    if merges:  # a long unit has the one edge 0
-        every = F.when(F.length("unit") <= UNIT_CHARS, every).otherwise(F.array(F.lit(0)))
-        sizes = F.when(F.col("start") > 0, sizes).otherwise(F.array(F.lit(0)))
-    starts = units.select("unit", "first", F.explode_outer(every).alias("start"))
-    spans = starts.select("unit", "first", "start", F.explode_outer(sizes).alias("size"))
+    starts = units.select("unit", "first", F.explode_outer(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
+    spans = starts.select("unit", "first", "start", F.explode_outer(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start") + 1))).alias("size"))
     cut = spans.withColumn("sub", F.substring("unit", F.col("start"), F.col("size")))
     edges = cut.join(F.broadcast(piece_table(units.sparkSession, model_path)), F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size <= 1")
     # an edge is (end, start, id + 1), packed into one long, and its score; id + 1 is 0 for a byte edge
     number = (F.col("start") + F.col("size")).cast("long") * (1 << 40) + F.col("start").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
-    if merges:
-        lattice = edges.groupBy("unit").agg(F.first("first").alias("first"), F.collect_list(number).alias("edges"))
-        return lattice
     edge = F.struct(number.alias("e"), F.coalesce("score", F.lit(unknown)).alias("score"))
     lattice = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.first("first").alias("first"))
     nothing = F.expr("named_struct('score', 0D, 'back', 0L, 'path', cast(array() as array<long>))")
@@ -302,54 +421,77 @@ def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
 
     ends = F.sequence(F.lit(2), F.length("unit") + 1)
     best = lattice.select("unit", "first", F.element_at(F.aggregate(ends, F.array(nothing), step), -1)["path"].alias("path"))
-    numbers = F.array(*map(F.lit, byte_ids))
 
     def ids_of(e):
         piece = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-        utf8 = F.hex(F.encode(F.substring(F.col("unit"), F.shiftright(e, 24).bitwiseAND(F.lit((1 << 16) - 1)).cast("int"), F.lit(1)), "UTF-8"))
-        each = F.transform(F.sequence(F.lit(1), (F.length(utf8) / 2).cast("int")), lambda i: F.element_at(numbers, F.conv(F.substring(utf8, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(piece > 0, F.array(piece - 1)).otherwise(each)
+        character = F.substring(F.col("unit"), F.shiftright(e, 24).bitwiseAND(F.lit((1 << 16) - 1)).cast("int"), F.lit(1))
+        return F.when(piece > 0, F.array(piece - 1)).otherwise(byte_pieces(character, byte_ids))
 
     return best.select("unit", "first", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
+def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path: str, merges: bool) -> Broadcast:
+    """At most FREQUENT units that are frequent in a sample, with their ids. The bound holds by the numbers of
+    units per size of their count, which are summed up before any unit is read."""
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    counts = rows.sample(share, seed=11).select("text").mapInArrow(partial(unit_counts, cut=cut), "unit string, n long").where("unit IS NOT NULL").groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = stored(counts.withColumn("size", F.floor(4 * F.log2("n")).cast("int")))
+    total, least = 0, None
+    for row in counts.groupBy("size").count().orderBy(F.desc("size")).collect():
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        least = row["size"]
+    chosen = counts.where(F.col("size") >= F.lit(least)) if least is not None else counts.limit(0)
+    # an exchange deals the units out anew, as their lattice is many times larger than the counts
+    units = chosen.select("unit", F.lit(0).alias("first")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+    ids = encoded_units(units, model_path, merges).select("unit", "ids").toArrow().combine_chunks()
+    found = ids.column("ids").combine_chunks() if ids.num_rows else pa.array([], pa.list_(pa.int32()))
+    return rows.sparkSession.sparkContext.broadcast(Frequent(ids.column("unit").to_pylist(), found))
+
+
 def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
     cut = partial(uncut_units, path=model_path) if merges else units_of
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    frequent = frequent_units(rows, cut, model_path, merges)
     parts = EDGE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = rows.mapInArrow(partial(unit_rows, cut=cut), "chunk long, place int, unit string").where("unit IS NOT NULL").repartition(parts, "unit")
+    units = rows.mapInArrow(partial(unit_rows, cut=cut, frequent=frequent), "chunk long, place int, unit string").where("unit IS NOT NULL").repartition(parts, "unit")
     # the first chunk of a unit rides along, so that both uses of the units read one exchange; filters that
     # the optimizer infers for one use only (from a join or an inner explode) would make them two
     ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path, merges)
     met = units.join(ids.hint("merge"), "unit").where(F.col("first") <= F.struct("chunk", "place"))
-    # the merge fold follows the join, as a Python step before it would lose the partitions by unit
-    found = met.select("chunk", "place", "unit", "edges") if merges else met.select("chunk", "place", "ids")
-    pack = (lambda batches: pack_found(merged_units(batches, model_path))) if merges else pack_found
-    found = found.mapInArrow(pack, "chunk long, packed binary")
-    places = rows.mapInArrow(partial(place_rows, cut=cut), "chunk long, packed binary")
-
-    def put_back(known: pa.Table, docs: pa.Table) -> pa.Table:
-        tables = unpacked(known.column("packed"))
+    found = met.select("chunk", "place", "ids").mapInArrow(pack_found, "chunk long, packed binary")
+    places = rows.mapInArrow(partial(place_rows, cut=cut, frequent=frequent), "chunk long, packed binary")
+
+    def put_back(known: pa.Table, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        tables, common = unpacked(known.column("packed")), frequent.value
         place = np.concatenate([t.column("place").to_numpy() for t in tables] or [np.zeros(0, np.int32)])
         own = [t.column("ids").combine_chunks() for t in tables]
         values = pa.concat_arrays(own) if own else pa.array([], pa.list_(pa.int32()))
         values = values.take(pa.array(np.argsort(place)))
-        offsets, flat = values.offsets.to_numpy(), values.flatten().to_numpy().astype(np.int32)
+        offsets = np.concatenate([common.offsets, common.offsets[-1] + values.offsets.to_numpy()[1:]])
+        flat = np.concatenate([common.flat, values.flatten().to_numpy().astype(np.int32)])
         size = np.diff(offsets)
-        doc_ids, n_units, out = [], [], []
-        for table in unpacked(docs.column("packed")):
-            doc_ids += table.column("doc_id").to_pylist()
-            for doc in table.column("places"):
-                at = doc.values.to_numpy()
-                if len(at) and int(at.max()) >= len(size):
-                    raise ValueError("a chunk's texts changed between two scans")
-                n_units.append(len(at))
+        for part in docs.column("packed"):
+            table = pa.ipc.open_stream(part.as_buffer()).read_all()
+            counts = table.column("n").to_numpy()
+            planes = np.frombuffer(table.column("planes")[0].as_py(), np.uint8).reshape(4, -1)
+            numbers = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+            if len(numbers) and int(numbers.max()) >= len(size):
+                raise ValueError("a chunk's texts changed between two scans")
+            out = []
+            for at in np.split(numbers, np.cumsum(counts)[:-1]):
                 ends = np.cumsum(size[at])
                 out.append(flat[np.repeat(offsets[at] - (ends - size[at]), size[at]) + np.arange(ends[-1] if len(at) else 0)])
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_units": pa.array(n_units, pa.int64()), "ids": lists(out)})
+            columns = [table.column("doc_id").combine_chunks(), pa.array(counts.astype(np.int64)), lists(out)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_units", "ids"])
+
+    def put_back_whole(known: pa.Table, docs: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        return pa.Table.from_batches(list(put_back(known, docs)), schema)
 
-    return found.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(put_back, "doc_id long, n_units long, ids array<int>")
+    return found.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(put_back_whole, "doc_id long, n_units long, ids array<int>")
 
 
 def decode_rows(encoded: DataFrame, model_path: str) -> DataFrame:

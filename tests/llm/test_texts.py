@@ -77,9 +77,11 @@ def test_lattice_equals_plain_viterbi_and_decodes(make_docs, odd_texts, tmp_path
         assert rows[i]["ids"] == [x for u in units for x in known[u]]
 
 
-def test_merges_give_the_ids_of_the_library(make_docs, odd_texts, sf, spark, tmp_path):
+@pytest.mark.parametrize("frequent", [200_000, 50, 0])
+def test_merges_give_the_ids_of_the_library(make_docs, odd_texts, sf, spark, tmp_path, monkeypatch, frequent):
     import sentencepiece
 
+    monkeypatch.setattr(sentencepiece_lattice, "FREQUENT", frequent)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_PATH)
     texts = [*odd_texts, "The quick brown fox: evidence\n\njumps\tover 12 dogs.", "日本語のテキスト and ქართული", "a" + " " * 40 + "b", "日本語" * 200, "\n", "<s> <0x0A> ▁x ▁▁", "abcdefghij" * 60 + "-" * 300, "①" * 250, "\r\x00\n " * 3]
     texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -94,6 +96,15 @@ def test_merges_give_the_ids_of_the_library(make_docs, odd_texts, sf, spark, tmp
     assert [r["ids"] for r in sentencepiece_lattice.encode(spark.read.parquet(str(tmp_path / "none")), PIECE_PATH, merges=True).collect()] == [[], []]
 
 
+def test_merge_fold_needs_parts_before_pieces(monkeypatch):
+    pieces = [(0, "a", -9.0), (1, "b", -9.0), (2, "c", -9.0), (3, "bc", -5.0), (4, "abc", -2.0)]
+    monkeypatch.setattr(sentencepiece_lattice, "model", lambda path: (pieces, (), ("",) * 5))
+    with pytest.raises(ValueError, match="earlier parts"):
+        sentencepiece_lattice.merge_order("late part")
+    pieces[3] = (3, "bc", -1.0)
+    assert sentencepiece_lattice.merge_order("early part") == ([(0, "a", 2), (1, "b", 2), (2, "c", 2), (3, "bc", 0), (4, "abc", 1)], 3)
+
+
 def test_lattice_of_nothing(make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "docs"))
     docs = make_docs([]).sparkSession.read.parquet(str(tmp_path / "docs"))
