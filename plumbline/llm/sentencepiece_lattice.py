@@ -37,6 +37,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +54,18 @@ MARK = "▁"
 UNIT_CHARS = 200
 UNIT_MARKS = 16
 CHUNK_CHARS = 4_000_000
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 20_000
 #: Most units that are sent to every task, and their most characters: a few ten megabytes at the very most.
 FREQUENT = 200_000
 FREQUENT_CHARS = 40
 ROWS_AT_ONCE = 50_000
+PACK_IDS = 2_000_000
 #: A unit has some fifteen edges, so its partitions are made finer than those of other shuffles.
 EDGE_PARTS = 4
 DOCS_AT_ONCE = 2_000
 MOST_PIECES = 500_000
 UNKNOWN_BELOW = 10.0
+HEAD = 3
 UNITS = re.compile(f"{MARK}{{1,{UNIT_MARKS}}}[^{MARK}\n]{{0,{UNIT_CHARS}}}|\n|[^{MARK}\n]{{1,{UNIT_CHARS}}}")
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
@@ -103,6 +106,8 @@ def neighbours(path: str) -> frozenset[str]:
 def uncut_units(text: str, path: str) -> list[str]:
     """Units between which no merge is possible."""
     units = WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+    if max(map(len, units), default=0) <= UNIT_CHARS:
+        return units
     pairs = neighbours(path)
     out = []
     for unit in units:
@@ -173,27 +178,19 @@ def merge_order(path: str) -> tuple[list[tuple[int, str, int]], int]:
     return [(i, piece, place[score]) for i, piece, score in pieces], len(place)
 
 
-def long_units(model_path: str) -> Callable:
-    """Ids of the units that are not null, folded over a heap."""
-
-    @F.arrow_udf("array<int>")
-    def fold(units: pa.Array) -> pa.Array:
-        if units.null_count == len(units):
-            return pa.nulls(len(units), pa.list_(pa.int32()))
-        pieces, byte_ids, decoded = model(model_path)
-        known, scores = {piece: i + 1 for i, piece, _ in pieces}, [0.0] * len(decoded)
-        for i, _, score in pieces:
-            scores[i] = score
-        out: list[list[int] | None] = []
-        for unit in units.to_pylist():
-            ids: list[int] | None = None
-            if unit is not None:
-                ids = []
-                for i, j in merged_path(len(unit), lambda i, j, unit=unit: known.get(unit[i:j]), scores):
-                    n = known.get(unit[i:j])
-                    ids += [n - 1] if n else [byte_ids[x] for x in unit[i:j].encode()]
-            out.append(ids)
-        return pa.array(out, pa.list_(pa.int32()))
+def long_fold(model_path: str) -> Callable[[str], list[int]]:
+    """Ids of a unit, folded over a heap."""
+    pieces, byte_ids, decoded = model(model_path)
+    known, scores = {piece: i + 1 for i, piece, _ in pieces}, [0.0] * len(decoded)
+    for i, _, score in pieces:
+        scores[i] = score
+
+    def fold(unit: str) -> list[int]:
+        ids: list[int] = []
+        for i, j in merged_path(len(unit), lambda i, j: known.get(unit[i:j]), scores):
+            n = known.get(unit[i:j])
+            ids += [n - 1] if n else [byte_ids[x] for x in unit[i:j].encode()]
+        return ids
 
     return fold
 
@@ -232,12 +229,11 @@ class Chunk:
     def add(self, doc_id, text: str) -> None:
         units, seen, frequent = self.cut(text), self.seen, self.frequent
         if self.keep:
-            numbers = list(map(frequent.get, units))
-            for at, unit in enumerate(units):
-                if numbers[at] is None:
-                    numbers[at] = len(frequent) + seen.setdefault(unit, len(seen))
+            numbers = np.fromiter(map(frequent.get, units, repeat(-1)), np.int32, len(units))
+            for at in np.flatnonzero(numbers < 0).tolist():
+                numbers[at] = len(frequent) + seen.setdefault(units[at], len(seen))
             self.doc_ids.append(doc_id)
-            self.docs.append(np.array(numbers, np.int32))
+            self.docs.append(numbers)
         else:
             seen.update(dict.fromkeys(set(units).difference(frequent)))
         self.size += len(text) + 1
@@ -287,10 +283,6 @@ def packed(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(column: pa.ChunkedArray) -> list[pa.Table]:
-    return [pa.ipc.open_stream(part.as_buffer()).read_all() for chunk in column.chunks for part in chunk]
-
-
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
@@ -307,26 +299,60 @@ def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]
         numbers = np.concatenate([np.arange(base, dtype=np.int32), base + place])
         for at in range(0, len(chunk.docs), DOCS_AT_ONCE):
             docs = chunk.docs[at : at + DOCS_AT_ONCE]
-            # bytes of equal weight side by side pack into about two thirds of the room
-            planes = numbers[np.concatenate(docs)].view(np.uint8).reshape(-1, 4).T.tobytes()
+            planes = planes_of(numbers[np.concatenate(docs)])
             rows = [pa.array(chunk.doc_ids[at : at + DOCS_AT_ONCE], pa.int64()), pa.array([len(d) for d in docs], pa.int32()), pa.array([planes] + [None] * (len(docs) - 1), pa.binary())]
             out = packed(pa.record_batch(rows, names=["doc_id", "n", "planes"]))
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([out], pa.binary())], names=["chunk", "packed"])
 
 
-def pack_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, place, ids) packed by chunk."""
-    for batch in batches:
-        chunks = batch.column(0).to_numpy()
-        order = np.lexsort([batch.column(1).to_numpy(), chunks])
-        bounds = np.flatnonzero(np.diff(chunks[order], prepend=-1, append=-1))
-        keys, parts = [], []
+def planes_of(values: np.ndarray) -> bytes:
+    """Integers of 32 bits with bytes of equal weight side by side, which packs better."""
+    return np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def pack_found(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, n, m, packed) from rows (chunk, place, ids, long): n places of a chunk as differences, the
+    sizes of their ids and the m ids. ``long`` is a unit that is still to be folded; equal ones follow each other."""
+
+    def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        chunks, place = rows.column("chunk").to_numpy(), rows.column("place").to_numpy()
+        order = np.lexsort([place, chunks])
+        ids = rows.column("ids").combine_chunks().take(pa.array(order))
+        chunks, place, offsets, flat = chunks[order], place[order], ids.offsets.to_numpy(), ids.flatten().to_numpy()
+        offsets = offsets - offsets[0]
+        bounds = np.flatnonzero(np.diff(chunks, prepend=-1, append=-1))
+        parts = []
         for a, b in zip(bounds[:-1], bounds[1:]):
-            rows = batch.take(pa.array(order[a:b]))
-            keys.append(int(chunks[order[a]]))
-            parts.append(packed(pa.record_batch([rows.column(1), rows.column(2)], names=["place", "ids"])))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(parts, pa.binary())], names=["chunk", "packed"])
+            own = np.concatenate([np.diff(place[a:b], prepend=0), np.diff(offsets[a : b + 1]), flat[offsets[a] : offsets[b]]])
+            parts.append(pa.compress(planes_of(own), codec="zstd", asbytes=True))
+        count, sizes = np.diff(bounds).astype(np.int32), np.diff(offsets[bounds]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(chunks[bounds[:-1]]), pa.array(count), pa.array(sizes), pa.array(parts, pa.binary())], names=["chunk", "n", "m", "packed"])
+
+    fold, last, last_ids = long_fold(model_path), None, None
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, long = batch.column(2), batch.column(3)
+        if long.null_count < len(long):
+            found = ids.to_pylist()
+            for at, unit in enumerate(long.to_pylist()):
+                if unit is not None:
+                    if unit != last:
+                        last, last_ids = unit, fold(unit)
+                    found[at] = last_ids
+            ids = pa.array(found, pa.list_(pa.int32()))
+        held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["chunk", "place", "ids"]))
+        if sum(len(b.column(2).values) for b in held) >= PACK_IDS:
+            yield flushed(held)
+            held = []
+    if held:
+        yield flushed(held)
 
 
 def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
@@ -345,19 +371,27 @@ def byte_pieces(character: Column, byte_ids: tuple[int, ...]) -> Column:
 
 
 def merged_units(units: DataFrame, model_path: str) -> DataFrame:
-    """Columns (unit, first, ids) for different units, folded in the order of merges."""
+    """Columns (unit, first, ids) for different units, folded in the order of merges; a long unit has null ids."""
     order, places = merge_order(model_path)
     _, byte_ids, _ = model(model_path)
-    longest = max(len(piece) for _, piece, _ in order)
     if len(order) > MOST_PIECES:
         raise ValueError(f"the vocabulary has {len(order)} pieces, more than the {MOST_PIECES} that are broadcast")
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("place", T.IntegerType())])
     table = F.broadcast(units.sparkSession.createDataFrame(order, schema))
     short = F.length("unit") <= UNIT_CHARS
+    # a substring of three or more characters is cut only in the lengths of the pieces with its first three
+    lengths: dict[str, set[int]] = {}
+    for _, piece, _ in order:
+        if len(piece) >= HEAD:
+            lengths.setdefault(piece[:HEAD], set()).add(len(piece))
+    heads = units.sparkSession.createDataFrame([(h, sorted(n)) for h, n in lengths.items()], "head string, sizes array<int>")
     # a long unit has the one empty span
     starts = units.select("unit", "first", F.explode_outer(F.when(short, F.sequence(F.lit(1), F.length("unit"))).otherwise(F.array(F.lit(0)))).alias("start"))
-    room = F.least(F.lit(longest), F.length("unit") - F.col("start") + 1)
-    spans = starts.select("unit", "first", "start", F.explode_outer(F.when(short, F.sequence(F.lit(1), room)).otherwise(F.array(F.lit(0)))).alias("size"))
+    headed = starts.withColumn("key", F.substring("unit", F.col("start"), F.lit(HEAD))).join(F.broadcast(heads), F.col("key") == F.col("head"), "left")
+    room = F.length("unit") - F.col("start") + 1
+    few = F.sequence(F.lit(1), F.least(room, F.lit(HEAD - 1)))
+    every = F.when(F.col("start") == 0, F.array(F.lit(0))).when(F.col("sizes").isNull(), few).otherwise(F.concat(few, "sizes"))
+    spans = headed.select("unit", "first", "start", F.explode_outer(every).alias("size")).where(F.col("size") <= F.greatest(F.lit(0), room))
     cut = spans.withColumn("sub", F.substring("unit", F.col("start"), F.col("size")))
     edges = cut.join(table, F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size <= 1")
     # an edge is (place of the score, start, end, id + 1) in one long; id + 1 is 0 for a byte edge
@@ -388,8 +422,7 @@ def merged_units(units: DataFrame, model_path: str) -> DataFrame:
         piece = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
         return F.when(piece > 0, F.array(piece - 1)).otherwise(byte_pieces(F.substring(F.col("unit"), start_of(e) + 1, F.lit(1)), byte_ids))
 
-    long = long_units(model_path)(F.when(~short, F.col("unit")))
-    return left.select("unit", "first", F.coalesce(long, F.flatten(F.transform(path, ids_of))).alias("ids"))
+    return left.select("unit", "first", F.flatten(F.transform(path, ids_of)).alias("ids"))
 
 
 def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
@@ -443,9 +476,10 @@ def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path:
             break
         least = row["size"]
     chosen = counts.where(F.col("size") >= F.lit(least)) if least is not None else counts.limit(0)
+    chosen = chosen.select("unit", F.col("n").alias("first"))
     # an exchange deals the units out anew, as their lattice is many times larger than the counts
-    units = chosen.select("unit", F.lit(0).alias("first")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
-    ids = encoded_units(units, model_path, merges).select("unit", "ids").toArrow().combine_chunks()
+    units = chosen.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+    ids = encoded_units(units, model_path, merges).toArrow().sort_by([("first", "descending"), ("unit", "ascending")]).combine_chunks()
     found = ids.column("ids").combine_chunks() if ids.num_rows else pa.array([], pa.list_(pa.int32()))
     return rows.sparkSession.sparkContext.broadcast(Frequent(ids.column("unit").to_pylist(), found))
 
@@ -461,23 +495,30 @@ def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     # the optimizer infers for one use only (from a join or an inner explode) would make them two
     ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path, merges)
     met = units.join(ids.hint("merge"), "unit").where(F.col("first") <= F.struct("chunk", "place"))
-    found = met.select("chunk", "place", "ids").mapInArrow(pack_found, "chunk long, packed binary")
+    long = F.when(F.length("unit") > UNIT_CHARS, F.col("unit")) if merges else F.lit(None).cast("string")
+    found = met.select("chunk", "place", "ids", long.alias("long")).mapInArrow(partial(pack_found, model_path=model_path), "chunk long, n int, m int, packed binary")
     places = rows.mapInArrow(partial(place_rows, cut=cut, frequent=frequent), "chunk long, packed binary")
 
     def put_back(known: pa.Table, docs: pa.Table) -> Iterator[pa.RecordBatch]:
-        tables, common = unpacked(known.column("packed")), frequent.value
-        place = np.concatenate([t.column("place").to_numpy() for t in tables] or [np.zeros(0, np.int32)])
-        own = [t.column("ids").combine_chunks() for t in tables]
-        values = pa.concat_arrays(own) if own else pa.array([], pa.list_(pa.int32()))
-        values = values.take(pa.array(np.argsort(place)))
-        offsets = np.concatenate([common.offsets, common.offsets[-1] + values.offsets.to_numpy()[1:]])
-        flat = np.concatenate([common.flat, values.flatten().to_numpy().astype(np.int32)])
+        common = frequent.value
+        place, own, values = [], [], []
+        for n, m, part in zip(known.column("n").to_pylist(), known.column("m").to_pylist(), known.column("packed")):
+            numbers = from_planes(pa.decompress(part.as_buffer(), decompressed_size=4 * (2 * n + m), codec="zstd", asbytes=True))
+            place.append(np.cumsum(numbers[:n]))
+            own.append(numbers[n : 2 * n])
+            values.append(numbers[2 * n :])
+        nothing = [np.zeros(0, np.int32)]
+        sizes, found_ids = np.concatenate(own or nothing), np.concatenate(values or nothing)
+        order = np.argsort(np.concatenate(place or nothing))
+        starts, ends = (np.cumsum(sizes) - sizes)[order], np.cumsum(sizes[order])
+        take = np.repeat(starts - (ends - sizes[order]), sizes[order]) + np.arange(len(found_ids))
+        offsets = np.concatenate([common.offsets, common.offsets[-1] + ends])
+        flat = np.concatenate([common.flat, found_ids[take]])
         size = np.diff(offsets)
         for part in docs.column("packed"):
             table = pa.ipc.open_stream(part.as_buffer()).read_all()
             counts = table.column("n").to_numpy()
-            planes = np.frombuffer(table.column("planes")[0].as_py(), np.uint8).reshape(4, -1)
-            numbers = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+            numbers = from_planes(table.column("planes")[0].as_py())
             if len(numbers) and int(numbers.max()) >= len(size):
                 raise ValueError("a chunk's texts changed between two scans")
             out = []
