@@ -17,7 +17,7 @@ leaves the lattice's edges, edges are grouped by unit, and Spark's ``aggregate``
 the end positions, for merges over the edges in the order of their scores, where an edge whose two ends
 still stand removes the ends between them. That equals merging neighbours one by one as long as the
 parts of a piece always come before the piece, which is checked for every piece of the model. A unit of
-more than UNIT_CHARS characters that cannot be cut, such as one letter repeated, is folded over a heap in
+more than MERGE_CHARS characters that cannot be cut, such as one letter repeated, is folded over a heap in
 an Arrow task.
 
 Units that are frequent in a sample of about SAMPLE_DOCS documents, at most FREQUENT of them, are encoded
@@ -41,6 +41,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,12 +61,15 @@ FREQUENT = 200_000
 FREQUENT_CHARS = 40
 ROWS_AT_ONCE = 50_000
 PACK_IDS = 2_000_000
+HELD_UNITS = 20_000
 #: A unit has some fifteen edges, so its partitions are made finer than those of other shuffles.
 EDGE_PARTS = 4
 DOCS_AT_ONCE = 2_000
 MOST_PIECES = 500_000
 UNKNOWN_BELOW = 10.0
 HEAD = 3
+#: Longest unit whose ends are the bits of a long; the merge fold in Spark takes units up to it.
+MERGE_CHARS = 60
 UNITS = re.compile(f"{MARK}{{1,{UNIT_MARKS}}}[^{MARK}\n]{{0,{UNIT_CHARS}}}|\n|[^{MARK}\n]{{1,{UNIT_CHARS}}}")
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
@@ -106,12 +110,12 @@ def neighbours(path: str) -> frozenset[str]:
 def uncut_units(text: str, path: str) -> list[str]:
     """Units between which no merge is possible."""
     units = WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
-    if max(map(len, units), default=0) <= UNIT_CHARS:
+    if max(map(len, units), default=0) <= MERGE_CHARS:
         return units
     pairs = neighbours(path)
     out = []
     for unit in units:
-        if len(unit) <= UNIT_CHARS:
+        if len(unit) <= MERGE_CHARS:
             out.append(unit)
             continue
         ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
@@ -378,7 +382,7 @@ def merged_units(units: DataFrame, model_path: str) -> DataFrame:
         raise ValueError(f"the vocabulary has {len(order)} pieces, more than the {MOST_PIECES} that are broadcast")
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("place", T.IntegerType())])
     table = F.broadcast(units.sparkSession.createDataFrame(order, schema))
-    short = F.length("unit") <= UNIT_CHARS
+    short = F.length("unit") <= MERGE_CHARS
     # a substring of three or more characters is cut only in the lengths of the pieces with its first three
     lengths: dict[str, set[int]] = {}
     for _, piece, _ in order:
@@ -396,7 +400,10 @@ def merged_units(units: DataFrame, model_path: str) -> DataFrame:
     edges = cut.join(table, F.col("sub") == F.col("piece"), "left").where("id IS NOT NULL OR size <= 1")
     # an edge is (place of the score, start, end, id + 1) in one long; id + 1 is 0 for a byte edge
     start = (F.col("start") - 1).cast("long")
-    number = F.coalesce("place", F.lit(places)).cast("long") * (1 << 40) + start * (1 << 32) + (start + F.col("size")) * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    order_of = F.when(F.col("size") > 1, F.col("place")).otherwise(places).cast("long")
+    number = order_of * (1 << 40) + start * (1 << 32) + (start + F.col("size")) * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    # a unit's edges are few, so a task may hold those of many units before it turns to sorting
+    units.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_UNITS))
     lattice = edges.groupBy("unit").agg(F.first("first").alias("first"), F.collect_list(number).alias("edges"))
 
     def start_of(e):
@@ -405,24 +412,37 @@ def merged_units(units: DataFrame, model_path: str) -> DataFrame:
     def end_of(e):
         return F.shiftright(e, 24).bitwiseAND(F.lit(255)).cast("int")
 
-    def step(ends, e):
-        stands = F.array_contains(ends, start_of(e)) & F.array_contains(ends, end_of(e))
-        return F.when(stands, F.filter(ends, lambda x: (x <= start_of(e)) | (x >= end_of(e)))).otherwise(ends)
+    def bit(place):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+    def both(e):
+        return bit(start_of(e)).bitwiseOR(bit(end_of(e)))
+
+    def span(e):
+        return bit(end_of(e) + 1) - bit(start_of(e))
 
-    folded = F.aggregate(F.sort_array("edges"), F.sequence(F.lit(0), F.length("unit")), step)
-    left = lattice.select("unit", "first", "edges", F.when(short, folded).alias("ends"))
+    def stands(ends, e):
+        first, last = F.call_function("shiftright", ends, start_of(e)), F.call_function("shiftright", ends, end_of(e))
+        return first.bitwiseAND(last).bitwiseAND(F.lit(1)) == 1
+
+    def step(ends, e):
+        return F.when(stands(ends, e), ends.bitwiseAND(F.bitwise_not(span(e).bitwiseXOR(both(e))))).otherwise(ends)
 
-    def stays(e):
-        return F.get(F.col("ends"), F.array_position("ends", start_of(e)).cast("int")) == end_of(e)
+    # the ends are bits; edges of one character, which sort last, change none
+    merging = F.filter(F.sort_array("edges"), lambda e: e < places * (1 << 40))
 
-    # by start: the edges between neighbouring ends
-    path = F.sort_array(F.transform(F.filter("edges", lambda e: F.array_contains(F.col("ends"), start_of(e)) & stays(e)), lambda e: e.bitwiseAND(F.lit((1 << 40) - 1))))
+    def path(ends):
+        """By start: the edges between neighbouring ends. As the last step of the fold it is bound to its result;
+        a column of its own would be folded anew for every edge."""
+        kept = F.filter("edges", lambda e: stands(ends, e) & (ends.bitwiseAND(span(e)) == both(e)))
+        return F.sort_array(F.transform(kept, lambda e: e.bitwiseAND(F.lit((1 << 40) - 1))))
 
     def ids_of(e):
         piece = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
         return F.when(piece > 0, F.array(piece - 1)).otherwise(byte_pieces(F.substring(F.col("unit"), start_of(e) + 1, F.lit(1)), byte_ids))
 
-    return left.select("unit", "first", F.flatten(F.transform(path, ids_of)).alias("ids"))
+    folded = F.aggregate(merging, bit(F.length("unit") + 1) - 1, step, path)
+    return lattice.select("unit", "first", F.when(short, F.flatten(F.transform(folded, ids_of))).alias("ids"))
 
 
 def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
@@ -495,7 +515,7 @@ def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     # the optimizer infers for one use only (from a join or an inner explode) would make them two
     ids = encoded_units(units.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")), model_path, merges)
     met = units.join(ids.hint("merge"), "unit").where(F.col("first") <= F.struct("chunk", "place"))
-    long = F.when(F.length("unit") > UNIT_CHARS, F.col("unit")) if merges else F.lit(None).cast("string")
+    long = F.when(F.length("unit") > MERGE_CHARS, F.col("unit")) if merges else F.lit(None).cast("string")
     found = met.select("chunk", "place", "ids", long.alias("long")).mapInArrow(partial(pack_found, model_path=model_path), "chunk long, n int, m int, packed binary")
     places = rows.mapInArrow(partial(place_rows, cut=cut, frequent=frequent), "chunk long, packed binary")
 
@@ -542,8 +562,17 @@ def decode_rows(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, decoded = model(model_path)
+        table = pa.array([p if isinstance(p, bytes) else p.encode() for p in decoded], pa.large_binary())
         for batch in batches:
-            texts = pa.array([decode(ids, decoded) for ids in batch.column(at).to_pylist()], pa.string())
+            ids = batch.column(at)
+            bounds, none = ids.offsets.to_numpy(), pa.array(np.asarray(ids.is_null()))
+            # the pieces lie behind each other, so a text is a stretch of their bytes
+            pieces = table.take(ids.values.slice(bounds[0], bounds[-1] - bounds[0]))
+            _, offsets, data = pieces.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(pieces) + 1, 8 * pieces.offset)[bounds - bounds[0]]
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), data])
+            texts = pc.utf8_slice_codeunits(pc.replace_substring(whole.cast(pa.large_string()), MARK, " "), 1)
+            texts = pc.if_else(none, pa.scalar(None, pa.large_string()), texts).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
