@@ -8,7 +8,9 @@ that repeats stands once, with its smallest vector; rows without vec_id are left
 linked; pairs at or above it are found with a recall that a test measures against brute force.
 
 Method: a rotation is learned on at most SAMPLE vectors (principal axes, then alternating between
-signs and the rotation nearest to them), which gives balanced binary codes. A code's segments each have
+signs and the rotation nearest to them; several rotations where the vectors have fewer dimensions than
+the code has bits), which gives balanced binary codes. The vectors are not centred: under a strong common
+mean, pairs at the threshold would differ in too many bits of centred codes to be found. A code's segments each have
 a table; a vector is filed under its segment and under the segment's Hamming ball of radius one. Under a
 key only rows with some partner within HAMMING bits go on; they fetch their original vectors and are
 reranked in blocks of the key's rows. A block hands on a count per vector and a spanning star of its
@@ -63,15 +65,19 @@ def grid_of(column: pa.Array, width: int) -> np.ndarray:
 
 
 def rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
-    """Directions whose signs are the code: principal axes under the rotation that fits their signs best."""
-    bits = min(bits, sample.shape[1])
+    """Directions whose signs are the code: principal axes under the rotations that fit their signs best. Fewer
+    axes than bits are turned by several rotations, each from another start, so that every bit varies."""
     _, _, axes = np.linalg.svd(sample.T @ sample)
-    projected = sample @ axes[:bits].T
-    turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
-    for _ in range(rounds):
-        u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
-        turn = (u @ v).T
-    return axes[:bits].T @ turn
+    width = min(bits, sample.shape[1])
+    projected = sample @ axes[:width].T
+    out = []
+    for number in range(-(-bits // width)):
+        turn, _ = np.linalg.qr(np.random.default_rng(seed + number).normal(size=(width, width)))
+        for _ in range(rounds):
+            u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
+            turn = (u @ v).T
+        out.append(axes[:width].T @ turn)
+    return np.concatenate(out, axis=1)[:, :bits]
 
 
 def codes_of(unit: np.ndarray, directions: np.ndarray) -> np.ndarray:

@@ -87,9 +87,9 @@ def near_rows(seed, groups, spread, dims=64):
     return [(int(i) * 3, out[j]) for i, j in zip(range(len(out)), order)]
 
 
-@pytest.mark.parametrize("spread,least", [(0.05, 1.0), (0.2, 0.99), (0.3, 0.9)])
-def test_near_vectors_recall(spark, spread, least):
-    rows = near_rows(4, [1] * 300 + [2] * 60 + [5] * 20 + [150], spread)
+@pytest.mark.parametrize("spread,least,dims", [(0.05, 1.0, 64), (0.2, 0.99, 64), (0.3, 0.9, 64), (0.2, 0.97, 16), (0.3, 0.9, 32)])
+def test_near_vectors_recall(spark, spread, least, dims):
+    rows = near_rows(4, [1] * 300 + [2] * 60 + [5] * 20 + [150], spread, dims)
     x = np.array([np.float32(v) for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
@@ -106,6 +106,14 @@ def test_near_vectors_recall(spark, spread, least):
         assert [got[i]["component_id"] for i in ids.tolist()] == label.tolist()
 
 
+@pytest.mark.parametrize("dims", [8, 16, 32, 64, 100])
+def test_every_segment_of_a_code_varies(dims):
+    unit = np.random.default_rng(6).normal(size=(5000, dims))
+    codes = embedding_dedup.codes_of(unit, embedding_dedup.rotation(unit))
+    for number in range(len(embedding_dedup.SEGMENTS)):
+        assert np.unique(embedding_dedup.segment(codes, number), return_counts=True)[1].max() < 0.05 * len(unit)
+
+
 def test_near_vectors_odd_rows(spark):
     rows = [(5, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (9, [1e-30, 0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (3, None), (4, [float("nan"), 1.0, 0.0]), (6, [None, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.0])]
     got = sorted(tuple(r) for r in embedding_dedup.near_vectors(vectors_of(spark, rows)).collect())
