@@ -210,15 +210,6 @@ def decode(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
     return decode_units(ids, decoded).replace(MARK, " ")[1:]
 
 
-class Frequent:
-    """Frequent units by number, and their ids as one array with offsets."""
-
-    def __init__(self, units: list[str], ids: pa.ListArray) -> None:
-        self.number = {unit: i for i, unit in enumerate(units)}
-        self.offsets = ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids) else 0) if len(units) else np.zeros(1, np.int32)
-        self.flat = ids.flatten().to_numpy().astype(np.int32)
-
-
 class Chunk:
     """Units of consecutive documents that are not frequent, by first sight, and the documents as numbers:
     those of frequent units first, then those of the others."""
@@ -262,7 +253,7 @@ def chunked(batches: Iterator[pa.RecordBatch], keep: bool, cut: Callable[[str],
 
 def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, place, unit): the chunk's units that are not frequent, in sorted order."""
-    for key, chunk in chunked(batches, False, cut, frequent.value.number):
+    for key, chunk in chunked(batches, False, cut, frequent.value):
         units = sorted(chunk.seen)
         for at in range(0, len(units), ROWS_AT_ONCE):
             part = units[at : at + ROWS_AT_ONCE]
@@ -294,12 +285,12 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, packed): documents as numbers of frequent units, or after them places in the sorted order."""
-    for key, chunk in chunked(batches, True, cut, frequent.value.number):
+    for key, chunk in chunked(batches, True, cut, frequent.value):
         sight = list(chunk.seen)
         order = sorted(range(len(sight)), key=sight.__getitem__)
         place = np.empty(len(sight), np.int32)
         place[order] = np.arange(len(sight), dtype=np.int32)
-        base = len(frequent.value.number)
+        base = len(frequent.value)
         numbers = np.concatenate([np.arange(base, dtype=np.int32), base + place])
         for at in range(0, len(chunk.docs), DOCS_AT_ONCE):
             docs = chunk.docs[at : at + DOCS_AT_ONCE]
@@ -483,8 +474,9 @@ def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
     return best.select("unit", "first", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
-def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path: str, merges: bool) -> Broadcast:
-    """At most FREQUENT units that are frequent in a sample, with their ids. The bound holds by the numbers of
+def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path: str, merges: bool) -> tuple[Broadcast, Broadcast]:
+    """At most FREQUENT units that are frequent in a sample, by number, and apart from them their ids as
+    offsets and one array, so that no task holds what it does not use. The bound holds by the numbers of
     units per size of their count, which are summed up before any unit is read."""
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     counts = rows.sample(share, seed=11).select("text").mapInArrow(partial(unit_counts, cut=cut), "unit string, n long").where("unit IS NOT NULL").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -501,14 +493,17 @@ def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path:
     units = chosen.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
     ids = encoded_units(units, model_path, merges).toArrow().sort_by([("first", "descending"), ("unit", "ascending")]).combine_chunks()
     found = ids.column("ids").combine_chunks() if ids.num_rows else pa.array([], pa.list_(pa.int32()))
-    return rows.sparkSession.sparkContext.broadcast(Frequent(ids.column("unit").to_pylist(), found))
+    offsets = found.offsets.to_numpy() - found.offsets[0].as_py() if len(found) else np.zeros(1, np.int32)
+    context = rows.sparkSession.sparkContext
+    numbers = context.broadcast({unit: i for i, unit in enumerate(ids.column("unit").to_pylist())})
+    return numbers, context.broadcast((offsets, found.flatten().to_numpy().astype(np.int32)))
 
 
 def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
     cut = partial(uncut_units, path=model_path) if merges else units_of
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_units(rows, cut, model_path, merges)
+    frequent, frequent_ids = frequent_units(rows, cut, model_path, merges)
     parts = EDGE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = rows.mapInArrow(partial(unit_rows, cut=cut, frequent=frequent), "chunk long, place int, unit string").where("unit IS NOT NULL").repartition(parts, "unit")
     # the first chunk of a unit rides along, so that both uses of the units read one exchange; filters that
@@ -520,7 +515,7 @@ def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     places = rows.mapInArrow(partial(place_rows, cut=cut, frequent=frequent), "chunk long, packed binary")
 
     def put_back(known: pa.Table, docs: pa.Table) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
+        common_offsets, common_flat = frequent_ids.value
         place, own, values = [], [], []
         for n, m, part in zip(known.column("n").to_pylist(), known.column("m").to_pylist(), known.column("packed")):
             numbers = from_planes(pa.decompress(part.as_buffer(), decompressed_size=4 * (2 * n + m), codec="zstd", asbytes=True))
@@ -532,8 +527,8 @@ def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
         order = np.argsort(np.concatenate(place or nothing))
         starts, ends = (np.cumsum(sizes) - sizes)[order], np.cumsum(sizes[order])
         take = np.repeat(starts - (ends - sizes[order]), sizes[order]) + np.arange(len(found_ids))
-        offsets = np.concatenate([common.offsets, common.offsets[-1] + ends])
-        flat = np.concatenate([common.flat, found_ids[take]])
+        offsets = np.concatenate([common_offsets, common_offsets[-1] + ends])
+        flat = np.concatenate([common_flat, found_ids[take]])
         size = np.diff(offsets)
         for part in docs.column("packed"):
             table = pa.ipc.open_stream(part.as_buffer()).read_all()
