@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,32 @@ def test_calibration_needs_a_gap(spark):
     assert rt.calibrate(good).first().threshold == pytest.approx(0.15)
     with pytest.raises(Exception, match="separable"):
         rt.calibrate(spark.createDataFrame([(True, 0.1), (False, 0.2)], "supported boolean, score double")).collect()
+
+
+def test_topk_scores_exactly_only_what_may_enter(spark, monkeypatch):
+    """Lists equal brute force over several tiles and filters, and few pairs are scored in double precision."""
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 64)
+    rng = np.random.default_rng(3)
+    stock = rng.poisson(0.6, (3000, 32)).astype(np.int32)
+    stock[::50] = stock[7]  # ties
+    stock[5], asked = 0, rng.poisson(0.6, (150, 32)).astype(np.int32)
+    asked[4] = 0
+    sources = [None if i % 3 == 0 else ["s1", "s2"] if i % 3 == 1 else ["none"] for i in range(len(asked))]
+    queries = spark.createDataFrame([(f"q{i}", v.tolist(), 1 + i % 3, sources[i]) for i, v in enumerate(asked)], "query_id string, vector array<int>, max_tier int, sources array<string>")
+    chunks = spark.createDataFrame([(f"c{i:04d}", f"s{i % 4}", 1 + i % 4, v.tolist()) for i, v in enumerate(stock)], "chunk_id string, source_id string, source_tier int, vector array<int>")
+    got = {}
+    for r in rt.vector_topk(rt.with_norm(queries), rt.with_norm(chunks), 5, chunk_tiles=3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score)
+    for i, v in enumerate(asked):
+        scale = np.sqrt((v.astype(float) ** 2).sum()) * np.sqrt((stock.astype(float) ** 2).sum(axis=1))
+        score = np.round(np.divide(stock @ v, scale, out=np.zeros(len(stock)), where=scale > 0), 9)
+        open_to = [c for c in range(len(stock)) if c % 4 <= i % 3 and (sources[i] is None or f"s{c % 4}" in sources[i])]
+        want = sorted((-score[c], f"c{c:04d}") for c in open_to)[:5]
+        assert [got.get(f"q{i}", {})[n] for n in sorted(got.get(f"q{i}", {}))] == [(c, -s) for s, c in want]
+
+    scored = []
+    monkeypatch.setattr(rt.np, "einsum", lambda form, a, b, plain=np.einsum: scored.append(len(a)) or plain(form, a, b))
+    frame = lambda vectors, **more: pd.DataFrame({"vector": list(vectors), "norm": np.sqrt((vectors.astype(float) ** 2).sum(axis=1)), "id": [str(i) for i in range(len(vectors))], "tier": 1, **more})
+    tile = rt._Asked(frame(asked, sources=None), 5)
+    tile.meet(frame(stock, source_id="s"))
+    assert sum(scored) < len(asked) * len(stock) // 10
