@@ -257,10 +257,10 @@ def refine(runs: DataFrame, evidence: DataFrame, search: Callable[[DataFrame], D
     """Bounded refinement: at most ``limits.retries`` more searches for the runs still open.
 
     ``search`` maps queries (run_id, ordinal, purpose, query_text) to evidence rows. A round works on its
-    frontier alone: runs that are settled, and their evidence, leave it. Frontiers are checkpointed, so no
-    round repeats an earlier one. Returns the routed runs and all evidence.
+    frontier alone: runs that are settled, and their evidence, leave it. Frontiers are checkpointed, and so is
+    the evidence given, so no round repeats an earlier one or a search. Returns the routed runs and all evidence.
     """
-    frontier, settled, seen = runs, [], []
+    frontier, evidence, settled, seen = runs, cut_lineage(evidence), [], []
     for left in range(limits.retries, -1, -1):
         state = cut_lineage(with_route(verify(diagnose(frontier, evidence))))
         going = F.col("route").isin("refine", "counter_evidence") & F.lit(left > 0)

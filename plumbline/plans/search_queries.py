@@ -13,6 +13,7 @@ from plumbline.plans.retrieval_queries import ALLOW_LISTS, LIST_SQL, MAX_TIER, S
 from plumbline.plans.text_queries import CHUNKS_SQL, DOCS_SQL, PAGES_SQL, document_chunks
 from plumbline.plans.views import RUNS_SQL
 from plumbline.plans.workflow_queries import PLANNED_SQL, observed_runs
+from plumbline.session import cut_lineage
 
 #: Evidence below this score is none; evidence in this language counts as contradicting. Both are made up for the
 #: given tables, which have neither, and were picked so that runs end in several states and rounds.
@@ -73,19 +74,25 @@ S = with_views(RUNS_SQL, DOCS_SQL, PAGES_SQL, CHUNKS_SQL, SEARCH_SQL)
 F_SQL = S.rstrip() + ",\n" + ",\n".join(round_sql(n) for n in range(ROUNDS + 1)) + "\n"
 
 
-def corpus_search(spark, sf_dir, texts):
+def searchable(spark, sf_dir):
+    """The chunks that some purpose admits, with their vectors."""
+    chunks = document_chunks(spark, sf_dir, rt.compile_filter(SEARCHABLE))
+    vectors = rt.with_norm(chunks.withColumn("vector", word_vector("content")))
+    return vectors.select("chunk_id", "document_id", "document_type", "source_id", "source_tier", "vector", "norm")
+
+
+def corpus_search(chunks, texts):
     """Evidence of query texts: the best chunks that their purpose admits, from one tiled join."""
     wanted = qb.with_purpose_filter(texts.withColumn("mode", F.lit("DIAGNOSTIC")), ALLOW_LISTS, max_tier=MAX_TIER)
     asked = rt.with_norm(wanted.withColumn("vector", word_vector("question")))
-    chunks = document_chunks(spark, sf_dir, rt.compile_filter(SEARCHABLE))
-    ranked = rt.vector_topk(asked, rt.with_norm(chunks.withColumn("vector", word_vector("content"))), TOP_K)
+    ranked = rt.vector_topk(asked, chunks, TOP_K)
     facts = chunks.select("chunk_id", "document_id", F.col("source_tier").cast("bigint").alias("source_tier"), (F.col("document_type") == CONTRADICTING).alias("contradicts"))
     return ranked.filter(F.col("score") >= LEAST_SCORE).drop("dot", "rank").join(facts, "chunk_id")
 
 
-def planned_evidence(spark, sf_dir):
+def planned_evidence(spark, sf_dir, chunks):
     """Evidence of all planned queries, one row per run and chunk; the first query keeps it."""
-    found = wf.search_once(wf.plan_queries(observed_runs(spark, sf_dir)), partial(corpus_search, spark, sf_dir))
+    found = wf.search_once(wf.plan_queries(observed_runs(spark, sf_dir)), partial(corpus_search, chunks))
     return rt.union_evidence(found.withColumn("tie", F.col("chunk_id")))
 
 
@@ -95,7 +102,7 @@ def planned_evidence(spark, sf_dir):
     + """SELECT run_id, query_ordinal, purpose, chunk_id, 'evidence_' || substr(sha256(query_id || ':' || chunk_id), 1, 20) AS evidence_id, score, contradicts FROM ev0""",
 )
 def planned_evidence_query(spark, sf_dir):
-    return planned_evidence(spark, sf_dir).select("run_id", "query_ordinal", "purpose", "chunk_id", "evidence_id", "score", "contradicts")
+    return planned_evidence(spark, sf_dir, searchable(spark, sf_dir)).select("run_id", "query_ordinal", "purpose", "chunk_id", "evidence_id", "score", "contradicts")
 
 
 @query(
@@ -103,7 +110,11 @@ def planned_evidence_query(spark, sf_dir):
     F_SQL + " UNION ALL ".join(f"SELECT run_id, evidence_status, route, retries FROM state{n} WHERE route NOT IN ('refine', 'counter_evidence')" for n in range(ROUNDS + 1)),
 )
 def refined_runs(spark, sf_dir):
-    """Planned queries are searched; runs with partial or conflicting evidence search again, twice at most."""
+    """Planned queries are searched; runs with partial or conflicting evidence search again, twice at most.
+
+    All rounds search one stored copy of the vectors.
+    """
     base = observed_runs(spark, sf_dir).withColumn("retries", F.lit(0).cast("bigint"))
-    state, _ = wf.refine(base, planned_evidence(spark, sf_dir), lambda asked: wf.search_once(asked, partial(corpus_search, spark, sf_dir)).withColumn("tie", F.col("chunk_id")))
+    chunks = cut_lineage(searchable(spark, sf_dir))
+    state, _ = wf.refine(base, planned_evidence(spark, sf_dir, chunks), lambda asked: wf.search_once(asked, partial(corpus_search, chunks)).withColumn("tie", F.col("chunk_id")))
     return state.select("run_id", "evidence_status", "route", "retries")

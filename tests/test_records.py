@@ -190,6 +190,22 @@ def test_rounds_search_only_open_runs_and_each_text_once(spark):
     assert [len(t) for t in texts] == [2, 2]
 
 
+def test_refinement_computes_the_given_evidence_once(spark):
+    shape = "run_id string, chunk_id string, document_id string, purpose string, query_ordinal bigint, score double, contradicts boolean, evidence_id string"
+    names = "run_id string, analysis_id string, retries bigint, max_retries bigint, information_rounds bigint, max_information_rounds bigint"
+    runs = spark.createDataFrame([("r1", "a1", 0, 2, 0, 2)], names)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(score):
+        made.add(1)
+        return score
+
+    rows = [("r1", f"c{i}", "d", wf.DIAGNOSTIC, 1, 0.5, False, f"e{i}") for i in range(3)]
+    evidence = spark.createDataFrame(rows, shape).withColumn("score", F.udf(counted, "double").asNondeterministic()("score"))
+    state, _ = wf.refine(runs, evidence, lambda asked: evidence.limit(0))
+    assert state.first().retries == 2 and made.value == len(rows)
+
+
 def test_unknown_status_is_an_error(spark):
     with pytest.raises(Exception, match="unsupported analysis status"):
         spark.range(1).select(wf.route_verdict(F.lit("odd"))).collect()
