@@ -23,7 +23,7 @@ WORD_PATTERN = r"\b\w\w+\b"
 GRAM_WORD_PATTERN = r"[0-9a-z가-힣_]+"
 GRAM_SIZES = (2, 3, 4)
 
-MEMO = 1 << 20  # remembered tokens per Python worker; the memory starts over when it is full
+MEMO = 1 << 16  # remembered tokens per Python worker; the memory starts over when it is full
 PAIR_FACTOR = 1_000_003
 WORDS = re.compile(WORD_PATTERN)
 GRAM_WORDS = re.compile(GRAM_WORD_PATTERN)

@@ -35,6 +35,16 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
     return spark
 
 
+#: Bytes of rows that a Python worker gets at once; a longer row comes alone.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df):
+    """The same rows, handed to Python in batches bounded by bytes: a worker's memory does not follow the rows of its task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give every Python worker this package, as an archive of its source files, whatever folder it starts in."""
     if getattr(spark.sparkContext, "_plumbline_shipped", False):

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.blocks import chunk_blocks, clean_text, heading, page_blocks, tidy
-from plumbline.functions.hashing import gram_vector, word_vector
+from plumbline.functions.hashing import Memo, gram_vector, word_vector
 from plumbline.functions.html import outline_blocks
 from plumbline.operators import chunks as ch
 from plumbline.operators import queries as qb
 from plumbline.operators import retrieval as rt
+from plumbline.plans import views
 
 
 def test_clean_text(spark):
@@ -180,3 +181,19 @@ def test_topk_scores_exactly_only_what_may_enter(spark, monkeypatch):
     tile = rt._Asked(frame(asked, sources=None), 5)
     tile.meet(frame(stock, source_id="s"))
     assert sum(scored) < len(asked) * len(stock) // 10
+
+
+def test_python_gets_batches_bounded_by_bytes(spark, tmp_path):
+    """A table's long texts reach a Python worker a few megabytes at a time, however many rows a task has."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10_000).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    size = F.pandas_udf(lambda texts: pd.Series([int(texts.str.len().sum())] * len(texts)), "long")
+    sizes = views.table(spark, str(tmp_path), "documents").select(size("text").alias("n")).agg(F.max("n").alias("n"), F.count("n").alias("rows")).first()
+    assert sizes.rows == 600 and sizes.n < 6 << 20
+
+
+def test_remembered_tokens_stay_few():
+    memo = Memo(len)
+    for i in range(100_000):
+        memo[str(i)]
+    assert len(memo) <= 1 << 16
