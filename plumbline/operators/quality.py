@@ -54,13 +54,17 @@ def flatten_features(nested: str) -> list[Column]:
 
 
 def nesting_audit(df: DataFrame) -> DataFrame:
-    """Per machining column: rows whose value differs after nesting and flattening."""
+    """Per machining column: rows whose value differs after nesting and flattening. No cell becomes a row."""
     columns = machining_columns()
     back = df.select(*[F.col(c).alias(f"_{c}") for c in columns], nest_features().alias("_nested"))
     both = back.select(*[F.col(f"_{c}") for c in columns], *flatten_features("_nested"))
-    cells = [F.struct(F.lit(c).alias("column"), (~F.col(c).eqNullSafe(F.col(f"_{c}"))).cast("bigint").alias("d"), F.col(c).alias("v")) for c in columns]
-    rows = both.select(F.inline(F.array(*cells)))
-    return rows.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.sum("d").alias("mismatches"), F.count("v").alias("values"))
+    facts = both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"_d_{c}") for c in columns],
+        *[F.count(c).alias(f"_v_{c}") for c in columns],
+    )
+    cells = [F.struct(F.lit(c).alias("column"), "rows", F.col(f"_d_{c}").alias("mismatches"), F.col(f"_v_{c}").alias("values")) for c in columns]
+    return facts.filter(F.col("rows") > 0).select(F.inline(F.array(*cells)))
 
 
 def validate_rows(df: DataFrame, features: Sequence[str], required: Sequence[str] = REQUIRED_METADATA) -> DataFrame:

@@ -138,6 +138,17 @@ def test_edge_response_brute_force():
     assert (im.edge_response(gray) == want).all()
 
 
+def test_nesting_audit_makes_no_row_of_a_cell(spark):
+    columns = ql.machining_columns()
+    df = spark.range(6).select(*[F.when((F.col("id") + i) % 3 != 0, F.col("id") + 0.5).alias(c) for i, c in enumerate(columns)])
+    out = ql.nesting_audit(df)
+    got = {r.column: (r.rows, r.mismatches, r["values"]) for r in out.collect()}
+    assert got == {c: (6, 0, 4) for c in columns}
+    assert ql.nesting_audit(df.limit(0)).collect() == []
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
 def test_evidence_routes_for_every_state(spark):
     rows = [(s, r, n) for s in ("SUFFICIENT", "PARTIAL", "CONFLICTING", "INSUFFICIENT") for r in range(4) for n in range(4)]
     df = spark.createDataFrame(rows, "s string, r int, n int")
