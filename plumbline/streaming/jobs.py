@@ -14,8 +14,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -199,8 +198,8 @@ def memory_sink(runs: DataFrame, folder: str) -> DataFrame:
 class WaitResume(StatefulProcessor):
     """Per run: WAITING on a request until the matching response, which counts once.
 
-    All rows of a micro-batch are put in order of position before they are judged, also when they come
-    in several frames. An answer whose request has not been seen waits for it in state, ``hold_ms`` at
+    All rows of a micro-batch are put in order of position before they are judged. Each call on the state goes
+    from the worker to the executor and back, so a run's request, status and timer are one value. An answer whose request has not been seen waits for it in state, ``hold_ms`` at
     most; a resolved request leaves the state after KEEP_MS.
     """
 
@@ -208,60 +207,60 @@ class WaitResume(StatefulProcessor):
         self.hold_ms = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        request = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("status", T.StringType())])
+        """``until`` is the time of the run's timer, 0 without one; answers are held only under the status HELD."""
+        request = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("until", T.LongType())])
         answer = T.StructType([T.StructField("position", T.LongType()), T.StructField("request_id", T.StringType())])
         self.handle = handle
         self.state = handle.getValueState("request", request)
         self.held = handle.getListState("held", answer)
 
-    def _timer(self, now: int, after: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(now + after)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        current = tuple(self.state.get()) if self.state.exists() else None
-        frames = [f[["position", "kind", "request_id"]] for f in rows]
-        if current is None and self.held.exists():
-            waiting = [(p, "response", r) for p, r in self.held.get()]
-            frames.insert(0, pd.DataFrame(waiting, columns=["position", "kind", "request_id"]))
-        ordered = pd.concat(frames).sort_values("position", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        request, status, timer = self.state.get() or (None, None, 0)
+        before, until = (request, status), 0
+        messages = [(r["position"], r["kind"], r["request_id"]) for r in rows]
+        if status == "HELD":
+            messages = [(position, "response", answer) for position, answer in self.held.get()] + messages
+            self.held.clear()
+            status = None
+        messages.sort(key=lambda m: m[0])
         early, out = [], []
-        for position, kind, request_id in ordered.itertuples(index=False):
+        for position, kind, request_id in messages:
             if kind == "request":
-                if current is None or current[1] != "WAITING":
-                    current = (request_id, "WAITING")
-                    out.append((key[0], request_id, "WAITING"))
-            elif current is None:
-                early.append((int(position), request_id))
-            elif request_id != current[0]:
-                out.append((key[0], request_id, "REQUEST_MISMATCH"))
-            elif current[1] == "RESUMED":
-                out.append((key[0], request_id, "ALREADY_RESOLVED"))
+                if status != "WAITING":
+                    request, status = request_id, "WAITING"
+                    out.append((request_id, "WAITING"))
+            elif status is None:
+                early.append((position, request_id))
+            elif request_id != request:
+                out.append((request_id, "REQUEST_MISMATCH"))
+            elif status == "RESUMED":
+                out.append((request_id, "ALREADY_RESOLVED"))
             else:
-                current = (request_id, "RESUMED")
-                out.append((key[0], request_id, "RESUMED"))
+                status = "RESUMED"
+                out.append((request_id, "RESUMED"))
         now = timers.getCurrentProcessingTimeInMs()
-        if current is None:
+        if status is None:
+            status, until = "HELD", now + self.hold_ms
             self.held.put(early)
-            self._timer(now, self.hold_ms)
         else:
-            out += [(key[0], request_id, "NO_PENDING_REQUEST") for _, request_id in early]
-            self.held.clear()
-            self.state.update(current)
-            if current[1] == "RESUMED":
-                self._timer(now, KEEP_MS)
-        yield pd.DataFrame(out, columns=["run_id", "request_id", "outcome"])
-
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            if self.state.get()[1] == "RESUMED":
-                self.state.clear()
-        elif self.held.exists():
-            out = [(key[0], request_id, "NO_PENDING_REQUEST") for _, request_id in self.held.get()]
+            out += [(request_id, "NO_PENDING_REQUEST") for _, request_id in early]
+            until = now + KEEP_MS if status == "RESUMED" else 0
+        if timer not in (0, until):
+            self.handle.deleteTimer(timer)
+        if until not in (0, timer):
+            self.handle.registerTimer(until)
+        if (request, status) != before or until != timer:
+            self.state.update((request, status, until))
+        for request_id, outcome in out:
+            yield Row(run_id=key[0], request_id=request_id, outcome=outcome)
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+        _, status, _ = self.state.get() or (None, None, 0)
+        if status == "HELD":
+            for _, request_id in self.held.get():
+                yield Row(run_id=key[0], request_id=request_id, outcome="NO_PENDING_REQUEST")
             self.held.clear()
-        yield pd.DataFrame(out, columns=["run_id", "request_id", "outcome"])
+        self.state.clear()
 
     def close(self) -> None:
         pass
@@ -270,7 +269,7 @@ class WaitResume(StatefulProcessor):
 def wait_resume(messages: DataFrame, hold_ms: int = HOLD_MS) -> DataFrame:
     """Outcome per message (run_id, kind, request_id, position) in the order of positions."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return messages.groupBy("run_id").transformWithStateInPandas(
+    return messages.groupBy("run_id").transformWithState(
         WaitResume(hold_ms), outputStructType="run_id string, request_id string, outcome string", outputMode="Append", timeMode="ProcessingTime"
     )
 

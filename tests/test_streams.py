@@ -5,6 +5,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from plumbline.plans import QUERIES
@@ -111,3 +112,76 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+class Kept:
+    """A state of one run that counts the calls on it."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def _call(self, value):
+        self.calls.append(1)
+        self.value = value
+
+    def get(self):
+        self.calls.append(1)
+        return self.value
+
+    def update(self, value):
+        self._call(value)
+
+    put = update
+
+    def clear(self):
+        self._call(None)
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getValueState(self, *_):
+        return Kept(self.calls)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append(1)
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append(1)
+        self.timers.remove(at)
+
+
+class Clock:
+    now = 1000
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_a_run_costs_few_calls_on_its_state():
+    """Every call is a round trip; a held answer expires, meets its request, or is judged after it."""
+    handle, clock, judge = Handle(), Clock(), jobs.WaitResume(hold_ms=50)
+    judge.init(handle)
+
+    def told(*messages):
+        handle.calls.clear()
+        rows = [Row(run_id="a", position=p, kind=k, request_id=r) for p, k, r in messages]
+        return [r.outcome for r in judge.handleInputRows(("a",), iter(rows), clock)]
+
+    assert told((2, "response", "q"), (1, "request", "q"), (3, "response", "q")) == ["WAITING", "RESUMED", "ALREADY_RESOLVED"]
+    assert len(handle.calls) <= 3 and handle.timers == {1000 + jobs.KEEP_MS}
+    assert told((4, "request", "r")) == ["WAITING"] and handle.timers == set()
+    assert told((5, "response", "x")) == ["REQUEST_MISMATCH"] and len(handle.calls) == 1
+    judge.init(handle)
+    assert told((2, "response", "q")) == [] and handle.timers == {1050}
+    assert told((1, "request", "q")) == ["WAITING", "RESUMED"] and handle.timers == {1000 + jobs.KEEP_MS}
+    handle.timers.clear()
+    judge.init(handle)
+    assert told((2, "response", "q")) == []
+    assert [r.outcome for r in judge.handleExpiredTimer(("a",), clock, None)] == ["NO_PENDING_REQUEST"]
+    handle.timers.clear()
+    assert told((3, "request", "q")) == ["WAITING"]
