@@ -80,9 +80,10 @@ def train_and_score(table: DataFrame, **forest) -> tuple[PipelineModel, DataFram
 
 
 def baseline_run(table: DataFrame, folder: str, model_id: str = "forest", **forest) -> None:
-    """One fit to stored tables: features with their side, split, model, importance, metrics and metadata.
+    """One fit to stored tables: features with their side, split, model, importance, scores, metrics and metadata.
 
-    Features are written before anything reads them, so split, fit and scoring share one computation.
+    Features are written before anything reads them, so split, fit and scoring share one computation. So are the
+    scores of the test side: every pass over them would ship the whole forest and score again.
     """
     spark = table.sparkSession
     table.write.mode("overwrite").parquet(f"{folder}/windows")
@@ -95,18 +96,18 @@ def baseline_run(table: DataFrame, folder: str, model_id: str = "forest", **fore
     model = fit(sided.filter(F.col("side") == "train").drop("side"), **forest)
     model.write().overwrite().save(f"{folder}/model")
     importance(model, names, model_id).write.mode("overwrite").parquet(f"{folder}/importance")
-    scored = score(model, sided.filter(F.col("side") == "test").drop("side"))
+    score(model, sided.filter(F.col("side") == "test").drop("side")).write.mode("overwrite").parquet(f"{folder}/scores")
+    scored = spark.read.parquet(f"{folder}/scores")
     ev.binary_metrics(ev.levels_of(scored)).write.mode("overwrite").parquet(f"{folder}/metrics")
     facts = [(model_id, ",".join(names), TREES, DEPTH, float(ev.THRESHOLD))]
     described = spark.createDataFrame(facts, "model_id string, features string, trees int, depth int, threshold double")
     described.write.mode("overwrite").parquet(f"{folder}/metadata")
 
 
-def load_run(spark, folder: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """The stored model, all windows, and the windows of the test side; the features must be the model's."""
+def load_run(spark, folder: str) -> tuple[PipelineModel, DataFrame]:
+    """The stored model and all windows; their features must be the model's."""
     windows = spark.read.parquet(f"{folder}/windows")
     wanted = spark.read.parquet(f"{folder}/metadata").first()["features"].split(",")
     if feature_columns(windows) != wanted:
         raise ValueError("the stored windows have other features than the model")
-    sides = spark.read.parquet(f"{folder}/split").filter(F.col("side") == "test").select("measurement_id")
-    return PipelineModel.load(f"{folder}/model"), windows, windows.join(sides, "measurement_id", "left_semi")
+    return PipelineModel.load(f"{folder}/model"), windows

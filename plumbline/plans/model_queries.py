@@ -153,8 +153,7 @@ def stored_run(spark, sf_dir):
 @query("forest_predictions")
 def forest_predictions(spark, sf_dir):
     """Train on the train side of the split and score every window of the test side."""
-    model, _, test = analysis.load_run(spark, stored_run(spark, sf_dir))
-    scored = analysis.score(model, test)
+    scored = spark.read.parquet(f"{stored_run(spark, sf_dir)}/scores")
     label = F.when(F.col("probability") >= ev.THRESHOLD, "damaged").otherwise("healthy")
     return scored.select("measurement_id", "bearing_id", "condition", "window_id", "state", "probability", label.alias("predicted_class"))
 
@@ -172,7 +171,7 @@ def forest_metrics(spark, sf_dir):
 @query("batch_verdicts")
 def batch_verdicts(spark, sf_dir):
     """Verdict for every measurement with its mean key features."""
-    model, windows, _ = analysis.load_run(spark, stored_run(spark, sf_dir))
+    model, windows = analysis.load_run(spark, stored_run(spark, sf_dir))
     keys = [f"vibration_1__{f}" for f in ("rms", "kurtosis", "crest_factor", "spectral_centroid_hz")]
     return ev.verdicts(analysis.score(model, windows), keys)
 

@@ -137,6 +137,25 @@ def test_small_forest(spark):
     assert ranks[0].feature == "v__rms"
 
 
+def test_baseline_run_stores_its_scores(spark, tmp_path):
+    """Metrics and predictions read the stored scores of the test side instead of shipping the forest again."""
+    rng = np.random.default_rng(1)
+    rows = [
+        (f"m{i // 4}", f"b{i % 2}", "c", f"w{i}", "healthy" if (i // 4) % 2 else "damaged", float(rng.normal((i // 4) % 2)), float(rng.normal()))
+        for i in range(96)
+    ]
+    names = "measurement_id string, bearing_id string, condition string, window_id string, state string, v__rms double, v__std double"
+    analysis.baseline_run(spark.createDataFrame(rows, names), str(tmp_path), trees=3, depth=2)
+    scores = spark.read.parquet(f"{tmp_path}/scores")
+    model, windows = analysis.load_run(spark, str(tmp_path))
+    tested = {r.measurement_id for r in spark.read.parquet(f"{tmp_path}/split").filter("side = 'test'").collect()}
+    again = analysis.score(model, windows).filter(F.col("measurement_id").isin(tested))
+    pairs = ["window_id", "probability"]
+    assert sorted(scores.select(pairs).collect()) == sorted(again.select(pairs).collect()) and scores.count() == 4 * len(tested)
+    whole = spark.read.parquet(f"{tmp_path}/metrics").filter("level = 'window'").first()
+    assert whole.sample_count == scores.count()
+
+
 def test_model_check():
     meta = {"model_id": "a", "feature_list": ["x"], "feature_version": "1"}
     ev.check_model(meta, dict(meta))
