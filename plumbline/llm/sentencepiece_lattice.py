@@ -33,11 +33,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +53,8 @@ MARK = "▁"
 UNIT_CHARS = 200
 UNIT_MARKS = 16
 CHUNK_CHARS = 4_000_000
+#: Characters that are cut at once, but for a longer text.
+PART_CHARS = 1_000_000
 SAMPLE_DOCS = 20_000
 #: Most units that are sent to every task, and their most characters: a few ten megabytes at the very most.
 FREQUENT = 200_000
@@ -71,7 +71,6 @@ HEAD = 3
 #: Longest unit whose ends are the bits of a long; the merge fold in Spark takes units up to it.
 MERGE_CHARS = 60
 UNITS = re.compile(f"{MARK}{{1,{UNIT_MARKS}}}[^{MARK}\n]{{0,{UNIT_CHARS}}}|\n|[^{MARK}\n]{{1,{UNIT_CHARS}}}")
-WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
 def units_of(text: str) -> list[str]:
@@ -107,20 +106,71 @@ def neighbours(path: str) -> frozenset[str]:
     return found
 
 
-def uncut_units(text: str, path: str) -> list[str]:
-    """Units between which no merge is possible."""
-    units = WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
-    if max(map(len, units), default=0) <= MERGE_CHARS:
-        return units
+def unjoined(unit: str, path: str) -> list[str]:
+    """A unit cut between characters that no piece has side by side."""
     pairs = neighbours(path)
-    out = []
-    for unit in units:
-        if len(unit) <= MERGE_CHARS:
-            out.append(unit)
-            continue
-        ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
-        out += [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)])]
-    return out
+    ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+    return [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)])]
+
+
+def bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of texts (the first one's start before them) and the bytes of their array."""
+    _, ends, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint8)
+    return np.frombuffer(ends, np.int64, len(texts) + 1, 8 * texts.offset), np.frombuffer(data, np.uint8)
+
+
+#: Texts as words (any may come twice), the number of the word at each place, and the places of each text.
+Coded = tuple[pa.LargeStringArray, np.ndarray, np.ndarray]
+
+
+def listed_units(texts: pa.LargeStringArray) -> Coded:
+    units = [units_of(text) for text in texts.to_pylist()]
+    coded = pa.array([u for own in units for u in own], pa.large_string()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.fromiter(map(len, units), np.int64, len(units))
+
+
+def uncut_units(texts: pa.LargeStringArray, path: str) -> Coded:
+    """Units between which no merge is possible: marks with what follows them up to the next mark or line feed,
+    line feeds, and what follows those. They are stretches of the texts' bytes; only units of more than
+    MERGE_CHARS characters are looked at one by one."""
+    filled = pc.replace_substring(texts, " ", MARK)
+    mark = pa.scalar(MARK, pa.large_string())
+    filled = pc.if_else(pc.equal(pc.binary_length(filled), 0), filled, pc.binary_join_element_wise(mark, filled, pa.scalar("", pa.large_string())))
+    ends, data = bytes_of(filled)
+    data, ends = data[ends[0] : ends[-1]], ends - ends[0]
+    size = len(data)
+    if not size:
+        return filled.slice(0, 0), np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    marks, (a, b, c) = np.zeros(size, bool), MARK.encode()
+    marks[:-2] = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
+    feeds, begins = data == 10, marks.copy()
+    begins[3:] &= ~marks[:-3]
+    begins |= feeds
+    begins[1:] |= feeds[:-1]
+    begins[ends[:-1][np.diff(ends) > 0]] = True
+    starts = np.flatnonzero(begins)
+    bounds = np.searchsorted(starts, ends)
+    units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, size)), pa.py_buffer(data))
+    coded = units.dictionary_encode()
+    words, numbers = coded.dictionary, coded.indices.to_numpy()
+    short = pc.utf8_length(words).to_numpy() <= MERGE_CHARS
+    if short.all():
+        return words, numbers, np.diff(bounds)
+    # the parts of long words are words behind the short ones
+    total, kept, more = len(words), int(short.sum()), []
+    parts, first, sizes = [np.cumsum(short) - 1], np.arange(total), np.ones(total, np.int64)
+    for at, word in zip(np.flatnonzero(~short).tolist(), words.filter(pa.array(~short)).to_pylist()):
+        own = unjoined(word, path)
+        parts.append(kept + len(more) + np.arange(len(own)))
+        more += own
+        first[at], sizes[at], total = total, len(own), total + len(own)
+    size = sizes[numbers]
+    ends = np.cumsum(size)
+    numbers = np.concatenate(parts)[np.repeat(first[numbers] - (ends - size), size) + np.arange(ends[-1])]
+    words = pa.concat_arrays([words.filter(pa.array(short)), pa.array(more, pa.large_string())])
+    return words, numbers, np.diff(np.append(0, ends)[bounds])
 
 
 def merged_path(length: int, number_at: Callable[[int, int], int | None], scores: list[float]) -> list[tuple[int, int]]:
@@ -211,63 +261,96 @@ def decode(ids: list[int], decoded: tuple[str | bytes, ...]) -> str:
 
 
 class Chunk:
-    """Units of consecutive documents that are not frequent, by first sight, and the documents as numbers:
-    those of frequent units first, then those of the others."""
+    """Consecutive documents: their words that are not frequent, and with ``keep`` the documents by the numbers of words."""
 
-    def __init__(self, number: int, keep: bool, cut: Callable[[str], list[str]], frequent: dict[str, int]) -> None:
+    def __init__(self, number: int, keep: bool, cut: Callable[[pa.LargeStringArray], Coded], frequent: pa.LargeStringArray) -> None:
         self.number, self.keep, self.cut, self.size, self.crc = number, keep, cut, 0, 0
         self.frequent = frequent
-        self.seen: dict[str, int] = {}
+        self.others: list[pa.LargeStringArray] = []
         self.doc_ids: list = []
-        self.docs: list[np.ndarray] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, doc_id, text: str) -> None:
-        units, seen, frequent = self.cut(text), self.seen, self.frequent
+    def add(self, doc_ids: list, texts: pa.LargeStringArray, size: int) -> None:
+        words, places, counts = self.cut(texts)
+        numbers = pc.fill_null(pc.index_in(words, value_set=self.frequent), -1).to_numpy()
+        self.others.append(words.filter(pa.array(numbers < 0)))
         if self.keep:
-            numbers = np.fromiter(map(frequent.get, units, repeat(-1)), np.int32, len(units))
-            for at in np.flatnonzero(numbers < 0).tolist():
-                numbers[at] = len(frequent) + seen.setdefault(units[at], len(seen))
-            self.doc_ids.append(doc_id)
-            self.docs.append(numbers)
-        else:
-            seen.update(dict.fromkeys(set(units).difference(frequent)))
-        self.size += len(text) + 1
-        self.crc = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.crc)
+            self.doc_ids += doc_ids
+            self.docs.append((numbers, places, counts))
+        ends, data = bytes_of(texts)
+        self.size += size
+        self.crc = zlib.crc32(data[ends[0] : ends[-1]], self.crc)
+
+    def units(self) -> tuple[pa.Array, np.ndarray]:
+        """Different units that are not frequent, in sorted order, and the places of ``others`` among them."""
+        coded = pa.concat_arrays(self.others).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        return coded.dictionary.take(order).cast(pa.string()), place[coded.indices.to_numpy()]
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Units of all documents, and their counts: numbers of frequent units, or after them places in the sorted order."""
+        _, place = self.units()
+        out, at = [], 0
+        for numbers, places, _ in self.docs:
+            rest = np.flatnonzero(numbers < 0)
+            numbers = numbers.copy()
+            numbers[rest] = len(self.frequent) + place[at : at + len(rest)]
+            at += len(rest)
+            out.append(numbers[places])
+        return np.concatenate(out), np.concatenate([counts for _, _, counts in self.docs])
 
     def key(self, partition: int) -> int:
         return partition << 44 | self.number << 32 | self.crc
 
 
-def chunked(batches: Iterator[pa.RecordBatch], keep: bool, cut: Callable[[str], list[str]], frequent: dict[str, int]) -> Iterator[tuple[int, Chunk]]:
+def whole_texts(column: pa.Array) -> pa.LargeStringArray:
+    """Texts of a batch; null counts as empty."""
+    return pc.fill_null(column, "").cast(pa.large_string())
+
+
+def chunked(batches: Iterator[pa.RecordBatch], keep: bool, cut: Callable[[pa.LargeStringArray], Coded], frequent: pa.LargeStringArray) -> Iterator[tuple[int, Chunk]]:
     """Chunks of about CHUNK_CHARS characters with their keys, from rows (doc_id, text)."""
     partition, chunk = TaskContext.get().partitionId(), Chunk(0, keep, cut, frequent)
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            chunk.add(doc_id, text.as_py() or "")
+        doc_ids, texts, at = batch.column(0).to_pylist(), whole_texts(batch.column(1)), 0
+        sizes = np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy() + 1))
+        while at < len(texts):
+            # up to the document that fills the part or the chunk
+            stop = min(len(texts), int(np.searchsorted(sizes, sizes[at] + min(PART_CHARS, CHUNK_CHARS - chunk.size))))
+            chunk.add(doc_ids[at:stop], texts.slice(at, stop - at), int(sizes[stop] - sizes[at]))
+            at = stop
             if chunk.size >= CHUNK_CHARS:
                 yield chunk.key(partition), chunk
                 chunk = Chunk(chunk.number + 1, keep, cut, frequent)
+                pa.default_memory_pool().release_unused()
     if chunk.size:
         yield chunk.key(partition), chunk
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+def unit_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[pa.LargeStringArray], Coded], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, place, unit): the chunk's units that are not frequent, in sorted order."""
     for key, chunk in chunked(batches, False, cut, frequent.value):
-        units = sorted(chunk.seen)
+        units, _ = chunk.units()
         for at in range(0, len(units), ROWS_AT_ONCE):
-            part = units[at : at + ROWS_AT_ONCE]
-            columns = [pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part)]
+            part = units.slice(at, ROWS_AT_ONCE)
+            columns = [pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "unit"])
 
 
-def unit_counts(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, n) of units with at most FREQUENT_CHARS characters; a unit comes once per batch."""
+def unit_counts(batches: Iterator[pa.RecordBatch], cut: Callable[[pa.LargeStringArray], Coded]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, n) of units with at most FREQUENT_CHARS characters, counted by part of a batch."""
     for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch.column(0):
-            counts.update(u for u in cut(text.as_py() or "") if len(u) <= FREQUENT_CHARS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+        texts, at = whole_texts(batch.column(0)), 0
+        sizes = np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy() + 1))
+        while at < len(texts):
+            stop = min(len(texts), int(np.searchsorted(sizes, sizes[at] + PART_CHARS)))
+            words, places, _ = cut(texts.slice(at, stop - at))
+            rows = pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(places, minlength=len(words)))], names=["unit", "n"])
+            yield rows.filter(pc.less_equal(pc.utf8_length(rows.column(0)), FREQUENT_CHARS))
+            at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def packed(rows: pa.RecordBatch) -> bytes:
@@ -283,19 +366,15 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
-def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+def place_rows(batches: Iterator[pa.RecordBatch], cut: Callable[[pa.LargeStringArray], Coded], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, packed): documents as numbers of frequent units, or after them places in the sorted order."""
     for key, chunk in chunked(batches, True, cut, frequent.value):
-        sight = list(chunk.seen)
-        order = sorted(range(len(sight)), key=sight.__getitem__)
-        place = np.empty(len(sight), np.int32)
-        place[order] = np.arange(len(sight), dtype=np.int32)
-        base = len(frequent.value)
-        numbers = np.concatenate([np.arange(base, dtype=np.int32), base + place])
-        for at in range(0, len(chunk.docs), DOCS_AT_ONCE):
-            docs = chunk.docs[at : at + DOCS_AT_ONCE]
-            planes = planes_of(numbers[np.concatenate(docs)])
-            rows = [pa.array(chunk.doc_ids[at : at + DOCS_AT_ONCE], pa.int64()), pa.array([len(d) for d in docs], pa.int32()), pa.array([planes] + [None] * (len(docs) - 1), pa.binary())]
+        numbers, counts = chunk.numbered()
+        ends = np.append(0, np.cumsum(counts))
+        for at in range(0, len(counts), DOCS_AT_ONCE):
+            own = counts[at : at + DOCS_AT_ONCE]
+            planes = planes_of(numbers[ends[at] : ends[at + len(own)]])
+            rows = [pa.array(chunk.doc_ids[at : at + DOCS_AT_ONCE], pa.int64()), pa.array(own, pa.int32()), pa.array([planes] + [None] * (len(own) - 1), pa.binary())]
             out = packed(pa.record_batch(rows, names=["doc_id", "n", "planes"]))
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([out], pa.binary())], names=["chunk", "packed"])
 
@@ -474,7 +553,7 @@ def encoded_units(units: DataFrame, model_path: str, merges: bool) -> DataFrame:
     return best.select("unit", "first", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
-def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path: str, merges: bool) -> tuple[Broadcast, Broadcast]:
+def frequent_units(rows: DataFrame, cut: Callable[[pa.LargeStringArray], Coded], model_path: str, merges: bool) -> tuple[Broadcast, Broadcast]:
     """At most FREQUENT units that are frequent in a sample, by number, and apart from them their ids as
     offsets and one array, so that no task holds what it does not use. The bound holds by the numbers of
     units per size of their count, which are summed up before any unit is read."""
@@ -495,13 +574,13 @@ def frequent_units(rows: DataFrame, cut: Callable[[str], list[str]], model_path:
     found = ids.column("ids").combine_chunks() if ids.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets = found.offsets.to_numpy() - found.offsets[0].as_py() if len(found) else np.zeros(1, np.int32)
     context = rows.sparkSession.sparkContext
-    numbers = context.broadcast({unit: i for i, unit in enumerate(ids.column("unit").to_pylist())})
+    numbers = context.broadcast(ids.column("unit").combine_chunks().cast(pa.large_string()))
     return numbers, context.broadcast((offsets, found.flatten().to_numpy().astype(np.int32)))
 
 
 def encode(docs: DataFrame, model_path: str, merges: bool = False) -> DataFrame:
     """Columns (doc_id, n_units, ids) for each row of a stored table with doc_id and text."""
-    cut = partial(uncut_units, path=model_path) if merges else units_of
+    cut = partial(uncut_units, path=model_path) if merges else listed_units
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent, frequent_ids = frequent_units(rows, cut, model_path, merges)
     parts = EDGE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,11 @@
 """Token counts, the lattice, line dedup and HTML against plain versions."""
 
 import json
+import re
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import html_wrappers, line_dedup, sentencepiece_lattice, token_counts
@@ -242,3 +244,18 @@ def test_deep_and_broken_markup():
 
 def test_no_pages(spark):
     assert html_wrappers.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_units_are_cut_as_a_plain_pattern_cuts_them():
+    mark = sentencepiece_lattice.MARK
+    pattern = re.compile(f"{mark}+[^{mark}\n]*|\n|[^{mark}\n]+")
+    texts = [None, "", " ", "  a  ", "\n", "\n\n a\n", f"{mark}{mark}b {mark}c", "é" * 200 + " x" * 3, "ab" * 100, " 日本語\n語 " * 40, "x"]
+
+    def plain(text):
+        units = pattern.findall(mark + text.replace(" ", mark)) if text else []
+        return [part for unit in units for part in ([unit] if len(unit) <= sentencepiece_lattice.MERGE_CHARS else sentencepiece_lattice.unjoined(unit, PIECE_PATH))]
+
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.string()).slice(3, 6), pa.array(texts[:2], pa.string())):
+        words, numbers, counts = sentencepiece_lattice.uncut_units(sentencepiece_lattice.whole_texts(column), PIECE_PATH)
+        words, ends = words.to_pylist(), [0, *counts.cumsum().tolist()]
+        assert [[words[i] for i in numbers[a:b]] for a, b in zip(ends, ends[1:])] == [plain(text) for text in column.to_pylist()]
