@@ -142,34 +142,29 @@ def plan_queries(runs: DataFrame) -> DataFrame:
 
 
 def digest_evidence(evidence: DataFrame) -> DataFrame:
-    """Coverage facts and the first evidence per purpose of every run."""
-    order = F.struct("query_ordinal", (-F.col("score")).alias("_minus"), "chunk_id")
+    """Coverage facts, the first evidence per purpose and the first eight evidence ids of every run, in one pass."""
+    first = F.struct("query_ordinal", (-F.col("score")).alias("_minus"), "chunk_id")
+    order = Window.partitionBy("run_id").orderBy("query_ordinal", F.desc("score"), "chunk_id")
+    supporting = F.when(F.col("_r") <= SUPPORTING_LIMIT, F.struct("_r", "evidence_id"))
 
     def first_of(purpose: str) -> Column:
         hit = F.col("purpose") == purpose
-        return F.min_by(F.when(hit, F.col("evidence_id")), F.when(hit, order))
+        return F.min_by(F.when(hit, F.col("evidence_id")), F.when(hit, first))
 
-    return evidence.groupBy("run_id").agg(
+    return evidence.withColumn("_r", F.row_number().over(order)).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("evidence_count"),
         F.some(F.col("purpose") == DIAGNOSTIC).alias("has_diagnostic"),
         F.some(F.col("purpose") == INSPECTION).alias("has_inspection"),
         F.some("contradicts").alias("contradicted"),
         first_of(DIAGNOSTIC).alias("first_diagnostic"),
         first_of(INSPECTION).alias("first_inspection"),
+        F.transform(F.array_sort(F.collect_list(supporting)), lambda s: s["evidence_id"]).alias("supporting_ids"),
     )
 
 
-def supporting_ids(evidence: DataFrame) -> DataFrame:
-    """The first eight evidence ids per run; the rank limit applies before the shuffle."""
-    order = Window.partitionBy("run_id").orderBy("query_ordinal", F.desc("score"), "chunk_id")
-    top = evidence.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= SUPPORTING_LIMIT)
-    listed = F.array_sort(F.collect_list(F.struct("_r", "evidence_id")))
-    return top.groupBy("run_id").agg(F.transform(listed, lambda s: s["evidence_id"]).alias("supporting_ids"))
-
-
 def diagnose(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     """One evidence-grounded candidate per run, none without evidence."""
-    found = runs.join(digest_evidence(evidence), "run_id", "left").join(supporting_ids(evidence), "run_id", "left")
+    found = runs.join(digest_evidence(evidence), "run_id", "left")
     identity = F.concat_ws(":", F.col("analysis_id"), F.array_join("supporting_ids", ":"))
     has = F.coalesce("evidence_count", F.lit(0)) > 0
     memory = F.col("memory_count") if "memory_count" in runs.columns else F.lit(0)

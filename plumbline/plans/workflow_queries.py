@@ -9,6 +9,7 @@ from plumbline.operators import audits, events as ev, memory as mem, queries as
 from plumbline.plans import views
 from plumbline.plans.registry import query, with_views
 from plumbline.plans.views import EVIDENCE_SQL, MEMORY_SQL, RUN_EVENTS_SQL, RUNS_SQL
+from plumbline.session import cut_lineage
 
 UNION_SQL = """ev AS (SELECT *, 'evidence_' || substr(sha256(run_id || ':' || purpose || ':' || chunk_id), 1, 20) AS evidence_id FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, chunk_id ORDER BY query_ordinal, score DESC, tie) AS r FROM evidence) WHERE r = 1)"""
@@ -249,8 +250,8 @@ verdicts AS (SELECT run_id, request_type, decision, rejection FROM answer1
 
 
 def validated(spark, sf_dir):
-    """Two answers to each request; where the first is a MAYBE, the second is in order."""
-    requests = waiting_requests(spark, sf_dir).withColumn("workflow_status", F.lit("WAITING"))
+    """Two answers to each request; where the first is a MAYBE, the second is in order. The requests are stored once."""
+    requests = cut_lineage(waiting_requests(spark, sf_dir)).withColumn("workflow_status", F.lit("WAITING"))
     number = F.substr("run_id", F.lit(5)).cast("bigint")
     d, e = number % 4, number % 3
     twice = requests.select("run_id", "request_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("received_order"))

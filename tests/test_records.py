@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import images as im
 from plumbline.operators import quality as ql
+from plumbline.operators import retrieval as rt
 from plumbline.operators import workflow as wf
+from plumbline.plans import workflow_queries as wq
 from plumbline.sources import documents as docs
 from plumbline.sources import images as imgs
 from plumbline.sources import measurements as ms
@@ -236,3 +238,24 @@ def test_errors_stay_with_their_run(spark):
     df = spark.createDataFrame([("a", "RUNNING", None), ("b", "RUNNING", None), ("c", "FAILED", "OLD")], "run_id string, workflow_status string, error_code string")
     got = {r.run_id: (r.workflow_status, r.error_code) for r in wf.capture_errors(df, F.col("run_id") != "a", "NEW").collect()}
     assert got == {"a": ("RUNNING", None), "b": ("FAILED", "NEW"), "c": ("FAILED", "OLD")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_of_a_run_is_brought_together_once(spark):
+    kinds = "run_id string, chunk_id string, document_id string, purpose string, query_ordinal bigint, score double, source_tier bigint, contradicts boolean, tie double"
+    rows = [("r1", f"c{i % 10}", "d", wf.DIAGNOSTIC, 2 + i // 10, 1.0 - i / 100, 1, False, float(i)) for i in range(20)]
+    rows += [("r1", "c3", "d", wf.INSPECTION, 1, 0.1, 1, True, 0.0), ("r2", "c1", "d", wf.INSPECTION, 1, 0.5, 1, False, 0.0)]
+    union = rt.union_evidence(spark.createDataFrame(rows, kinds))
+    found = wf.digest_evidence(union.withColumn("evidence_id", F.concat_ws("-", "run_id", "chunk_id")))
+    assert plan_of(found).count("Exchange") == 1
+    first, second = found.orderBy("run_id").collect()
+    assert (first.evidence_count, first.contradicted, first.first_diagnostic, first.first_inspection) == (10, True, "r1-c0", "r1-c3")
+    assert first.supporting_ids == [f"r1-c{i}" for i in (3, 0, 1, 2, 4, 5, 6, 7)]
+    assert (second.evidence_count, second.first_diagnostic, second.supporting_ids) == (1, None, ["r2-c1"])
+
+
+def test_requests_are_stored_once(spark, sf):
+    assert "FileScan" not in plan_of(wq.validated(spark, sf))
