@@ -468,14 +468,18 @@ def unknown_references(references: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def trace_citations(cited: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Per run: citations, those with evidence, and those whose source the manifest lists."""
-    backed = evidence.select("run_id", "evidence_id", "source_id", F.lit(1).alias("_e")).dropDuplicates(["run_id", "evidence_id"])
     listed = sources.select("source_id", F.lit(1).alias("_s")).dropDuplicates(["source_id"])
-    traced = cited.join(backed, ["run_id", "evidence_id"], "left").join(listed, "source_id", "left")
-    return traced.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("citations"),
-        F.count("_e").alias("with_evidence"),
-        F.count("_s").alias("with_source"),
-        F.every(F.col("_e").isNotNull() & F.col("_s").isNotNull()).alias("traced"),
+    found = evidence.join(listed, "source_id", "left").select("run_id", "evidence_id", F.lit(0).alias("_c"), F.lit(1).alias("_e"), "_s")
+    none = F.lit(None).cast("int")
+    rows = cited.select("run_id", "evidence_id", F.lit(1).alias("_c"), none.alias("_e"), none.alias("_s")).unionByName(found)
+    ids = rows.groupBy("run_id", "evidence_id").agg(F.sum("_c").alias("_c"), F.max("_e").alias("_e"), F.max("_s").alias("_s")).filter(F.col("_c") > 0)
+    known = F.col("run_id").isNotNull() & F.col("evidence_id").isNotNull() & F.col("_e").isNotNull()
+    sourced = known & F.col("_s").isNotNull()
+    return ids.groupBy("run_id").agg(
+        F.sum("_c").alias("citations"),
+        F.sum(F.when(known, F.col("_c")).otherwise(0)).alias("with_evidence"),
+        F.sum(F.when(sourced, F.col("_c")).otherwise(0)).alias("with_source"),
+        F.every(sourced).alias("traced"),
     )
 
 

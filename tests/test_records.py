@@ -259,3 +259,14 @@ def test_evidence_of_a_run_is_brought_together_once(spark):
 
 def test_requests_are_stored_once(spark, sf):
     assert "FileScan" not in plan_of(wq.validated(spark, sf))
+
+
+def test_citations_are_traced_where_their_runs_lie(spark, sf):
+    assert plan_of(wq.citation_trace(spark, sf)).count("Exchange hashpartitioning(run_id") == 2  # one for each use of the evidence
+    kinds = "run_id string, evidence_id string, source_id string"
+    rows = [("r1", "e1", "s1"), ("r1", "e1", "s1"), ("r1", "e2", "gone"), ("r1", "e3", None), ("r1", None, "s1"), ("r2", "e1", "s1"), ("r3", "e9", "s1")]
+    evidence = spark.createDataFrame(rows, kinds)
+    pairs = [("r1", "e1"), ("r1", "e1"), ("r1", "e2"), ("r1", "e3"), ("r1", "e4"), ("r1", None), ("r2", "e1"), ("r4", "e1"), (None, "e1")]
+    cited = spark.createDataFrame(pairs, "run_id string, evidence_id string")
+    traced = wf.trace_citations(cited, evidence, spark.createDataFrame([("s1",), ("s1",), (None,)], "source_id string"))
+    assert {tuple(r) for r in traced.collect()} == {("r1", 6, 4, 2, False), ("r2", 1, 1, 1, True), ("r4", 1, 0, 0, False), (None, 1, 0, 0, False)}
