@@ -211,10 +211,8 @@ FROM stat LEFT JOIN members ON local_path = collection AND file_type = 'pdf_coll
 )
 def expanded_documents(spark, sf_dir):
     rows, present = statuses(spark, sf_dir)
-    expanded = docs.expand_documents(rows.filter(F.col("file_type") == "pdf_collection"), present).unionByName(
-        docs.expand_documents(rows.filter(F.col("file_type") != "pdf_collection"), present.filter(F.col("collection").isNull()))
-    )
-    return docs.unique_documents(expanded).select("document_id", "source_id", "local_path")
+    expanded = docs.expand_documents(rows, present).select("document_id", "source_id", "local_path")
+    return docs.unique_documents(expanded)
 
 
 @query(

@@ -49,7 +49,8 @@ def collection_digests(files: DataFrame) -> DataFrame:
     per file, no contents) stream through one task. They are sorted by Spark, spill as needed and
     are never held together.
     """
-    ordered = files.select("collection", "path", "sha256").repartition("collection").sortWithinPartitions("collection", "path")
+    listed = files.filter(F.col("collection").isNotNull()).select("collection", "path", "sha256")
+    ordered = listed.repartition("collection").sortWithinPartitions("collection", "path")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, count = None, None, 0
@@ -73,7 +74,7 @@ def collection_digests(files: DataFrame) -> DataFrame:
 def source_statuses(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Status per source. ``files``: collection (null for single files), path, sha256."""
     singles = files.filter(F.col("collection").isNull()).select(F.col("path").alias("local_path"), F.col("sha256").alias("_file_sha"))
-    groups = collection_digests(files.filter(F.col("collection").isNotNull())).withColumnRenamed("collection", "local_path")
+    groups = collection_digests(files).withColumnRenamed("collection", "local_path")
     joined = manifest.join(singles, "local_path", "left").join(groups, "local_path", "left")
     single = F.col("file_type").isin(*SINGLE_TYPES)
     actual = F.when(single, F.col("_file_sha")).otherwise(F.col("collection_sha256"))
@@ -89,11 +90,12 @@ def source_statuses(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def expand_documents(statuses: DataFrame, files: DataFrame) -> DataFrame:
     """One row per readable document: the file itself, or every file of a collection."""
-    ready = statuses.filter(F.col("status") == "READY")
+    folder_of = F.when(F.col("file_type") == COLLECTION_TYPE, F.col("local_path"))
+    ready = statuses.filter(F.col("status") == "READY").withColumn("_collection", folder_of)
     members = files.filter(F.col("collection").isNotNull()).select(
-        F.col("collection").alias("local_path"), F.col("path").alias("member"), F.col("sha256").alias("member_sha")
+        F.col("collection").alias("_collection"), F.col("path").alias("member"), F.col("sha256").alias("member_sha")
     )
-    found = ready.join(members, "local_path", "left")
+    found = ready.join(members, "_collection", "left")
     folder = F.element_at(F.split("member", "/"), -2)
     is_member = F.col("member").isNotNull()
     return found.select(

@@ -270,3 +270,16 @@ def test_citations_are_traced_where_their_runs_lie(spark, sf):
     cited = spark.createDataFrame(pairs, "run_id string, evidence_id string")
     traced = wf.trace_citations(cited, evidence, spark.createDataFrame([("s1",), ("s1",), (None,)], "source_id string"))
     assert {tuple(r) for r in traced.collect()} == {("r1", 6, 4, 2, False), ("r2", 1, 1, 1, True), ("r4", 1, 0, 0, False), (None, 1, 0, 0, False)}
+
+
+def test_only_collections_are_expanded(spark):
+    """A single file may lie where a collection does; files of no collection have no digest."""
+    kinds = "collection string, path string, sha256 string"
+    files = spark.createDataFrame([(None, "x", "h"), ("x", "x/k1/log.pdf", "1")], kinds).coalesce(1)
+    digests = docs.collection_digests(files)
+    assert [(r.collection, r.files) for r in digests.collect()] == [("x", 1)]
+    sources = "source_id string, title string, local_path string, file_type string, sha256 string"
+    rows = [("ONE", "T", "x", "pdf", "h"), ("ALL", "T", "x", "pdf_collection", digests.first().collection_sha256)]
+    statuses = docs.source_statuses(spark.createDataFrame(rows, sources), files)
+    expanded = docs.unique_documents(docs.expand_documents(statuses, files))
+    assert {(r.document_id, r.local_path) for r in expanded.collect()} == {("one", "x"), ("all_k1", "x/k1/log.pdf")}
