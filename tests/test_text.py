@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,18 @@ def test_html_blocks():
     assert [b["text"] for b in outline_blocks("<body><p>a<p>b</body>")] == ["a b", "b"]
 
 
+def test_html_elements_do_not_keep_their_ancestors():
+    """Memory of a page follows its length, also where thousands of tags stay open."""
+    page = "<body><p>top</p>" + "<b>t" * 4000 + "<li><p>in</p></li>" + "</i>" * 4000 + "</body>"
+    tracemalloc.start()
+    try:
+        found = outline_blocks(page)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(b["element"], b["text"]) for b in found] == [("p", "top"), ("li", "in")] and peak < 16 << 20
+
+
 def test_packing(spark):
     df = spark.createDataFrame([("One two. Three! Four five six?  Seven.",)], "t string")
     assert df.select(tx.pack_sentences(F.col("t"), 16)).first()[0] == ["One two. Three!", "Four five six?", "Seven."]
