@@ -24,6 +24,7 @@ GRAM_WORD_PATTERN = r"[0-9a-z가-힣_]+"
 GRAM_SIZES = (2, 3, 4)
 
 MEMO = 1 << 16  # remembered tokens per Python worker; the memory starts over when it is full
+MEMO_LENGTH = 64  # longer tokens are rarely seen again and are not remembered
 PAIR_FACTOR = 1_000_003
 WORDS = re.compile(WORD_PATTERN)
 GRAM_WORDS = re.compile(GRAM_WORD_PATTERN)
@@ -31,13 +32,15 @@ VECTOR = T.ArrayType(T.IntegerType())
 
 
 class Memo(dict):
-    """Token to hash, filled on first use and bounded."""
+    """Token to hash, filled on first use and bounded in tokens and in their length."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
 
     def __missing__(self, token: str):
+        if len(token) > MEMO_LENGTH:
+            return self.compute(token)
         if len(self) >= MEMO:
             self.clear()
         value = self[token] = self.compute(token)

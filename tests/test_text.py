@@ -210,3 +210,8 @@ def test_remembered_tokens_stay_few():
     for i in range(100_000):
         memo[str(i)]
     assert len(memo) <= 1 << 16
+
+
+def test_long_tokens_are_not_remembered():
+    memo = Memo(len)
+    assert [memo["x" * n] for n in (64, 65, 100_000)] == [64, 65, 100_000] and [len(token) for token in memo] == [64]
