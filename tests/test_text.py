@@ -196,6 +196,20 @@ def test_topk_scores_exactly_only_what_may_enter(spark, monkeypatch):
     assert sum(scored) < len(asked) * len(stock) // 10
 
 
+def test_equal_scores_do_not_pile_up():
+    """A batch of copies ties with every question's list; the pairs are ranked as they come, not all at once."""
+    frame = lambda n, **more: pd.DataFrame({"vector": [np.eye(1, 8, dtype=np.int32)[0]] * n, "norm": 1.0, "id": [f"{i:05d}" for i in range(n)], "tier": 1, **more})
+    tile, stock = rt._Asked(frame(800, sources=None), 5), frame(2000, source_id="s")
+    tracemalloc.start()
+    try:
+        tile.meet(stock)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120 << 20
+    assert tile.rows().groupby("query_id")["chunk_id"].agg(list).tolist() == [[f"{i:05d}" for i in range(5)]] * 800
+
+
 def test_python_gets_batches_bounded_by_bytes(spark, tmp_path):
     """A table's long texts reach a Python worker a few megabytes at a time, however many rows a task has."""
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
