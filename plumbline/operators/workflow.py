@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.operators import queries as qb
-from plumbline.operators.ordered import join_facts
-from plumbline.session import cut_lineage
+from plumbline.operators import queries as qb, retrieval as rt
+from plumbline.operators.ordered import SALTS
+from plumbline.session import cut_lineage, stored
 
 # Purposes, limits, action policy and texts of the workflow.
 DIAGNOSTIC = "DIAGNOSTIC_EVIDENCE"
@@ -29,6 +29,7 @@ SUPPORTING_LIMIT = 8
 OBSERVATION_LIMIT = 8
 VISIBLE_LIMIT = 4
 RESPONSE_SALTS = 16
+POPULAR_SHARE = 256  # a query text is popular if more than one in so many rows asks it
 MAX_RESPONSE_CHARS = 10_000
 ALLOWED_ACTIONS = ("MONITOR", "INSPECT", "SCHEDULE_MAINTENANCE", "EXPERT_REVIEW", "SHUTDOWN_CHECK")
 IMPORTANT_ACTIONS = ("SHUTDOWN_CHECK", "SCHEDULE_MAINTENANCE")
@@ -235,17 +236,70 @@ def with_route(verified: DataFrame) -> DataFrame:
 
 
 
+def with_query_key(asked: DataFrame) -> DataFrame:
+    """Run queries, stored with the key of their (purpose, query_text), the bytes that their query_id spells out."""
+    text = F.sha2(F.concat_ws(":", "purpose", "query_text"), 256)
+    return stored(asked.withColumn("_query", F.unhex(F.substring(text, 1, 20))))
+
+
+def search_lists(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What each different (purpose, query_text) of keyed run queries finds, one stored row a text: its key, how many ask it, its hits.
+
+    ``search`` maps (query_id, purpose, question) to rows (query_id, chunk_id, ...), as many a query as a candidate list has.
+    """
+    texts = asked.groupBy("_query").agg(F.first("purpose").alias("purpose"), F.first("query_text").alias("question"), F.count(F.lit(1)).alias("_asked"))
+    texts = stored(texts.withColumn("query_id", F.concat(F.lit("query_"), F.lower(F.hex("_query")))))
+    found = search(texts.select("query_id", "purpose", "question"))
+    found = found.withColumn("evidence_id", tx.short_hash("evidence_", F.col("query_id"), F.col("chunk_id")))
+    hits = found.groupBy("query_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "query_id"])).alias("hits"))
+    return stored(texts.select("query_id", "_query", "_asked").join(hits, "query_id").drop("query_id"))
+
+
+def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows (run_id, _query, ...) with a column of the list of their query; rows without hits go.
+
+    Only a query that more than a share of all rows ask, so a few at most, returns to its runs in salted parts.
+    """
+    least = lists.agg(F.sum("_asked") / POPULAR_SHARE).first()[0]
+    popular = F.col("_query").isin([bytes(r[0]) for r in lists.filter(F.col("_asked") > least).select("_query").collect()] if least else [])
+    salts = F.when(popular, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.withColumn("_salt", F.when(popular, F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    return salted.join(lists.drop("_asked").withColumn("_salt", F.explode(salts)), ["_query", "_salt"]).drop("_salt")
+
+
 def search_once(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Evidence of a table of run queries (run_id, ordinal, purpose, query_text).
 
-    Runs often ask the same, so each different (purpose, query_text) is searched once: ``search`` maps
-    (query_id, purpose, question) to rows (query_id, chunk_id, ...). What a popular query found returns to
-    its many runs in salted parts.
+    Runs often ask the same, so each different (purpose, query_text) is searched once.
+    """
+    asked = with_query_key(asked)
+    return evidence_rows(asked, search_lists(asked, search))
+
+
+def evidence_rows(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """The hits of keyed run queries as rows, made where a query meets its list."""
+    rows = asked.drop("query_text").withColumnRenamed("ordinal", "query_ordinal")
+    found = with_lists(rows, lists)
+    return found.select(*[c for c in rows.columns if c != "_query"], F.inline("hits"))
+
+
+def search_union(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search_once`` with one row per run and chunk; the first query keeps it, and ``tie`` is the chunk.
+
+    Runs whose queries share a chunk are found by hashes of their lists, so no text and no id of a chunk is shuffled by
+    run. Only the rows of these runs are brought together and united; the others are whole as they are.
     """
-    named = asked.withColumn("query_id", tx.short_hash("query_", F.col("purpose"), F.col("query_text")))
-    texts = named.groupBy("query_id").agg(F.first("purpose").alias("purpose"), F.first("query_text").alias("question"))
-    rows = join_facts(named.drop("query_text").withColumnRenamed("ordinal", "query_ordinal"), search(texts), ["query_id"], F.col("run_id"))
-    return rows.withColumn("evidence_id", tx.short_hash("evidence_", F.col("query_id"), F.col("chunk_id"))).drop("query_id")
+    asked = with_query_key(asked)
+    lists = search_lists(asked, search)
+    marks = lists.select("_query", "_asked", F.transform("hits", lambda h: F.xxhash64(h["chunk_id"])).alias("_marks"))
+    met = with_lists(asked.select("run_id", "_query"), marks).select("run_id", "_marks").repartition("run_id")
+    often = met.select("run_id", F.explode("_marks").alias("_mark")).groupBy("run_id", "_mark").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    sharing = stored(often.select(F.col("run_id").alias("_run")).distinct())
+    if sharing.isEmpty():
+        return evidence_rows(asked, lists).withColumn("tie", F.col("chunk_id"))
+    same = F.col("run_id").eqNullSafe(F.col("_run"))
+    plain, shared = (evidence_rows(asked.join(sharing, same, how), lists).withColumn("tie", F.col("chunk_id")) for how in ("left_anti", "left_semi"))
+    return plain.unionByName(rt.union_evidence(shared))
 
 
 def refine(runs: DataFrame, evidence: DataFrame, search: Callable[[DataFrame], DataFrame], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

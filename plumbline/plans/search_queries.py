@@ -13,7 +13,7 @@ from plumbline.plans.retrieval_queries import ALLOW_LISTS, LIST_SQL, MAX_TIER, S
 from plumbline.plans.text_queries import CHUNKS_SQL, DOCS_SQL, PAGES_SQL, document_chunks
 from plumbline.plans.views import RUNS_SQL
 from plumbline.plans.workflow_queries import PLANNED_SQL, observed_runs
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 #: Evidence below this score is none; evidence in this language counts as contradicting. Both are made up for the
 #: given tables, which have neither, and were picked so that runs end in several states and rounds.
@@ -75,25 +75,24 @@ F_SQL = S.rstrip() + ",\n" + ",\n".join(round_sql(n) for n in range(ROUNDS + 1))
 
 
 def searchable(spark, sf_dir):
-    """The chunks that some purpose admits, with their vectors."""
+    """The chunks that some purpose admits, with their vectors, stored once."""
     chunks = document_chunks(spark, sf_dir, rt.compile_filter(SEARCHABLE))
     vectors = rt.with_norm(chunks.withColumn("vector", word_vector("content")))
-    return vectors.select("chunk_id", "document_id", "document_type", "source_id", "source_tier", "vector", "norm")
+    return stored(rt.packed(vectors.select("chunk_id", "document_id", "document_type", "source_id", "source_tier", "vector", "norm")))
 
 
 def corpus_search(chunks, texts):
     """Evidence of query texts: the best chunks that their purpose admits, from one tiled join."""
     wanted = qb.with_purpose_filter(texts.withColumn("mode", F.lit("DIAGNOSTIC")), ALLOW_LISTS, max_tier=MAX_TIER)
     asked = rt.with_norm(wanted.withColumn("vector", word_vector("question")))
-    ranked = rt.vector_topk(asked, chunks, TOP_K)
+    ranked = rt.vector_topk_once(asked, chunks, TOP_K, LEAST_SCORE)
     facts = chunks.select("chunk_id", "document_id", F.col("source_tier").cast("bigint").alias("source_tier"), (F.col("document_type") == CONTRADICTING).alias("contradicts"))
-    return ranked.filter(F.col("score") >= LEAST_SCORE).drop("dot", "rank").join(facts, "chunk_id")
+    return ranked.drop("dot", "rank").join(facts, "chunk_id")
 
 
 def planned_evidence(spark, sf_dir, chunks):
     """Evidence of all planned queries, one row per run and chunk; the first query keeps it."""
-    found = wf.search_once(wf.plan_queries(observed_runs(spark, sf_dir)), partial(corpus_search, chunks))
-    return rt.union_evidence(found.withColumn("tie", F.col("chunk_id")))
+    return wf.search_union(wf.plan_queries(observed_runs(spark, sf_dir)), partial(corpus_search, chunks))
 
 
 @query(
@@ -115,6 +114,6 @@ def refined_runs(spark, sf_dir):
     All rounds search one stored copy of the vectors.
     """
     base = observed_runs(spark, sf_dir).withColumn("retries", F.lit(0).cast("bigint"))
-    chunks = cut_lineage(searchable(spark, sf_dir))
+    chunks = searchable(spark, sf_dir)
     state, _ = wf.refine(base, planned_evidence(spark, sf_dir, chunks), lambda asked: wf.search_once(asked, partial(corpus_search, chunks)).withColumn("tie", F.col("chunk_id")))
     return state.select("run_id", "evidence_status", "route", "retries")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -73,6 +74,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df):
+    """Write a result once to the shared folder, compressed, and read it back.
+
+    It is computed once, takes a fraction of a checkpoint's bytes, and leaves a fresh exchange before later joins,
+    which adaptive execution can split.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, eager: bool = True):
     """Checkpoint to the shared folder, always: a plan's length never depends on a setting."""
     context = df.sparkSession.sparkContext
