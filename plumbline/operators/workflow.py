@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.operators import queries as qb, retrieval as rt
 from plumbline.operators.ordered import SALTS
-from plumbline.session import cut_lineage, stored
+from plumbline.session import stored
 
 # Purposes, limits, action policy and texts of the workflow.
 DIAGNOSTIC = "DIAGNOSTIC_EVIDENCE"
@@ -306,12 +306,12 @@ def refine(runs: DataFrame, evidence: DataFrame, search: Callable[[DataFrame], D
     """Bounded refinement: at most ``limits.retries`` more searches for the runs still open.
 
     ``search`` maps queries (run_id, ordinal, purpose, query_text) to evidence rows. A round works on its
-    frontier alone: runs that are settled, and their evidence, leave it. Frontiers are checkpointed, and so is
+    frontier alone: runs that are settled, and their evidence, leave it. Frontiers are stored, and so is
     the evidence given, so no round repeats an earlier one or a search. Returns the routed runs and all evidence.
     """
-    frontier, evidence, settled, seen = runs, cut_lineage(evidence), [], []
+    frontier, evidence, settled, seen = runs, stored(evidence), [], []
     for left in range(limits.retries, -1, -1):
-        state = cut_lineage(with_route(verify(diagnose(frontier, evidence))))
+        state = stored(with_route(verify(diagnose(frontier, evidence))))
         going = F.col("route").isin("refine", "counter_evidence") & F.lit(left > 0)
         settled.append(state.filter(~going))
         asked = refinement_queries(state.filter(going))
@@ -321,7 +321,7 @@ def refine(runs: DataFrame, evidence: DataFrame, search: Callable[[DataFrame], D
         seen.append(evidence.join(open_ids, "run_id", "left_anti"))
         here = evidence.join(open_ids, "run_id", "left_semi")
         fresh = search(asked).join(here.select("run_id", "chunk_id"), ["run_id", "chunk_id"], "left_anti")
-        evidence = cut_lineage(here.unionByName(fresh.select(*here.columns)))
+        evidence = stored(here.unionByName(fresh.select(*here.columns)))
         frontier = state.filter(going).select(*runs.columns).withColumn("retries", F.col("retries") + 1)
     return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, [*seen, evidence])
 

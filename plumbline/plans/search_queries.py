@@ -115,5 +115,5 @@ def refined_runs(spark, sf_dir):
     """
     base = observed_runs(spark, sf_dir).withColumn("retries", F.lit(0).cast("bigint"))
     chunks = searchable(spark, sf_dir)
-    state, _ = wf.refine(base, planned_evidence(spark, sf_dir, chunks), lambda asked: wf.search_once(asked, partial(corpus_search, chunks)).withColumn("tie", F.col("chunk_id")))
+    state, _ = wf.refine(base, planned_evidence(spark, sf_dir, chunks).drop("tie"), lambda asked: wf.search_once(asked, partial(corpus_search, chunks)))
     return state.select("run_id", "evidence_status", "route", "retries")

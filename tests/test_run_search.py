@@ -72,3 +72,17 @@ def test_vectors_are_packed_whole(spark):
     back = rt._matrix(pd.Series(kept[:3]))
     assert back.tolist() == [r[0] for r in rows[:3]]
     assert [r.norm for r in rt.with_norm(spark.createDataFrame([([3, 4],), ([1, None],), (None,)], "vector array<int>")).collect()] == [5.0, None, None]
+
+
+def test_rounds_are_stored_compressed(spark):
+    """The given evidence, the states and the frontiers are Parquet, of which a later read takes the columns it needs; no rows are checkpointed whole."""
+    names = "run_id string, analysis_id string, retries bigint, max_retries bigint, information_rounds bigint, max_information_rounds bigint"
+    runs = spark.createDataFrame([("r1", "a1", 0, 2, 0, 2), ("r2", "a2", 0, 2, 0, 2), (None, "a3", 0, 2, 0, 2)], names)
+    shape = "run_id string, chunk_id string, document_id string, purpose string, query_ordinal bigint, score double, contradicts boolean, evidence_id string"
+    evidence = spark.createDataFrame([("r1", "c1", "d", wf.DIAGNOSTIC, 1, 0.5, False, "e1"), ("r2", "c1", "d", wf.DIAGNOSTIC, 1, 0.5, True, "e2")], shape)
+    state, kept = wf.refine(runs, evidence, lambda asked: evidence.limit(0))
+    assert {(r.run_id, r.evidence_status, r.retries) for r in state.collect()} == {("r1", "PARTIAL", 2), ("r2", "CONFLICTING", 2), (None, "INSUFFICIENT", 0)}
+    assert sorted(r.evidence_id for r in kept.collect()) == ["e1", "e2"]
+    for df in (state, kept):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "ExistingRDD" not in plan
