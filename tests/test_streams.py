@@ -185,3 +185,71 @@ def test_a_run_costs_few_calls_on_its_state():
     assert [r.outcome for r in judge.handleExpiredTimer(("a",), clock, None)] == ["NO_PENDING_REQUEST"]
     handle.timers.clear()
     assert told((3, "request", "q")) == ["WAITING"]
+
+
+class Bucket(Handle):
+    """The states and the timer of one bucket."""
+
+    def getValueState(self, *_):
+        return Kept(self.calls)
+
+    def getListState(self, *_):
+        parts = Kept(self.calls)
+        parts.value = []
+        parts.appendValue = lambda part: parts.put([*parts.value, part])
+        parts.clear = lambda: parts.put([])
+        return parts
+
+
+class Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_runs_of_a_bucket_share_its_calls_and_timer(monkeypatch):
+    """Each run ends as it would alone, a bucket costs as many calls for many runs as for one, and parts of its state are merged."""
+    monkeypatch.setattr(jobs, "COMPACT", 3)
+    handle, clock, bucket = Bucket(), Clock(), jobs.WaitResumeBuckets(hold_ms=50)
+    bucket.init(handle)
+
+    def told(now, *messages):
+        handle.calls.clear()
+        monkeypatch.setattr(Clock, "now", now)
+        frame = pd.DataFrame(messages, columns=["run_id", "position", "kind", "request_id"])
+        return [tuple(r) for out in bucket.handleInputRows((1,), iter([frame[:1], frame[1:]]), clock) for r in out.itertuples(index=False)]
+
+    def rings(at):
+        monkeypatch.setattr(Clock, "now", at)
+        due = [t for t in handle.timers if t <= at]
+        out = [tuple(r) for t in due for frame in bucket.handleExpiredTimer((1,), clock, Expired(t)) for r in frame.itertuples(index=False)]
+        handle.timers -= set(due)
+        return out
+
+    assert told(1000, ("a", 2, "response", "q"), (None, 1, "request", "n"), ("a", 1, "request", "q"), ("b", 5, "response", "x")) == [("a", "q", "WAITING"), ("a", "q", "RESUMED"), (None, "n", "WAITING")]
+    assert handle.timers == {1050}  # b waits for its request, a is remembered for longer
+    many = [(f"m{i}", 1, "request", "q") for i in range(500)]
+    assert len(told(1010, *many)) == 500 and len(handle.calls) <= 4
+    assert told(1020, ("b", 1, "request", "x"), ("m7", 2, "response", "q"), (None, 2, "response", "other")) == [("b", "x", "WAITING"), ("b", "x", "RESUMED"), ("m7", "q", "RESUMED"), (None, "other", "REQUEST_MISMATCH")]
+    assert handle.timers == {1000 + jobs.KEEP_MS} and len(bucket.parts.value) == 1
+    assert told(1030, ("late", 1, "response", "z"), ("a", 3, "response", "q")) == [("a", "q", "ALREADY_RESOLVED")]
+    assert handle.timers == {1080} and rings(1080) == [("late", "z", "NO_PENDING_REQUEST")]
+    assert rings(2000 + jobs.KEEP_MS) == [] and handle.timers == set()
+    assert told(3000 + jobs.KEEP_MS, ("a", 9, "response", "q"), ("m8", 3, "response", "q")) == [("m8", "q", "RESUMED")]
+
+
+def test_runs_are_judged_in_buckets(spark, tmp_path, monkeypatch):
+    """Two batches over few buckets; the state of many runs is found again in the second."""
+    monkeypatch.setattr(jobs, "RUN_BUCKETS", 5)
+    columns = ["run_id", "kind", "request_id", "position"]
+    first = [(f"r{i}", "request", f"q{i}", 1) for i in range(200)] + [(f"s{i}", "response", "p", 2) for i in range(50)]
+    second = [(f"r{i}", "response", f"q{i}" if i % 2 else "x", 2) for i in range(200)] + [(f"s{i}", "request", "p", 1) for i in range(50)]
+    write_files([pd.DataFrame(first, columns=columns), pd.DataFrame(second, columns=columns)], tmp_path / "in")
+    stream = jobs.wait_resume(stream_of(spark, tmp_path / "in"))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan
+    out = jobs.outcomes(stream_of(spark, tmp_path / "in"), str(tmp_path / "out"))
+    got = {tuple(r): r["count"] for r in out.groupBy(F.substring("run_id", 1, 1).alias("k"), "outcome").count().select("k", "outcome", "count").collect()}
+    assert {k[:2]: n for k, n in got.items()} == {("r", "WAITING"): 200, ("r", "RESUMED"): 100, ("r", "REQUEST_MISMATCH"): 100, ("s", "WAITING"): 50, ("s", "RESUMED"): 50}
