@@ -15,6 +15,7 @@ from plumbline.operators import evaluation as ev
 TREES = 300
 DEPTH = 12
 MIN_ROWS_PER_CHILD = 2
+FIT_TASKS = 2  # partitions of the training rows for each core
 
 
 def feature_columns(table: DataFrame) -> list[str]:
@@ -32,7 +33,8 @@ def balanced(train: DataFrame) -> DataFrame:
 def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = ev.SEED) -> PipelineModel:
     """Fit the forest; its passes over the training rows read a persisted copy, spilled to disk as needed.
 
-    Node ids are cached per row, so the growing forest is not shipped to every task on every level.
+    Node ids are cached per row, so the growing forest is not shipped to every task on every level. Every partition
+    sends the statistics of all nodes of a level, 50,000 and more, so there are only as many partitions as keep the cores busy.
     """
     names = feature_columns(train)
     forest = RandomForestClassifier(
@@ -44,10 +46,11 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = ev
         minInstancesPerNode=MIN_ROWS_PER_CHILD,
         seed=seed,
         cacheNodeIds=True,
-        maxMemoryInMB=1024,
+        maxMemoryInMB=512,
     )
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
-    rows = balanced(train).select(*names, "label", "weight").persist()
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    rows = balanced(train).select(*names, "label", "weight").coalesce(FIT_TASKS * cores).persist()
     try:
         return Pipeline(stages=[assembler, forest]).fit(rows)
     finally:

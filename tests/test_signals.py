@@ -156,6 +156,26 @@ def test_baseline_run_stores_its_scores(spark, tmp_path):
     assert whole.sample_count == scores.count()
 
 
+def test_a_forest_is_fitted_in_few_partitions(spark, monkeypatch):
+    """Each partition sends the statistics of all nodes of a level; more of them than the cores need only add to that."""
+    rows = [(f"m{i}", "healthy" if i % 2 else "damaged", float(i % 7), float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "measurement_id string, state string, v__rms double, v__std double")
+    parts = []
+
+    class Fitted:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, train):
+            parts.append((train.rdd.getNumPartitions(), train.count()))
+
+    monkeypatch.setattr(analysis, "Pipeline", Fitted)
+    most = analysis.FIT_TASKS * spark.sparkContext.defaultParallelism
+    analysis.fit(df.repartition(5 * most))
+    analysis.fit(df.repartition(2))
+    assert parts == [(most, 400), (2, 400)]
+
+
 def test_model_check():
     meta = {"model_id": "a", "feature_list": ["x"], "feature_version": "1"}
     ev.check_model(meta, dict(meta))
